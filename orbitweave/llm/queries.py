@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbitweave.llm import fingerprint, langid, pieces, sharding
+from orbitweave.llm import fingerprint, interpolation, langid, neardup, pieces, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,7 +33,17 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op2_deleted_interpolation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolation.score_documents(_table(spark, sf_dir, "documents"))
+
+
+def op10_minhash_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_components(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_deleted_interpolation_scores": op2_deleted_interpolation_scores,
+    "op10_minhash_odd_sketches": op10_minhash_odd_sketches,
     "op3_longest_processing_time_shards": op3_longest_processing_time_shards,
     "op6_multiset_fingerprints": op6_multiset_fingerprints,
     "op7_sentencepiece_round_trip": op7_sentencepiece_round_trip,
