@@ -13,6 +13,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _local: list[str] = []
 
@@ -35,3 +36,14 @@ def materialise(df: DataFrame, label: str, partition_by: str | None = None) -> D
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Ids (8 bytes each) up to which a list of them may be broadcast.
+BROADCAST_IDS = 300_000
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose id is not in the only column of ``ids``; rows without an id stay."""
+    gone = materialise(ids.select(F.col(ids.columns[0]).cast("long").alias("__gone")).where("__gone IS NOT NULL").distinct(), "gone")
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.join(side, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
