@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Segments that a Python worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 #: What a byte piece costs beyond the worst piece.
 BYTE_PENALTY = 10.0
 
@@ -59,6 +59,8 @@ class Encoder(dict):
         self.byte_score = min([s for _, s, kind in pieces if kind == 1], default=0.0) - BYTE_PENALTY
         self.unknown = next((k for k, p in enumerate(pieces) if p[2] == 2), 0)
         known = sorted({c for p in normal for c in p} - {MARK})
+        #: Characters that are pieces themselves: bytes, which score below any piece, can't be better there.
+        self.bare = re.compile("[" + "".join(re.escape(p) for p in normal if len(p) == 1) + "]*").fullmatch
         inside = "".join(map(re.escape, known))
         # Marks with the known characters after them; or any other single character.
         whole = any(MARK in p.lstrip(MARK) for p in normal)
@@ -72,33 +74,38 @@ class Encoder(dict):
 
     def viterbi(self, segment: str) -> list[int]:
         """Ids of the best path; of equal paths into a position, the one with the longer last piece."""
-        n = len(segment)
-        best = [0.0] + [float("-inf")] * n
-        length, chosen = [1] * (n + 1), [-1] * (n + 1)
+        at = len(segment)
+        best = [0.0] + [float("-inf")] * at
+        back: list = [None] * (at + 1)
+        bare = self.bare(segment) is not None
         done = 0
-
-        def settle(to: int) -> None:  # nothing more ends at these positions: may bytes reach them better?
-            nonlocal done
-            while done < to:
-                c = segment[done]
-                s = best[done] + self.byte_score * (1 if c < "\x80" else len(c.encode()))
-                done += 1
-                if s > best[done]:
-                    best[done], length[done], chosen[done] = s, 1, -1
-
-        for end, (size, score, k) in self.automaton.iter(segment):  # at each end from the longest piece to the shortest
-            if done < end:
-                settle(end)
-            s = best[end + 1 - size] + score
-            if s > best[end + 1]:
-                best[end + 1], length[end + 1], chosen[end + 1] = s, size, k
-        settle(n)
+        for end, piece in self.automaton.iter(segment):  # at each end from the longest piece to the shortest
+            if not bare:
+                done = self._settle(segment, done, end, best, back)
+            end += 1
+            score = best[end - piece[0]] + piece[1]
+            if score > best[end]:
+                best[end], back[end] = score, piece
+        if not bare:
+            self._settle(segment, done, at, best, back)
         ids: list[int] = []
-        at = n
-        while at > 0:
-            ids += [chosen[at]] if chosen[at] >= 0 else [self.byte_id.get(b, self.unknown) for b in reversed(segment[at - 1].encode())]
-            at -= length[at]
-        return ids[::-1]
+        while at:
+            size, _, k = back[at]
+            if k >= 0:
+                ids.append(k)
+            else:
+                ids += [self.byte_id.get(b, self.unknown) for b in reversed(segment[at - 1].encode())]
+            at -= size
+        ids.reverse()
+        return ids
+
+    def _settle(self, segment: str, done: int, to: int, best: list[float], back: list) -> int:
+        """Nothing more ends at the positions up to ``to``: may bytes reach them better?"""
+        for at in range(done, to):
+            score = best[at] + self.byte_score * len(segment[at].encode())
+            if score > best[at + 1]:
+                best[at + 1], back[at + 1] = score, (1, score, -1)
+        return max(done, to)
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as int32 bytes. A space is put before it, as the model does; a space mark
@@ -126,7 +133,12 @@ def _piece_bytes(path: str) -> list[bytes]:
 def decode_ids(path: str, ids: list[int]) -> str:
     """Text of a sequence of ids, without the space put before it."""
     table = _piece_bytes(path)
-    raw = b"".join([table[k] if 0 <= k < len(table) else b" \xe2\x81\x87 " for k in ids])
+    try:
+        raw = b"".join([table[k] for k in ids]) if not ids or min(ids) >= 0 else None
+    except IndexError:
+        raw = None
+    if raw is None:  # ids that the model doesn't have
+        raw = b"".join([table[k] if 0 <= k < len(table) else b" \xe2\x81\x87 " for k in ids])
     return raw.decode("utf-8", "replace")[raw[:1] == b" " :]
 
 
@@ -167,7 +179,10 @@ def decode(docs: DataFrame, model: str = MODEL, ids_col: str = "ids", out: str =
         for batch in batches:
             for lo in range(0, max(1, batch.num_rows), 512):
                 cut = batch.slice(lo, 512)
-                texts = [None if x is None else decode_ids(model, x) for x in cut.column(place).to_pylist()]
+                lists = cut.column(place)
+                ends = lists.offsets.to_pylist()
+                flat = lists.values.slice(ends[0], ends[-1] - ends[0]).fill_null(-1).to_numpy().tolist()
+                texts = [None if gone else decode_ids(model, flat[a - ends[0] : b - ends[0]]) for gone, a, b in zip(lists.is_null().to_pylist(), ends, ends[1:])]
                 yield pa.RecordBatch.from_arrays([*cut.columns, pa.array(texts, pa.string())], [*cut.schema.names, out])
 
     return _with(docs, run, out, T.StringType())
