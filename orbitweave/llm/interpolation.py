@@ -31,7 +31,7 @@ from orbitweave.llm.textblocks import U64, crc_mod, mix, row_blocks, words
 FOLDS, HELD_OUT, DELETED = 7, 2, 5
 END = np.array([0x656E642D6F662D74], dtype=U64)
 #: Text bytes of a block, and distinct n-grams that a partition of requests is meant for.
-BLOCK_TEXT, PART_KEYS = 16 << 20, 1_000_000
+BLOCK_TEXT, PART_KEYS = 8 << 20, 1_000_000
 #: Grid of the held-out table: steps an octave, octaves, and context-frequency buckets.
 STEPS, OCTAVES, BUCKETS = 4, 48, 40
 _LEVELS = STEPS * OCTAVES + 1
@@ -289,7 +289,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Scores every document with a model of those whose crc32(id) mod 7 is not 2."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     blocks = materialise(rows.mapInArrow(_blocks(block_text), "block long, payload binary"), "lm-blocks")
-    # A block of 16 MB has some two million distinct n-grams at most.
+    # A block of 8 MB has about a million distinct n-grams.
     parts = max(1, int(blocks.count() * block_text / 8 / part_keys))
     asked = blocks.mapInArrow(_ask(parts), ANSWERS).repartition(parts, "level", "part").sortWithinPartitions("level", "part", "block")
     answers = materialise(asked.mapInArrow(_answer, ANSWERS), "lm-answers")
