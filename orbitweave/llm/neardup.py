@@ -6,8 +6,10 @@ count of two sketches' XOR estimates how many samples differ, precisely for high
 discards candidates far below the threshold. What remains is confirmed on the full sets.
 
 No pairs are made inside groups. Documents with equal sets are one node. In each bucket every node is
-compared with the bucket's least one; then only nodes that ended in another component than that one are
-compared with the bucket's others. So every candidate pair is either compared or already connected.
+compared with the bucket's least one. Nodes that then are in another component than that one may still
+be linked with others of the bucket; of those pairs only the ones that share a shingle among their rarest
+quarter (prefix filter: no link is without one) are looked at, which two copies with different edits do
+not. So every candidate pair is compared, connected already, or known to be too different.
 At similarity 0.75 a pair shares no band with probability below 3e-7.
 
 Cases: letters A-Z are lower-cased; fewer than five words form one run; a document without words or text
@@ -40,9 +42,11 @@ BLOCK = 512
 #: Ids up to this number (8 bytes each) may be broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 300_000
 #: XOR population count above which a pair is taken to be below the threshold without looking at its sets.
-#: At similarity 0.75, 40 of 160 samples differ (deviation 5.5) and set 107 bits (deviation 12 with the
-#: sampling): 180 bits are six deviations away.
-FAR_BITS = 180
+#: At similarity 0.75, 40 of 160 samples differ (deviation 5.5) and set 69 bits (deviation 11 with the
+#: sampling): 136 bits are six deviations away.
+FAR_BITS = 136
+#: Cells of the table of shingle frequencies.
+CELLS = 1 << 18
 
 
 def shingle_set(hashes: np.ndarray) -> np.ndarray:
@@ -116,6 +120,43 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(lo, hi - lo) for k in rest), pa.array(sets, pa.large_binary()).cast(pa.binary())], [*(batch.schema.names[k] for k in rest), "hashes"])
 
 
+def _cell_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often shingles fall in each of CELLS cells: a fixed-size table by which shingles are ordered."""
+    counts = np.zeros(CELLS, dtype=np.int64)
+    for batch in batches:
+        for lo, hi in row_blocks(batch.column(0)):
+            w = words(batch.column(0).slice(lo, hi - lo))
+            for k in range(hi - lo):
+                np.add.at(counts, (shingle_set(w.hashes[w.first[k] : w.first[k + 1]]) & U64(CELLS - 1)).astype(np.int64), 1)
+    at = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["cell", "n"])
+
+
+def rarest(own: np.ndarray, counts: np.ndarray, threshold: int) -> np.ndarray:
+    """The first n - ceil(threshold * n) + 1 shingles of a set by frequency of their cell, then by hash.
+
+    Two sets whose similarity reaches the threshold share one of these, whatever the common order is."""
+    n = len(own)
+    order = np.lexsort((own, counts[(own & U64(CELLS - 1)).astype(np.int64)]))
+    return own[order[: n - -(-threshold * n // 100) + 1]]
+
+
+def _rarest(counts: np.ndarray, threshold: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, owns, outside = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            for lo, hi in row_blocks(batch.column(3)):
+                w = words(batch.column(3).slice(lo, hi - lo))
+                sets = [shingle_set(w.hashes[w.first[k] : w.first[k + 1]]) for k in range(hi - lo)]
+                kept = [rarest(s, counts, threshold) if len(s) else s for s in sets]
+                times = [len(r) for r in kept]
+                flat = np.concatenate(kept).view(np.int64)
+                repeat = lambda v: pa.array(np.repeat(v, times))
+                yield pa.RecordBatch.from_arrays([pa.array(flat), repeat(ids[lo:hi]), repeat(owns[lo:hi]), repeat(outside[lo:hi].astype(bool)), repeat(np.array([len(s) for s in sets]))], ["token", "doc_id", "own", "outside", "n"])
+
+    return run
+
+
 def similar(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
     """100 * intersection >= threshold * union of two sorted sets that are not empty."""
     small, large = (x, y) if len(x) <= len(y) else (y, x)
@@ -195,16 +236,19 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     centre = joined.withColumnRenamed("node", "centre").withColumnRenamed("component", "middle")
     placed = buckets.join(of, "rep", "left").join(centre, "centre", "left").select("bucket", "rep", "centre", F.coalesce("own", "rep").alias("own"), F.coalesce("middle", "centre").alias("middle"))
     placed = materialise(placed, "near-placed")
-    outside = materialise(sketched(placed.where(F.col("own") != F.col("middle")).select("bucket", F.col("rep").alias("x"), F.col("own").alias("xown")), "x", "x"), "near-outside")
-    open_buckets = outside.select("bucket").distinct()
-    others = placed.where(F.col("rep") != F.col("centre")).join(open_buckets, "bucket", "left_semi").select("bucket", F.col("rep").alias("y"), F.col("own").alias("yown"))
-    others = sketched(others, "y", "y")
-    rest = (
-        outside.join(others, "bucket")
-        .where((F.col("xown") != F.col("yown")) & near)
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        .distinct()
-    )
+    apart = F.col("own") != F.col("middle")
+    open_buckets = placed.where(apart).select("bucket").distinct()
+    people = materialise(placed.join(open_buckets, "bucket", "left_semi").groupBy(F.col("rep").alias("doc_id")).agg(F.min("own").alias("own"), F.max(apart).alias("outside")), "near-people")
+    side = F.broadcast(people) if people.count() <= BROADCAST_IDS else people
+    texts = docs.join(side, "doc_id").select("doc_id", "own", "outside", "text")
+    cells = texts.select("text").mapInArrow(_cell_counts, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(CELLS, dtype=np.int64)
+    counts[cells["cell"].to_numpy()] = cells["n"].to_numpy()
+    rare = texts.mapInArrow(_rarest(counts, threshold), "token long, doc_id long, own long, outside boolean, n long").distinct()
+    x, y = (rare.select("token", *(F.col(c).alias(k + c) for c in ("doc_id", "own", "outside", "n"))) for k in "xy")
+    alike = (100 * F.least("xn", "yn") >= threshold * F.greatest("xn", "yn")) & (F.col("xown") != F.col("yown"))
+    rest = x.where("xoutside").join(y, "token").where(alike).select(F.least("xdoc_id", "ydoc_id").alias("a"), F.greatest("xdoc_id", "ydoc_id").alias("b")).distinct()
+    rest = sketched(sketched(rest, "a", "x"), "b", "y").where(near).select("a", "b")
     second = materialise(confirm_pairs(rest, docs, threshold), "near-edges")
     components = connected_components(first.unionByName(second))
 

@@ -73,7 +73,7 @@ def test_odd_sketch_estimates_similarity():
     odd = [np.unpackbits(neardup.odd_sketch(v).view(np.uint8)) for v in (a, b)]
     differing = (a != b).sum()
     expected = neardup.SKETCH_BITS / 2 * (1 - math.exp(-4 * differing / neardup.SKETCH_BITS))
-    assert abs(int((odd[0] ^ odd[1]).sum()) - expected) < 35
+    assert abs(int((odd[0] ^ odd[1]).sum()) - expected) < 30
 
 
 def test_scores_equal_a_plain_model(spark, sf_dir):
