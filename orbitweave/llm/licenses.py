@@ -126,10 +126,12 @@ class Template:
                     held[old] -= 1
                 begin += 1
             k += 1
-            # The window is aligned once it holds enough and its next word brings nothing more.
-            if common >= self.need and (common == len(self.words) or k == len(words) or words[k] not in self.count or held[words[k]] >= self.count[words[k]]):
-                matched = patience(words[begin:k], self.words)
-                if len(matched) >= self.need:
+            if common >= self.need:
+                matched = patience(words[begin : k + len(self.words) - self.need], self.words)
+                if len(matched) >= self.need:  # aligned again from where the match begins, as far as it may go
+                    begin += matched[0][0]
+                    whole = patience(words[begin : begin + width], self.words)
+                    matched = whole if len(whole) >= len(matched) else [(a - matched[0][0], b) for a, b in matched]
                     end = begin + matched[-1][0] + 1
                     yield begin + matched[0][0], end, len(matched) / len(self.words)
                     held, common, begin, k = Counter(), 0, end, end
