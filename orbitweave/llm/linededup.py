@@ -140,3 +140,19 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.coalesce("n_exact", F.lit(0)).cast("long").alias("n_exact"),
         F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
     )
+
+
+#: The query's digest in SQL: lines one edit apart share their first or last half, and each such pair is compared.
+SQL = """
+WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, k AS pos, parts[k] AS line, length(parts[k]) AS n FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS k FROM t)),
+f AS (SELECT line, n, min(doc_id * 1000000 + pos) AS first FROM l WHERE n >= 24 GROUP BY line, n),
+h AS (SELECT line, n, first, unnest([n // 2, (n - 1) // 2]) AS h FROM f),
+k AS (SELECT DISTINCT line, n, first, h, side, CASE side WHEN 0 THEN substr(line, 1, h) ELSE substr(line, n - h + 1) END AS half FROM h, (SELECT unnest([0, 1]) AS side)),
+c AS (SELECT DISTINCT y.line AS line, y.n AS n, x.line AS other, x.n AS m FROM k x JOIN k y ON x.h = y.h AND x.side = y.side AND x.half = y.half AND x.first < y.first AND abs(x.n - y.n) <= 1),
+g AS (SELECT line, CASE WHEN n >= m THEN line ELSE other END AS long, CASE WHEN n >= m THEN other ELSE line END AS short, greatest(n, m) AS a, least(n, m) AS b FROM c),
+near AS (SELECT DISTINCT line FROM (SELECT *, unnest(range(1, a + 1)) AS i FROM g) WHERE substr(long, 1, i - 1) = substr(short, 1, i - 1) AND substr(long, i + 1) = substr(short, i + 1 - (a - b))),
+j AS (SELECT l.doc_id, l.pos, l.line, coalesce(f.first <> l.doc_id * 1000000 + l.pos, false) AS exact, near.line IS NOT NULL AS near FROM l LEFT JOIN f ON f.line = l.line LEFT JOIN near ON near.line = l.line),
+r AS (SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE exact) AS BIGINT) AS n_exact, CAST(count(*) FILTER (WHERE near AND NOT exact) AS BIGINT) AS n_near, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT exact AND NOT near), '') AS kept FROM j GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_exact, 0) AS n_exact, coalesce(n_near, 0) AS n_near, CAST(length(kept) AS BIGINT) AS kept_chars, md5(kept) AS kept_md5 FROM documents d LEFT JOIN r ON r.doc_id = d.doc_id
+"""

@@ -73,5 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_deletion_neighbourhood_lines": linededup.SQL,
     "op9_perspective_rotation": perspectives.DIGEST_SQL,
+    "op10_minhash_odd_sketches": neardup.SQL,
 }
