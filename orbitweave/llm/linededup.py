@@ -9,10 +9,11 @@ a line equal to another's variant is one insertion away, and two lines with the
 place one exchange. Within a key the earliest line decides, by aggregation, so no pairs are made inside a
 group. The edit distance of each line and the one that beats it is then verified.
 
-Variants are emitted only where a cheaper key allows a match: a line of n characters is cut into blocks,
-and a variant that deletes from block j leaves what is before and after that block. The pairs (before,
-after) are hashed first; only blocks whose key two different lines share emit their variants. This loses
-nothing, and the work for a long line stays far below its square.
+Variants are emitted only where cheaper keys allow a match. Two lines one edit apart share their first or
+their last half, so lines that share neither with another line are set aside. The others are cut into
+blocks; a variant that deletes from a block leaves what is before and after it, and only blocks of which
+two different lines share that pair, hashed, emit variants. This loses nothing, and the work for a long
+line stays far below its square.
 
 Cases: a null text stays null; blank and short lines stay; of rows that are equal in id and text all keep
 the same lines; a null id comes before all others; a document that loses lines may become empty; an empty
@@ -31,7 +32,7 @@ MIN_CHARS = 24
 #: Characters of a block from which longer lines get more than two blocks.
 BLOCK_CHARS = 256
 #: Rows (keys, line hashes or dropped positions, some 16 bytes each) up to which a side is broadcast.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 50_000
 
 
 def _side(df: DataFrame, rows: int | None = None) -> DataFrame:
@@ -40,10 +41,22 @@ def _side(df: DataFrame, rows: int | None = None) -> DataFrame:
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("th"), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("th"), F.split(F.col(text_col), "\n").alias("parts"))
+    rows = rows.select("doc", "th", F.posexplode("parts").alias("pos", "line"))
     return rows.where(F.char_length("line") >= min_chars).withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(1), "line"))
 
 
+def _halves(line: Column) -> Column:
+    """Keys of the first and the last half. With a line of one character more or less, that is the shorter's half."""
+    n = F.char_length(line)
+
+    def both(h: Column) -> list[Column]:
+        return [F.xxhash64(F.lit(0), h, F.substr(line, F.lit(1), h)), F.xxhash64(F.lit(1), h, F.substr(line, n - h + 1))]
+
+    h, less = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
+    return F.when(h == less, F.array(*both(h))).otherwise(F.array(*both(h), *both(less)))
+
+
 def _blocks(line: Column, rest: Column, taken: int) -> Column:
     """For a variant of ``rest`` characters: its blocks with the hashes of what is before and after each.
 
@@ -75,19 +88,23 @@ def _all_blocks(line: Column) -> Column:
     return F.concat(_blocks(line, n, 0), _blocks(line, n - 1, 1))
 
 
+def _shared(keys: DataFrame) -> DataFrame:
+    """The keys that two different lines have."""
+    return keys.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a < b").select("key")
+
+
 def near_lines(lines: DataFrame, texts: DataFrame, firsts: DataFrame) -> DataFrame:
     """``h1, h2`` of the lines that have an earlier line one edit away.
 
     ``lines`` has ``h1, h2, keys``, ``texts`` ``h1, h2, line``, ``firsts`` ``h1, h2, first``."""
     keys = lines.select("h1", "h2", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a < b").select("key")
-    shared = materialise(shared, "line-keys")
-    side = _side(shared)
-    named = materialise(keys.join(side, "key", "left_semi").select("h1", "h2").distinct(), "line-candidates")
+    shared = materialise(_shared(keys), "line-keys")
+    named = materialise(keys.join(_side(shared), "key", "left_semi").select("h1", "h2").distinct(), "line-candidates")
     found = texts.join(_side(named), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min("line").alias("line"))
     found = materialise(found.join(firsts, ["h1", "h2"]), "line-texts")
 
-    blocks = found.select("h1", "h2", "first", F.explode(_all_blocks(F.col("line"))).alias("b")).withColumn("key", _key(F.col("b"))).join(side, "key", "left_semi")
+    blocks = found.select("h1", "h2", "first", F.explode(_all_blocks(F.col("line"))).alias("b")).withColumn("key", _key(F.col("b")))
+    blocks = blocks.join(_shared(blocks), "key", "left_semi")
     inside = F.col("b.inside")
     own = F.array(F.struct(F.lit(-1).alias("at"), F.xxhash64(F.lit(0), inside).alias("rest")))
     cut = F.transform(
@@ -113,8 +130,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with repeated lines taken out of the text, and ``n_lines, n_exact, n_near``: its lines, and
     how many were dropped as equal to an earlier line or one edit away from one."""
     texts = _lines(docs, id_col, text_col, min_chars)
-    blocks = _all_blocks(F.col("line"))
-    lines = materialise(texts.select("doc", "th", "pos", "h1", "h2", F.transform(blocks, _key).alias("keys")), "lines")
+    lines = materialise(texts.select("doc", "th", "pos", "h1", "h2", _halves(F.col("line")).alias("keys")), "lines")
     place = F.struct("doc", "th", "pos")
     firsts = materialise(lines.groupBy("h1", "h2").agg(F.min(place).alias("first")), "line-firsts")
     near = materialise(near_lines(lines, texts.select("h1", "h2", "line"), firsts), "lines-near").withColumn("near", F.lit(True))
