@@ -2,11 +2,33 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows that one window numbers at once on average.
-ROWS_PER_RANGE = 200_000
+#: Rows that one window numbers at once on average, and how many ranges there are at most.
+ROWS_PER_RANGE, MAX_RANGES = 200_000, 16_384
+
+
+def quantile_cuts(df: DataFrame, column: str, ranges: int) -> list[float]:
+    """Up to ``ranges`` - 1 approximate quantiles of a numeric column, rising and distinct."""
+    if ranges <= 1:
+        return []
+    return sorted(set(df.approxQuantile(column, [k / ranges for k in range(1, ranges)], 0.2 / ranges)))
+
+
+def range_of(column: Column, cuts: list[float]) -> Column:
+    """In which range between the cuts a value lies, from 0 (binary search over Arrow batches); a null is in the first."""
+    if not cuts:
+        return F.lit(0)
+    edges = np.array(cuts, dtype=np.float64)
+
+    @F.pandas_udf("int")
+    def place(values: pd.Series) -> pd.Series:
+        return pd.Series(np.where(values.isna(), 0, np.searchsorted(edges, values.to_numpy(dtype=np.float64, na_value=-np.inf), side="right")).astype(np.int32))
+
+    return place(column.cast("double"))
 
 
 def with_ordinal(df: DataFrame, key: Column, ties: list[Column], out: str, start: int = 1) -> DataFrame:
@@ -15,12 +37,8 @@ def with_ordinal(df: DataFrame, key: Column, ties: list[Column], out: str, start
     Approximate quantiles cut the key into ranges; rows are numbered within their range, plus the exact
     count of the ranges before. The quantiles only balance the work, they don't change a number."""
     keyed = df.withColumn("__key", key.cast("double"))
-    ranges = max(1, df.count() // ROWS_PER_RANGE)
-    cuts = sorted(set(keyed.approxQuantile("__key", [k / ranges for k in range(1, ranges)], 0.2 / ranges))) if ranges > 1 else []
-    at = F.lit(0)
-    for c in cuts:
-        at = at + F.when(F.col("__key") >= c, 1).otherwise(0)
-    keyed = keyed.withColumn("__range", at)
+    ranges = min(MAX_RANGES, max(1, df.count() // ROWS_PER_RANGE))
+    keyed = keyed.withColumn("__range", range_of(F.col("__key"), quantile_cuts(keyed, "__key", ranges)))
     sizes = keyed.groupBy("__range").agg(F.count("*").alias("__n"))
     before = sizes.select("__range", (F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).alias("__before"))  # a row a range
     rank = F.row_number().over(Window.partitionBy("__range").orderBy(key, *ties))
