@@ -19,9 +19,8 @@ MIN_CONFIDENCE = 0.5
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter, without text, or of no clear language."""
     model = langid.train(docs.where(~langid.held_out()))
-    clear = (F.col("__pred.lang_pred") != langid.UNKNOWN) & (F.col("__pred.score") >= MIN_CONFIDENCE)
-    judged = langid.predict(docs.select(F.struct(*docs.columns).alias("__doc"), F.col("text")), model)
-    return judged.select("__doc", F.struct("lang_pred", "score").alias("__pred")).where(clear).select("__doc.*")
+    judged = langid.predict(docs, model, pred_col="__pred", score_col="__score")
+    return judged.where((F.col("__pred") != langid.UNKNOWN) & (F.col("__score") >= MIN_CONFIDENCE)).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

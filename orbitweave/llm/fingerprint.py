@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orbitweave.llm.textblocks import U64, mix, row_blocks, shingles, words
+from orbitweave.operators.ordinal import MAX_RANGES, quantile_cuts, range_of
 
 EQ_LANES, LIKE_LANES, GRAM = 64, 256, 3
 _LANE = np.arange(1, EQ_LANES // 4 + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)
@@ -122,16 +123,8 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(id_col), F.lit(-(2**63))).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     total = rows.count()
-    buckets = max(1, total // rows_per_bucket)
-    cuts = sorted({int(x) for x in rows.approxQuantile("doc_id", [k / buckets for k in range(1, buckets)], 0.2 / buckets)}) if buckets > 1 else []
-    # Position of an id among the cuts by repeated halving: a tree of comparisons of logarithmic depth.
-    def position(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col("doc_id") < cuts[mid], position(lo, mid)).otherwise(position(mid + 1, hi))
-
-    rows = rows.withColumn("bucket", position(0, len(cuts)))
+    cuts = quantile_cuts(rows, "doc_id", min(MAX_RANGES, max(1, total // rows_per_bucket)))
+    rows = rows.withColumn("bucket", range_of(F.col("doc_id"), cuts))
     first = rows.groupBy("bucket").agg(F.min("doc_id").alias("first")).orderBy("bucket").collect()  # a row a bucket
     guest_of = [(r["first"], first[k - 1].bucket) for k, r in enumerate(first)]
     # Of rows that share the first id, the least text is the guest.

@@ -170,19 +170,19 @@ def train(learn: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     return model
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """Adds ``lang_pred`` and ``score`` from the text alone."""
-    kept = docs.drop("lang_pred", "score")
+def predict(docs: DataFrame, model: Model, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+    """Adds ``lang_pred`` and ``score`` (or columns of other names) from the text alone."""
+    kept = docs.drop(pred_col, score_col)
     place = kept.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [model.predict(t) for t in batch.column(place).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([p for p, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], [*batch.schema.names, "lang_pred", "score"]
+                [*batch.columns, pa.array([p for p, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], [*batch.schema.names, pred_col, score_col]
             )
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(pred_col, T.StringType()), T.StructField(score_col, T.DoubleType())]))
 
 
 def held_out(id_col: str = "doc_id"):

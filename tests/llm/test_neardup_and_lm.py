@@ -130,3 +130,21 @@ def test_scores_of_odd_tables(spark):
     rows = interpolation.score_documents(spark.createDataFrame([(None, "a b", "x"), (2, None, "y"), (2, None, "y")], schema)).collect()
     assert [(r.doc_id, r.held_out, r.n_tokens) for r in sorted(rows, key=lambda r: r.doc_id or 0)] == [(None, True, 3), (2, False, 1), (2, False, 1)]
     assert all(math.isfinite(r.score) for r in rows)
+
+
+def test_a_large_group_of_differing_copies(spark):
+    import random
+
+    rng = random.Random(8)
+    rows = []
+    for group in range(3):
+        base = [f"b{group}_{k}" for k in range(90)]
+        for _ in range(120):
+            w = base[:]
+            for _ in range(rng.choice([1, 2, 3, 4, 5])):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(40)}"
+            rows.append((len(rows) * 7 % 1009, " ".join(w)))
+    want = brute_components(rows)
+    assert 30 < len({c for _, c in want.values()}) < 330  # neither one component nor none
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
