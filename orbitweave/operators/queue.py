@@ -67,3 +67,10 @@ def counts_with_zeros(events: DataFrame, tick: Column, group: str, ticks: DataFr
     """``tick, group, n, any``: a row for each tick and group, also where nothing happened."""
     seen = events.groupBy(tick.alias("tick"), group).agg(F.count("*").alias("n"))
     return ticks.crossJoin(F.broadcast(groups)).join(seen, ["tick", group], "left").select("tick", group, F.coalesce("n", F.lit(0)).alias("n"), F.coalesce(F.col("n") > 0, F.lit(False)).alias("any_detected"))
+
+
+def tick_report(detections: DataFrame, views: DataFrame, detected: str, seen: str, tick_us: int) -> DataFrame:
+    """``tick_us, detections, views``: what a run prints, as a table."""
+    one = lambda df, c, n: df.groupBy((F.floor(F.col(c) / tick_us) * tick_us).alias("tick_us")).agg(F.count("*").alias(n))
+    both = one(detections, detected, "detections").join(one(views, seen, "views"), "tick_us", "full")
+    return both.select("tick_us", F.coalesce("detections", F.lit(0)).alias("detections"), F.coalesce("views", F.lit(0)).alias("views"))

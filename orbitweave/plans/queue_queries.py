@@ -104,7 +104,16 @@ def detections_by_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 WINDOW_SQL = f"WITH {EVENTS_SQL} SELECT CAST(t // 50000000 * 50000000 AS BIGINT) AS start_us, count(*) AS n, count(DISTINCT user_id) AS users FROM ev WHERE event_type = 'view' GROUP BY t // 50000000"
 
+def tick_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    views = _queue(spark, sf_dir, 86_400)
+    return queue.tick_report(events(spark, sf_dir).where("event_type = 'view'"), views, "t", "seen_us", HOUR_US)
+
+
+REPORT_SQL = f"""WITH q AS ({_queue_sql(86_400)}), {EVENTS_SQL}, d AS (SELECT t // {HOUR_US} * {HOUR_US} AS tick_us, count(*) AS n FROM ev WHERE event_type = 'view' GROUP BY 1), v AS (SELECT seen_us // {HOUR_US} * {HOUR_US} AS tick_us, count(*) AS n FROM q GROUP BY 1)
+SELECT CAST(coalesce(d.tick_us, v.tick_us) AS BIGINT) AS tick_us, coalesce(d.n, 0) AS detections, coalesce(v.n, 0) AS views FROM d FULL JOIN v ON d.tick_us = v.tick_us"""
+
 QUERIES = {
+    "tick_report": (tick_report, REPORT_SQL),
     "observation_queue": (observation_queue, _queue_sql(1200)),
     "observation_queue_day": (observation_queue_day, _queue_sql(86_400)),
     "pending_backlog_by_tick": (pending_backlog_by_tick, PENDING_SQL),

@@ -88,6 +88,30 @@ def image_headers(spark: SparkSession, root: str) -> DataFrame:
     return files.select("path", F.substring("content", 1, 24).alias("head")).mapInPandas(run, "path string, width long, height long")
 
 
+def metadata_of(images: DataFrame, metadata: DataFrame, path: str = "path") -> DataFrame:
+    """Images with ``space_res`` (metres) and ``satellite`` of their chip, by file stem; the first row of a chip counts.
+
+    An image without metadata is an error when its row is taken."""
+    keyed = metadata.select(F.trim("BoxID/ImageChip").alias("__chip"), "SpatialRes", "Satellite", F.monotonically_increasing_id().alias("__row"))
+    first = keyed.groupBy("__chip").agg(F.min_by("SpatialRes", "__row").alias("__res"), F.min_by("Satellite", "__row").alias("__sat"), F.lit(True).alias("__known"))
+    joined = images.join(first, textual.stem(F.col(path)) == F.col("__chip"), "left")
+    missing = F.raise_error(F.concat(F.lit("no metadata for "), F.col(path)))
+    space = F.when(F.col("__known"), textual.metres(F.col("__res"))).otherwise(missing.cast("double"))
+    return joined.select(*images.columns, space.alias("space_res"), F.when(F.col("__known"), F.trim("__sat")).otherwise(missing.cast("string")).alias("satellite"))
+
+
+def parse_polygons(rows: DataFrame, wkt: str, out: str = "ring") -> DataFrame:
+    """Adds the outer ring of a WKT polygon as ``ARRAY<STRUCT<lat, lon>>``; null for other text."""
+    inner = F.regexp_extract(wkt, r"(?i)^\s*POLYGON\s*\(\(([^()]*)\)", 1)
+    point = lambda p: F.struct(F.get(F.split(F.trim(p), r"\s+"), 1).try_cast("double").alias("lat"), F.get(F.split(F.trim(p), r"\s+"), 0).try_cast("double").alias("lon"))
+    return rows.withColumn(out, F.when(inner != "", F.transform(F.split(inner, ","), point)))
+
+
+def read_polygons(spark: SparkSession, path: str) -> DataFrame:
+    """Polygons of a table with a ``wkt`` column (for layers exported from shape files)."""
+    return parse_polygons(spark.read.parquet(path), "wkt")
+
+
 def land_cells(spark: SparkSession, path: str) -> DataFrame:
     """``row, col`` of the land cells of a raster that was written with ``write_land_cells``."""
     return spark.read.parquet(path).select("row", "col")

@@ -282,3 +282,16 @@ def test_names_and_times(spark):
     ts = F.lit("2025-08-12 06:45:30").cast("timestamp_ntz")
     got = one(spark, a=textual.stem(F.lit("/x/y.tar.gz")), b=textual.extension(F.lit("Y.PNG")), c=textual.metres(F.lit("0.31m ")), d=textual.metres(F.lit("n/a")), e=textual.iso(ts), f=textual.decimal_hour(ts), g=textual.relative_to(F.lit("/r/a/b"), "/r"), h=textual.stem(F.lit(".hidden")))
     assert got[:] == ("y.tar", ".png", 0.31, None, "2025-08-12T06:45:30", 6.75, "a/b", ".hidden")
+
+
+def test_metadata_and_polygons(spark):
+    meta = spark.createDataFrame([(" c1 ", "1", "x", "0.31m", " WV3 "), ("c1", "1", "x", "0.5m", "other")], files.METADATA)
+    images = spark.createDataFrame([("/d/c1.png",)], "path string")
+    assert files.metadata_of(images, meta).first()[:] == ("/d/c1.png", 0.31, "WV3")
+    with pytest.raises(Exception, match="no metadata"):
+        files.metadata_of(spark.createDataFrame([("/d/zz.png",)], "path string"), meta).collect()
+    rows = spark.createDataFrame([("POLYGON ((0 0, 4 0, 4 3, 0 3, 0 0))",), ("POINT (1 1)",), (None,)], "wkt string")
+    rings = [r.ring for r in files.parse_polygons(rows, "wkt").collect()]
+    assert [(p.lat, p.lon) for p in rings[0]][:3] == [(0, 0), (0, 4), (3, 4)] and rings[1:] == [None, None]
+    cells = spatial.burn_polygons(files.parse_polygons(rows, "wkt").where("ring IS NOT NULL"), "ring", 1.0)
+    assert cells.count() == 12
