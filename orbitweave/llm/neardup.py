@@ -3,13 +3,16 @@
 A document's set holds its distinct runs of five words. ``BANDS * ROWS`` MinHash samples of the set are
 banded to find candidates, and folded into a parity bitmap (odd sketch) of ``SKETCH_BITS``: the population
 count of two sketches' XOR estimates how many samples differ, precisely for high similarities, and
-discards candidates far below the threshold. What remains is confirmed on the full sets.
+discards candidates far below the threshold. A second odd sketch folds the set itself: two sets differ in
+at least as many shingles as their sketches in bits, a bound that loses nothing and is sharp for short
+texts. What remains is confirmed on the full sets.
 
 No pairs are made inside groups. Documents with equal sets are one node. In each bucket every node is
 compared with the bucket's least one. Nodes that then are in another component than that one may still
 be linked with others of the bucket; of those pairs only the ones that share a shingle among their rarest
 quarter (prefix filter: no link is without one) are looked at, which two copies with different edits do
-not. So every candidate pair is compared, connected already, or known to be too different.
+not; their places in that order and the set sketches are compared before a pair leaves the join. So every
+candidate pair is compared, connected already, or known to be too different.
 At similarity 0.75 a pair shares no band with probability below 3e-7.
 
 Cases: letters A-Z are lower-cased; fewer than five words form one run; a document without words or text
@@ -23,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orbitweave.llm.components import connected_components
@@ -81,8 +84,15 @@ def odd_sketch(sample: np.ndarray) -> np.ndarray:
     return np.packbits(odd).view(np.int64)
 
 
+def set_sketch(own: np.ndarray) -> np.ndarray:
+    """Parity bitmap of a set: its XOR with another's has at most as many bits as the sets differ in shingles."""
+    odd = (np.bincount((own >> U64(32) & U64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
+
+
 _SKETCH = [f"s{k}" for k in range(SKETCH_BITS // 64)]
-SIGNATURES = "doc_id long, n_shingles long, key1 long, key2 long, bands array<long>, " + ", ".join(f"{s} long" for s in _SKETCH)
+_SET = [f"t{k}" for k in range(SKETCH_BITS // 64)]
+SIGNATURES = "doc_id long, n_shingles long, key1 long, key2 long, bands array<long>, " + ", ".join(f"{s} long" for s in [*_SKETCH, *_SET])
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,17 +106,17 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(own):
                     sample = samples(own)
                     band_keys.append(bands(sample))
-                    sketches.append(odd_sketch(sample))
+                    sketches.append(np.concatenate([odd_sketch(sample), set_sketch(own)]))
                     keys.append((np.bitwise_xor.reduce(mix(own + U64(7))), np.add.reduce(mix(own ^ _BAND[0]))))
                 else:
-                    sketches.append(np.zeros(len(_SKETCH), dtype=np.int64))
+                    sketches.append(np.zeros(len(_SKETCH) + len(_SET), dtype=np.int64))
                     keys.append((U64(0), U64(0)))
                 offsets.append(offsets[-1] + (BANDS if len(own) else 0))
             flat = np.concatenate(band_keys).view(np.int64) if band_keys else np.empty(0, dtype=np.int64)
             key = np.array(keys, dtype=U64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(key[:, 0].copy()), pa.array(key[:, 1].copy()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat)), *(pa.array(c.copy()) for c in np.array(sketches).T)],
-                ["doc_id", "n_shingles", "key1", "key2", "bands", *_SKETCH],
+                ["doc_id", "n_shingles", "key1", "key2", "bands", *_SKETCH, *_SET],
             )
 
 
@@ -152,7 +162,10 @@ def _rarest(counts: np.ndarray, threshold: int):
                 times = [len(r) for r in kept]
                 flat = np.concatenate(kept).view(np.int64)
                 repeat = lambda v: pa.array(np.repeat(v, times))
-                yield pa.RecordBatch.from_arrays([pa.array(flat), repeat(ids[lo:hi]), repeat(owns[lo:hi]), repeat(outside[lo:hi].astype(bool)), repeat(np.array([len(s) for s in sets]))], ["token", "doc_id", "own", "outside", "n"])
+                at = pa.array(np.concatenate([np.arange(n) for n in times]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(flat), repeat(ids[lo:hi]), repeat(owns[lo:hi]), repeat(outside[lo:hi].astype(bool)), repeat(np.array([len(s) for s in sets])), at], ["token", "doc_id", "own", "outside", "n", "at"]
+                )
 
     return run
 
@@ -218,14 +231,19 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = keyed.groupBy("bucket").agg(F.min("rep").alias("centre"), F.max("rep").alias("last")).where(F.col("centre") < F.col("last")).drop("last")
     buckets = materialise(keyed.join(shared, "bucket"), "near-buckets")
 
-    sketches = signed.select(F.col("doc_id").alias("id"), *_SKETCH).groupBy("id").agg(*(F.when(F.min(s) == F.max(s), F.min(s)).alias(s) for s in _SKETCH))
+    same = lambda c: F.when(F.min(c) == F.max(c), F.min(c)).alias(c)
+    traits = [*_SKETCH, *_SET, "n_shingles"]
+    sketches = full.select(F.col("doc_id").alias("id"), *traits).groupBy("id").agg(*(same(c) for c in traits))  # null for an id with several sets
+
+    def sketched(df: DataFrame, column: str, prefix: str, columns: list[str] = traits) -> DataFrame:
+        return df.join(sketches.select(F.col("id").alias(column), *(F.col(c).alias(prefix + c) for c in columns)), column)
 
-    def sketched(df: DataFrame, column: str, prefix: str) -> DataFrame:
-        side = sketches.select(F.col("id").alias(column), *(F.col(s).alias(prefix + s) for s in _SKETCH))
-        return df.join(side, column)
+    def differing(columns: list[str]) -> Column:
+        return sum((F.bit_count(F.col("x" + s).bitwiseXOR(F.col("y" + s))) for s in columns), F.lit(0))
 
-    differing = sum((F.bit_count(F.col("x" + s).bitwiseXOR(F.col("y" + s))) for s in _SKETCH), F.lit(0))
-    near = F.coalesce(differing <= FAR_BITS, F.lit(True))  # an id with several sets has no sketch
+    # Sets as similar as the threshold differ in no more than this share of both sizes.
+    bounded = F.coalesce((100 + threshold) * differing(_SET) <= (100 - threshold) * (F.col("xn_shingles") + F.col("yn_shingles")), F.lit(True))
+    near = F.coalesce(differing(_SKETCH) <= FAR_BITS, F.lit(True)) & bounded
     stars = buckets.where(F.col("rep") != F.col("centre")).select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
     stars = sketched(sketched(stars, "a", "x"), "b", "y").where(near).select("a", "b")
     first = materialise(confirm_pairs(stars, docs, threshold), "near-edges")
@@ -239,15 +257,23 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     apart = F.col("own") != F.col("middle")
     open_buckets = placed.where(apart).select("bucket").distinct()
     people = materialise(placed.join(open_buckets, "bucket", "left_semi").groupBy(F.col("rep").alias("doc_id")).agg(F.min("own").alias("own"), F.max(apart).alias("outside")), "near-people")
-    side = F.broadcast(people) if people.count() <= BROADCAST_IDS else people
-    texts = docs.join(side, "doc_id").select("doc_id", "own", "outside", "text")
+    few = F.broadcast(people) if people.count() <= BROADCAST_IDS else people
+    texts = docs.join(few, "doc_id").select("doc_id", "own", "outside", "text")
     cells = texts.select("text").mapInArrow(_cell_counts, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(CELLS, dtype=np.int64)
     counts[cells["cell"].to_numpy()] = cells["n"].to_numpy()
-    rare = texts.mapInArrow(_rarest(counts, threshold), "token long, doc_id long, own long, outside boolean, n long").distinct()
-    x, y = (rare.select("token", *(F.col(c).alias(k + c) for c in ("doc_id", "own", "outside", "n"))) for k in "xy")
-    alike = (100 * F.least("xn", "yn") >= threshold * F.greatest("xn", "yn")) & (F.col("xown") != F.col("yown"))
-    rest = x.where("xoutside").join(y, "token").where(alike).select(F.least("xdoc_id", "ydoc_id").alias("a"), F.greatest("xdoc_id", "ydoc_id").alias("b")).distinct()
+    rare = materialise(texts.mapInArrow(_rarest(counts, threshold), "token long, doc_id long, own long, outside boolean, n long, at long"), "near-rare")
+    shared = rare.groupBy("token").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.max("outside").alias("any")).where("lo < hi AND any").select("token")
+    alive = materialise(rare.join(shared, "token", "left_semi").distinct(), "near-alive")
+    whole = ["doc_id", "own", "outside", "n", "at"]
+
+    def side(k: str) -> DataFrame:
+        return sketched(alive.select("token", *(F.col(c).alias(k + c) for c in whole)), f"{k}doc_id", k, [*_SET, "n_shingles"])
+
+    # The first common shingle of two sets leaves no more for both than what follows it in either.
+    left = (100 + threshold) * F.least(F.col("xn") - F.col("xat"), F.col("yn") - F.col("yat")) >= threshold * (F.col("xn") + F.col("yn"))
+    rest = side("x").where("xoutside").join(side("y"), "token").where((F.col("xown") != F.col("yown")) & left & bounded)
+    rest = rest.select(F.least("xdoc_id", "ydoc_id").alias("a"), F.greatest("xdoc_id", "ydoc_id").alias("b")).distinct()
     rest = sketched(sketched(rest, "a", "x"), "b", "y").where(near).select("a", "b")
     second = materialise(confirm_pairs(rest, docs, threshold), "near-edges")
     components = connected_components(first.unionByName(second))
