@@ -7,6 +7,13 @@ into the space of its leading right singular vectors, and windows whose cosine t
 the passage and the window with its surroundings: nearly the whole passage in order is a copy; at least
 ``PARAPHRASE`` of it is a paraphrase if the item's answer (its last sentence, or quarter) is there too.
 
+The leading vectors hold little of a passage that shares few words with the others, so its cosine says
+nothing, and a window dilutes a short passage. Every place that has enough of a passage's words is
+therefore a candidate as well, whatever its cosine: of the words that a passage can do without and a few
+more, rarest first, as many as those few must be there. This loses no place with ``PARAPHRASE`` of the
+words close together, that is in a span of one and a quarter of the passage's length (and of some up to
+one and a half); such candidates are confirmed within such a span. Their reported cosine may be small.
+
 The benchmark is the stated query set, taken in blocks of ``BLOCK_BYTES`` of text, so what is broadcast
 is bounded; every window of every document meets every block. Texts are never shuffled.
 
@@ -167,11 +174,83 @@ def word_masks(sequence: list[int]) -> dict[int, int]:
 MATCHES = "doc_id long, item_id long, cosine double, coverage double, answer double"
 
 
-def _search(vocabulary: Vocabulary, fold_in: np.ndarray, latent: np.ndarray, passages: list[tuple]):
-    """Every window of every text against every passage: cosine, then subsequence and answer checks."""
+def _least(size: int) -> int:
+    """Words of a passage that any match has."""
+    return next(k for k in range(size + 1) if k / size >= PARAPHRASE)
+
+
+def _span(size: int) -> int:
+    """Words among which those of a passage must stand where the latent space says nothing."""
+    return size + size // 2
+
+
+class RareWords:
+    """Places that may hold at least ``need`` words of a passage, found by the passages' rarest words.
+
+    ``n - need`` words of ``n`` may be missing, so of any ``n - need + few`` words ``few`` are there."""
+
+    def __init__(self, vocabulary: Vocabulary, df: np.ndarray, passages: list[list[int]], needs: list[int]):
+        self.few = np.array([min(need, max(2, len(p) // 8)) for p, need in zip(passages, needs, strict=True)], dtype=np.int64)
+        #: Halves that a span may touch.
+        self.reach = np.array([(_span(len(p)) + HALF - 2) // HALF + 1 for p in passages], dtype=np.int64)
+        posts = []
+        for k, (p, need) in enumerate(zip(passages, needs, strict=True)):
+            at = np.searchsorted(vocabulary.hashes, np.array(p, dtype=U64))
+            rarest = at[np.lexsort((at, df[at]))][: len(p) - need + int(self.few[k])]
+            place, weight = np.unique(rarest, return_counts=True)
+            posts.append((place, np.full(len(place), k), weight))
+        place, passage, weight = (np.concatenate([x[i] for x in posts]) for i in range(3))
+        order = np.argsort(place, kind="stable")
+        self.passage, self.weight = passage[order], weight[order]
+        self.first = np.searchsorted(place[order], np.arange(len(vocabulary.hashes) + 1))
+
+    def candidates(self, half: np.ndarray, place: np.ndarray, row: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(first half, passage), given the known words' halves and places, and each half's row."""
+        n = len(self.few)
+        pair = np.unique(half * len(self.first) + place)
+        half, place = pair // len(self.first), pair % len(self.first)
+        count = self.first[place + 1] - self.first[place]
+        keys, sums = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+        ends = np.cumsum(count)
+        a = 0
+        while a < len(count):  # some postings at a time
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + (1 << 20), side="right")))
+            c = count[a:b]
+            post = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) + np.repeat(self.first[place[a:b]], c)
+            key, inverse = np.unique(np.repeat(half[a:b], c) * n + self.passage[post], return_inverse=True)
+            keys.append(key)
+            sums.append(np.bincount(inverse, self.weight[post], len(key)).astype(np.int64))
+            a = b
+        key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        own = np.bincount(inverse, np.concatenate(sums), len(key)).astype(np.int64)
+        if not len(key):
+            return
+        h, p = key // n, key % n
+        total = own.copy()
+        for step in range(1, int(self.reach.max())):
+            at = np.minimum(np.searchsorted(key, key + step * n), len(key) - 1)
+            here = (key[at] == key + step * n) & (step < self.reach[p])
+            here &= row[np.minimum(h + step, len(row) - 1)] == row[h]
+            total += np.where(here, own[at], 0)
+        good = np.flatnonzero(total >= self.few[p])
+        yield from zip(h[good].tolist(), p[good].tolist(), strict=True)
+
+
+def _search(vocabulary: Vocabulary, fold_in: np.ndarray, latent: np.ndarray, passages: list[tuple], rare: RareWords):
+    """Every window of every text against every passage: cosine or rare words, then subsequence and answer checks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tests = [(word_masks(p), len(p), word_masks(a), len(a)) for _, p, a in passages]
+
+        def judge(p: int, region: list[int]) -> tuple[float, float] | None:
+            masks, size, answer_masks, answer_size = tests[p]
+            coverage = lcs(masks, size, region) / size
+            if coverage >= PARAPHRASE:
+                answer = lcs(answer_masks, answer_size, region) / answer_size
+                if coverage >= COPY or answer >= ANSWER:
+                    return coverage, answer
+            return None
+
         for batch in batches:
             rows: list[tuple] = []
             for lo, hi in row_blocks(batch.column(1)):
@@ -197,17 +276,25 @@ def _search(vocabulary: Vocabulary, fold_in: np.ndarray, latent: np.ndarray, pas
                     cosine = window[a : a + 8192] @ latent.T
                     hit_w, hit_p = np.nonzero(cosine >= COSINE * np.maximum(norm[a : a + 8192, None], 1e-12))
                     for x, p in zip((hit_w + a).tolist(), hit_p.tolist(), strict=True):
-                        masks, size, answer_masks, answer_size = tests[p]
-                        doc = int(row[x])
+                        size, doc = tests[p][1], int(row[x])
                         b, e = max(int(w.first[doc]), int(starts[x]) - size), min(int(w.first[doc + 1]), int(starts[x]) + WINDOW + size)
-                        region = w.hashes[b:e].tolist()
-                        coverage = lcs(masks, size, region) / size
-                        if coverage >= PARAPHRASE:
-                            answer = lcs(answer_masks, answer_size, region) / answer_size
-                            if coverage >= COPY or answer >= ANSWER:
-                                best = (coverage, answer, float(cosine[x - a, p] / norm[x]))
-                                key = (doc, p)
-                                found[key] = max(found.get(key, best), best)
+                        match = judge(p, w.hashes[b:e].tolist())
+                        if match:
+                            best = (*match, float(cosine[x - a, p] / norm[x]))
+                            found[doc, p] = max(found.get((doc, p), best), best)
+                for x, p in rare.candidates(half, place, row):
+                    masks, size, doc = *tests[p][:2], int(row[x])
+                    span, step = _span(size), max(1, size // 4)
+                    # A match may begin before the half of its first counted word.
+                    b, e = max(int(w.first[doc]), int(starts[x]) - span), min(int(w.first[doc + 1]), int(starts[x]) + HALF + span)
+                    region = w.hashes[b:e].tolist()
+                    if found.get((doc, p), (0.0,))[0] == 1.0 or lcs(masks, size, region) / size < PARAPHRASE:
+                        continue
+                    for at in range(0, max(1, len(region) - span + step), step):
+                        match = judge(p, region[at : at + span])
+                        if match:
+                            near = float(window[x] @ latent[p] / max(norm[x], 1e-12))
+                            found[doc, p] = max(found.get((doc, p), (0.0, 0.0, 0.0)), (*match, near))
                 rows += [(lo + doc, p, *v) for (doc, p), v in found.items()]
             ids = batch.column(0).to_pylist()
             yield pa.RecordBatch.from_arrays(
@@ -244,7 +331,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
             place, tf = np.unique(vocabulary.find(np.array(p, dtype=U64))[1], return_counts=True)
             v = tf @ fold_in[place]
             latent[k] = v / (np.sqrt(v @ v) or 1.0)
-        leaks = leaks.unionByName(rows.mapInArrow(_search(vocabulary, fold_in, latent, passages), MATCHES))
+        rare = RareWords(vocabulary, df, [p for _, p, _ in passages], [_least(len(p)) for _, p, _ in passages])
+        leaks = leaks.unionByName(rows.mapInArrow(_search(vocabulary, fold_in, latent, passages, rare), MATCHES))
     best = F.max(F.struct("coverage", "answer", "cosine")).alias("best")
     return leaks.groupBy("doc_id", "item_id").agg(best).select(
         "doc_id", "item_id", "best.cosine", "best.coverage", "best.answer", F.when(F.col("best.coverage") >= COPY, "copy").otherwise("paraphrase").alias("kind")

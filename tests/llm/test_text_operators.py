@@ -207,6 +207,19 @@ def test_paraphrases_and_odd_rows(spark):
     assert decontam.find_leaks(docs.limit(0), bench).collect() == [] and decontam.find_leaks(docs, bench.limit(0)).collect() == []
 
 
+def test_every_item_of_a_large_benchmark_is_found(spark):
+    rng = random.Random(8)
+    weights = [1 / (k + 5) for k in range(20_000)]
+    prose = lambda n: rng.choices(range(20_000), weights, k=n)
+    text = lambda ws: " ".join(f"w{w}" for w in ws)
+    items = [prose(rng.randint(8, 60)) for _ in range(2000)] + [[30_000 + 50 * k + j for j in range(40)] for k in range(20)]
+    bench = spark.createDataFrame([(k, text(i)) for k, i in enumerate(items)], "item_id long, text string")
+    docs = spark.createDataFrame([(k, text(prose(rng.randint(75, 150)) + i + prose(rng.randint(75, 150)))) for k, i in enumerate(items)], "doc_id long, text string").repartition(4)
+    got = {(r.doc_id, r.item_id): r for r in decontam.find_leaks(docs, bench).collect()}
+    assert [k for k in range(len(items)) if (k, k) not in got or got[k, k].coverage < 1.0 or got[k, k].kind != "copy"] == []
+    assert sum(d != i for d, i in got) < 20
+
+
 def test_latent_space_keeps_cosines():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 50, 40).tolist()
