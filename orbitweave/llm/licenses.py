@@ -7,6 +7,10 @@ aligned the same way. Coverage is the share of the template's words that are mat
 A window of the text is aligned where it holds enough of the template's words, as a multiset, to reach the
 coverage at all; a document that lacks too many of them is not looked at further. Both tests lose nothing.
 
+A template's naming words (``NAMING``: mit, nc, 3 ...) must be among the matched ones, and none of the words
+that make another license of it (``OTHERWISE``: lesser, affero, sa ...) may stand between them unmatched. Of
+matches that overlap, the best is reported: most matched words, less those missing and those in between.
+
 Cases: a null or empty text matches nothing; equal texts match alike and repeated rows are reported each;
 a license may occur several times in a text, each is reported with its place; an empty table gives an
 empty result; other columns are ignored.
@@ -19,6 +23,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,6 +43,57 @@ TEMPLATES = {
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
     "CC-BY-4.0": "licensed under a Creative Commons Attribution 4.0 International License",
     "proprietary": "All rights reserved",
+    "BSD-notice": "Released under the BSD License",
+    "ISC-notice": "Released under the ISC License",
+    "GPL-2.0": "licensed under the GNU General Public License, version 2",
+    "LGPL-3.0": "licensed under the GNU Lesser General Public License, version 3",
+    "LGPL-2.1": "licensed under the GNU Lesser General Public License, version 2.1",
+    "AGPL-3.0": "licensed under the GNU Affero General Public License, version 3",
+    "LGPL-header": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    "AGPL-header": "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+    "CC-BY-4.0-notice": "Licensed under CC BY 4.0",
+    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0",
+    "CC-BY-ND-4.0": "Licensed under CC BY-ND 4.0",
+    "CC-BY-NC-SA-4.0": "Licensed under CC BY-NC-SA 4.0",
+    "CC-BY-NC-ND-4.0": "Licensed under CC BY-NC-ND 4.0",
+    "CC-BY-SA-4.0-name": "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+    "CC-BY-NC-4.0-name": "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
+    "CC0-1.0": "released under CC0 1.0 Universal",
+    "Unlicense": "This is free and unencumbered software released into the public domain",
+}
+#: Whole texts, as ``NAME-text``.
+TEMPLATES |= {f"{f.stem}-text": f.read_text(encoding="utf-8") for f in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
+#: Words of a notice without which it names another license, or none.
+NAMING = {
+    "Apache-2.0": "apache 2 0",
+    "Apache-2.0-header": "apache 2 0",
+    "MIT": "mit",
+    "GPL-3.0": "gnu general 3",
+    "GPL-header": "gnu general",
+    "MPL-2.0": "mozilla 2 0",
+    "CC-BY-NC-4.0": "cc by nc 4 0",
+    "CC-BY-4.0": "creative commons attribution 4 0",
+    "BSD-notice": "bsd",
+    "ISC-notice": "isc",
+    "GPL-2.0": "gnu general 2",
+    "LGPL-3.0": "gnu lesser 3",
+    "LGPL-2.1": "gnu lesser 2 1",
+    "AGPL-3.0": "gnu affero 3",
+    "LGPL-header": "gnu lesser",
+    "AGPL-header": "gnu affero",
+    "CC-BY-4.0-notice": "cc by 4 0",
+    "CC-BY-SA-4.0": "cc by sa 4 0",
+    "CC-BY-ND-4.0": "cc by nd 4 0",
+    "CC-BY-NC-SA-4.0": "cc by nc sa 4 0",
+    "CC-BY-NC-ND-4.0": "cc by nc nd 4 0",
+    "CC-BY-SA-4.0-name": "creative commons attribution sharealike 4 0",
+    "CC-BY-NC-4.0-name": "creative commons attribution noncommercial 4 0",
+    "CC0-1.0": "cc0 1 0",
+}
+OTHERWISE = {
+    "gnu": frozenset(["lesser", "library", "affero"]),
+    "cc": frozenset(["sa", "nc", "nd"]),
+    "creative": frozenset(["sharealike", "noncommercial", "noderivatives", "noderivs"]),
 }
 _WORD = re.compile(r"[^\W_]+")
 
@@ -99,8 +155,15 @@ class Template:
         self.count = Counter(self.words)
         #: Long words first: they are the likeliest to be missing.
         self.tests = sorted(self.count, key=lambda w: (-len(w), w))
+        #: Characters that the fewest words of a match take.
+        self.chars = sum(sorted(map(len, self.words))[: self.need])
+        self.otherwise = frozenset().union(*(OTHERWISE[w] for w in OTHERWISE if w in self.count))
+        #: The first places of the naming words.
+        self.naming = {self.words.index(w) for w in NAMING.get(name, "").split() if w in self.count}
 
     def possible(self, lower: str) -> bool:
+        if len(lower) < self.chars or not all(self.words[k] in lower for k in self.naming):
+            return False
         missing = 0
         for w in self.tests:
             if w not in lower:
@@ -109,11 +172,11 @@ class Template:
                     return False
         return True
 
-    def find(self, words: list[str]) -> Iterator[tuple[int, int, float]]:
-        """(first word, end, coverage) of matches from left to right, without overlaps."""
+    def find(self, words: list[str]) -> Iterator[tuple[int, int, int]]:
+        """(first word, end, matched words) of matches from left to right, without overlaps."""
         width = len(self.words) + len(self.words) // 4 + 2
         held, common, begin = Counter(), 0, 0
-        k = 0
+        k = again = 0
         while k < len(words):
             w = words[k]
             if w in self.count:
@@ -126,17 +189,37 @@ class Template:
                     held[old] -= 1
                 begin += 1
             k += 1
-            if common >= self.need:
+            if common >= self.need and k >= again:
                 matched = patience(words[begin : k + len(self.words) - self.need], self.words)
-                if len(matched) >= self.need:  # aligned again from where the match begins, as far as it may go
+                if len(matched) < self.need:
+                    # Each further word adds one match at most; for a short notice the next word is tried all the same.
+                    again = k + (self.need - len(matched) if len(self.words) > 64 else 1)
+                else:  # aligned again from where the match begins, as far as it may go
                     begin += matched[0][0]
                     whole = patience(words[begin : begin + width], self.words)
                     matched = whole if len(whole) >= len(matched) else [(a - matched[0][0], b) for a, b in matched]
                     end = begin + matched[-1][0] + 1
-                    yield begin + matched[0][0], end, len(matched) / len(self.words)
+                    taken = {a for a, _ in matched}
+                    between = (begin + a for a in range(matched[0][0], matched[-1][0]) if a not in taken and words[begin + a] in self.otherwise)
+                    other = next((a for a in between if words[a] != "library" or words[a - 1] == "gnu"), None)
+                    if other is not None:
+                        end = other + 1
+                    elif self.naming <= {b for _, b in matched}:
+                        yield begin + matched[0][0], end, len(matched)
+                    else:  # the next words may bring the name
+                        end = begin + matched[0][0] + 1
                     held, common, begin, k = Counter(), 0, end, end
 
 
+def _best(found: list[tuple[int, int, int, Template]]) -> list[tuple[int, int, int, Template]]:
+    """Of matches (start, end, matched words, template) that overlap, the best."""
+    kept: list[tuple[int, int, int, Template]] = []
+    for m in sorted(found, key=lambda m: m[2] - (len(m[3].words) - m[2]) - (m[1] - m[0] - m[2]), reverse=True):
+        if all(m[1] <= a or b <= m[0] for a, b, _, _ in kept):
+            kept.append(m)
+    return kept
+
+
 @lru_cache(maxsize=4)
 def _templates(given: tuple[tuple[str, str], ...], coverage: float) -> list[Template]:
     return [Template(n, t, coverage) for n, t in given]
@@ -149,14 +232,14 @@ def scan_text(text: str | None, templates: dict[str, str] = TEMPLATES, coverage:
     lower = text.lower()
     if len(lower) != len(text):  # a letter whose lower case is longer: the places must stay those of the text
         lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    out, spans = [], None
+    found, spans = [], None
     for t in _templates(tuple(templates.items()), coverage):
         if t.possible(lower):
             if spans is None:
                 spans = [m.span() for m in _WORD.finditer(lower)]
                 words = [lower[a:b] for a, b in spans]
-            out += [(t.name, spans[a][0], spans[b - 1][1], c) for a, b, c in t.find(words)]
-    return out
+            found += [(a, b, n, t) for a, b, n in t.find(words)]
+    return [(t.name, spans[a][0], spans[b - 1][1], n / len(t.words)) for a, b, n, t in _best(found)]
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] = TEMPLATES, coverage: float = COVERAGE) -> DataFrame:

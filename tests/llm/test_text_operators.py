@@ -58,6 +58,34 @@ def test_every_planted_license_line(spark, sf_dir):
     assert Counter((r.doc_id, r.license) for r in licenses.scan_licenses(docs).collect()) == want
 
 
+def test_licenses_that_differ_by_a_word():
+    names = lambda text: [m[0] for m in licenses.scan_text(text)]
+    cases = {
+        "Released under the BSD License": ["BSD-notice"],
+        "Licensed under CC BY 4.0": ["CC-BY-4.0-notice"],
+        "Licensed under CC BY-SA 4.0": ["CC-BY-SA-4.0"],
+        "Licensed under CC BY-NC-SA 4.0": ["CC-BY-NC-SA-4.0"],
+        "licensed under the GNU General Public License, version 2": ["GPL-2.0"],
+        "licensed under the GNU Lesser General Public License, version 3": ["LGPL-3.0"],
+        "licensed under the GNU Affero General Public License, version 3": ["AGPL-3.0"],
+        "Licensed under the Apache License, Version 1.1": [],
+        "Released under the XYZ License": [],
+        licenses.TEMPLATES["Apache-2.0-header"]: ["Apache-2.0-header"],
+    }
+    assert {text: names(f"Some words before. {text}. And after.") for text in cases} == cases
+    both = "licensed under the GNU Lesser General Public License, version 3. It is licensed under the GNU General Public License, version 3."
+    assert sorted(names(both)) == ["GPL-3.0", "LGPL-3.0"]
+
+
+@pytest.mark.parametrize("name", [n for n in licenses.TEMPLATES if n.endswith("-text")])
+def test_whole_license_texts(name):
+    body = licenses.TEMPLATES[name].split()
+    changed = " ".join(w for k, w in enumerate(body) if k % 29 != 28)
+    for text in (" ".join(body), changed):
+        found = licenses.scan_text(f"Prose before it. {text} Prose after it.")
+        assert [m[0] for m in found] == [name]
+
+
 # Perspectives.
 def test_masks_cover_exactly_the_assistant(spark):
     rows = [(1, 0, "system", "be nice"), (1, 1, "ann", "hi"), (1, 2, "bob", "hello <|im_end|>"), (1, 2, "bob", "hello <|im_end|>"), (1, 3, None, None), (1, 300, "ann", "later"), (2, 0, "system", "alone"), (None, None, "cy", "x")]
