@@ -24,8 +24,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes repeated lines out of the texts; a document that has lost all it said goes."""
-    deduped = linededup.dedup_lines(docs)
+    """Takes repeated lines, short ones too, out of the texts; a document that has lost all it said goes."""
+    deduped = linededup.dedup_lines(docs, exact_chars=1)
     lost = (F.col("n_exact") + F.col("n_near") > 0) & (F.trim("text") == "")
     return deduped.where(~F.coalesce(lost, F.lit(False))).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 

@@ -2,7 +2,8 @@
 
 A line is dropped if an earlier line of the corpus (by doc_id, then position) is equal to it or one edit
 (inserted, deleted or exchanged character) away; the earliest stays. Lines of fewer than ``min_chars``
-characters are always kept.
+characters are never dropped as one edit away, and as equal ones only from ``exact_chars`` characters on
+(``min_chars`` if not given, as the SQL has it). Shorter lines of white space only are always kept.
 
 Variants of a line, with one character deleted, are emitted as hashed keys and equal keys are joined:
 a line equal to another's variant is one insertion away, and two lines with the same variant at the same
@@ -126,11 +127,15 @@ def near_lines(lines: DataFrame, texts: DataFrame, firsts: DataFrame) -> DataFra
     return pairs.join(later, ["h1", "h2"]).join(earlier, ["g1", "g2"]).where(F.levenshtein("mine", "other", 1) >= 0).select("h1", "h2").distinct()
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
     """``docs`` with repeated lines taken out of the text, and ``n_lines, n_exact, n_near``: its lines, and
     how many were dropped as equal to an earlier line or one edit away from one."""
-    texts = _lines(docs, id_col, text_col, min_chars)
-    lines = materialise(texts.select("doc", "th", "pos", "h1", "h2", _halves(F.col("line")).alias("keys")), "lines")
+    texts = _lines(docs, id_col, text_col, min_chars if exact_chars is None else min(min_chars, exact_chars))
+    keys = _halves(F.col("line"))
+    if exact_chars is not None:
+        texts = texts.where((F.char_length("line") >= min_chars) | F.col("line").rlike(r"\S"))
+        keys = F.when(F.char_length("line") >= min_chars, keys)
+    lines = materialise(texts.select("doc", "th", "pos", "h1", "h2", keys.alias("keys")), "lines")
     place = F.struct("doc", "th", "pos")
     firsts = materialise(lines.groupBy("h1", "h2").agg(F.min(place).alias("first")), "line-firsts")
     near = materialise(near_lines(lines, texts.select("h1", "h2", "line"), firsts), "lines-near").withColumn("near", F.lit(True))

@@ -90,6 +90,16 @@ def test_odd_rows(spark):
     assert linededup.dedup_lines(df.limit(0)).collect() == []
 
 
+def test_exact_repeats_of_short_lines(spark):
+    import corpus_pipeline
+
+    rows = [(1, "a short line\n\n  \nab"), (2, "a short line\n\n  \nac"), (3, "one more\na short line\nab"), (4, "x" * 24 + "\n" + "x" * 23 + "\n" + "x" * 23)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, df, "").collect()}
+    assert out == {1: rows[0][1], 2: "\n  \nac", 3: "one more", 4: "x" * 24 + "\n" + "x" * 23}
+    assert [r.n_exact for r in linededup.dedup_lines(df).orderBy("doc_id").collect()] == [0, 0, 0, 0]
+
+
 def test_main_path_is_native(spark, sf_dir):
     plan = linededup.dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "CartesianProduct" not in plan
