@@ -14,6 +14,10 @@ more, rarest first, as many as those few must be there. This loses no place with
 words close together, that is in a span of one and a quarter of the passage's length (and of some up to
 one and a half); such candidates are confirmed within such a span. Their reported cosine may be small.
 
+Of an item of more than ``WINDOW`` words an excerpt is a copy as well, wherever it begins: ``EXCERPT`` words
+in order, among ``WINDOW`` of the document and ``WINDOW`` of the item. It is measured against stretches of
+the item that reach ``MARGIN`` words beyond a passage on both sides, so each such excerpt lies in one.
+
 The benchmark is the stated query set, taken in blocks of ``BLOCK_BYTES`` of text, so what is broadcast
 is bounded; every window of every document meets every block. Texts are never shuffled.
 
@@ -36,17 +40,20 @@ from orbitweave.llm.textblocks import U64, row_blocks, words
 
 WINDOW, HALF, MIN_WORDS = 64, 32, 8
 COSINE, COPY, PARAPHRASE, ANSWER = 0.45, 0.8, 0.6, 0.6
+#: Words in order that make an excerpt of a longer item a copy, whatever their share of it.
+EXCERPT, MARGIN = 50, HALF // 2
 RANK, OVERSAMPLING, POWER_ROUNDS = 128, 8, 2
 #: Benchmark text that is searched for at once: bounds the vocabulary and with it all that is broadcast.
 BLOCK_BYTES = 1 << 19
 
 
 def item_passages(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """``item_id, part, hashes, answer``: word hashes (64-bit, as bytes) of each passage and of the item's answer."""
+    """``item_id, part, hashes, answer, stretch``: word hashes (64-bit, as bytes) of each passage, of the item's
+    answer, and of the passage with its margins if the item is longer than a passage (else none)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, parts, passages, answers = [], [], [], []
+            ids, parts, passages, answers, stretches = [], [], [], [], []
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = words(pa.array([text or ""])).hashes
                 if len(own) < MIN_WORDS:
@@ -58,10 +65,11 @@ def item_passages(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
                     parts.append(part)
                     passages.append(own[at : at + WINDOW].tobytes())
                     answers.append(answer.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(parts, pa.int32()), pa.array(passages, pa.binary()), pa.array(answers, pa.binary())], ["item_id", "part", "hashes", "answer"])
+                    stretches.append(own[max(0, at - MARGIN) : at + WINDOW + MARGIN].tobytes() if len(own) > WINDOW else b"")
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(parts, pa.int32()), pa.array(passages, pa.binary()), pa.array(answers, pa.binary()), pa.array(stretches, pa.binary())], ["item_id", "part", "hashes", "answer", "stretch"])
 
     rows = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "item_id long, part int, hashes binary, answer binary")
+    return rows.mapInArrow(run, "item_id long, part int, hashes binary, answer binary, stretch binary")
 
 
 class Vocabulary:
@@ -171,12 +179,13 @@ def word_masks(sequence: list[int]) -> dict[int, int]:
     return out
 
 
-MATCHES = "doc_id long, item_id long, cosine double, coverage double, answer double"
+MATCHES = "doc_id long, item_id long, cosine double, coverage double, answer double, excerpt int"
 
 
-def _least(size: int) -> int:
-    """Words of a passage that any match has."""
-    return next(k for k in range(size + 1) if k / size >= PARAPHRASE)
+def _least(size: int, excerpts: bool) -> int:
+    """Words of a passage that any match has; an excerpt may have ``MARGIN`` of its words outside."""
+    least = next(k for k in range(size + 1) if k / size >= PARAPHRASE)
+    return min(least, EXCERPT - MARGIN) if excerpts else least
 
 
 def _span(size: int) -> int:
@@ -240,7 +249,8 @@ def _search(vocabulary: Vocabulary, fold_in: np.ndarray, latent: np.ndarray, pas
     """Every window of every text against every passage: cosine or rare words, then subsequence and answer checks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tests = [(word_masks(p), len(p), word_masks(a), len(a)) for _, p, a in passages]
+        tests = [(word_masks(p), len(p), word_masks(a), len(a)) for _, p, a, _ in passages]
+        stretches = [(word_masks(s), len(s)) for _, _, _, s in passages]
 
         def judge(p: int, region: list[int]) -> tuple[float, float] | None:
             masks, size, answer_masks, answer_size = tests[p]
@@ -272,6 +282,7 @@ def _search(vocabulary: Vocabulary, fold_in: np.ndarray, latent: np.ndarray, pas
                 window = sums[:-1] + np.where(follows[:, None], sums[1:], np.float32(0))
                 norm = np.sqrt(np.einsum("ij,ij->i", window, window))
                 found: dict[tuple[int, int], tuple[float, float, float]] = {}
+                excerpts: dict[tuple[int, int], tuple[int, float]] = {}
                 for a in range(0, len(window), 8192):
                     cosine = window[a : a + 8192] @ latent.T
                     hit_w, hit_p = np.nonzero(cosine >= COSINE * np.maximum(norm[a : a + 8192, None], 1e-12))
@@ -288,18 +299,29 @@ def _search(vocabulary: Vocabulary, fold_in: np.ndarray, latent: np.ndarray, pas
                     # A match may begin before the half of its first counted word.
                     b, e = max(int(w.first[doc]), int(starts[x]) - span), min(int(w.first[doc + 1]), int(starts[x]) + HALF + span)
                     region = w.hashes[b:e].tolist()
-                    if found.get((doc, p), (0.0,))[0] == 1.0 or lcs(masks, size, region) / size < PARAPHRASE:
+                    if found.get((doc, p), (0.0,))[0] == 1.0:
+                        continue
+                    near = float(window[x] @ latent[p] / max(norm[x], 1e-12))
+                    if stretches[p][1] >= EXCERPT and lcs(*stretches[p], region) >= EXCERPT:
+                        # The counted words lie in the passage; the excerpt may reach beyond the span.
+                        b, e = max(int(w.first[doc]), int(starts[x]) - WINDOW), min(int(w.first[doc + 1]), int(starts[x]) + HALF + WINDOW)
+                        most = max(lcs(*stretches[p], w.hashes[at : min(at + WINDOW, e)].tolist()) for at in range(b, max(b + 1, e - EXCERPT + 1)))
+                        if most >= EXCERPT:
+                            excerpts[doc, p] = max(excerpts.get((doc, p), (0, 0.0)), (most, near))
+                    if lcs(masks, size, region) / size < PARAPHRASE:
                         continue
                     for at in range(0, max(1, len(region) - span + step), step):
                         match = judge(p, region[at : at + span])
                         if match:
-                            near = float(window[x] @ latent[p] / max(norm[x], 1e-12))
                             found[doc, p] = max(found.get((doc, p), (0.0, 0.0, 0.0)), (*match, near))
-                rows += [(lo + doc, p, *v) for (doc, p), v in found.items()]
+                rows += [(lo + doc, p, *v, excerpts.get((doc, p), (0,))[0]) for (doc, p), v in found.items()]
+                for (doc, p), (most, near) in excerpts.items():
+                    if (doc, p) not in found:
+                        rows.append((lo + doc, p, min(1.0, most / len(passages[p][1])), 0.0, near, most))
             ids = batch.column(0).to_pylist()
             yield pa.RecordBatch.from_arrays(
-                [pa.array([ids[r[0]] for r in rows], pa.int64()), pa.array([passages[r[1]][0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.float64()) for k in (4, 2, 3))],
-                ["doc_id", "item_id", "cosine", "coverage", "answer"],
+                [pa.array([ids[r[0]] for r in rows], pa.int64()), pa.array([passages[r[1]][0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.float64()) for k in (4, 2, 3)), pa.array([r[5] for r in rows], pa.int32())],
+                ["doc_id", "item_id", "cosine", "coverage", "answer", "excerpt"],
             )
 
     return run
@@ -315,11 +337,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     leaks = spark.createDataFrame([], MATCHES)
     for block in range(blocks):
         own = item_passages(benchmark.where(F.pmod(F.xxhash64(item_col), F.lit(blocks)) == block), item_col, item_text_col)
-        known = own.select("item_id", "hashes", "answer").collect()  # about BLOCK_BYTES of text
+        known = own.select("item_id", "hashes", "answer", "stretch").collect()  # about BLOCK_BYTES of text
         if not known:
             continue
-        passages = [(r.item_id, np.frombuffer(r.hashes, dtype=U64).tolist(), np.frombuffer(r.answer, dtype=U64).tolist()) for r in known]
-        vocabulary = Vocabulary(np.unique(np.array([h for _, p, _ in passages for h in p], dtype=U64)))
+        passages = [(r.item_id, np.frombuffer(r.hashes, dtype=U64).tolist(), np.frombuffer(r.answer, dtype=U64).tolist(), np.frombuffer(r.stretch, dtype=U64).tolist()) for r in known]
+        vocabulary = Vocabulary(np.unique(np.array([h for _, p, _, _ in passages for h in p], dtype=U64)))
         df = np.zeros(len(vocabulary.hashes) + 1)
         for r in texts.mapInArrow(_passage_frequencies(vocabulary), "place long, df long").groupBy("place").agg(F.sum("df").alias("df")).toLocalIterator():
             df[r.place] = r.df
@@ -327,13 +349,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         vectors = randomised_svd(own, vocabulary, idf, RANK)
         fold_in = (idf[:, None] * vectors).astype(np.float32)
         latent = np.zeros((len(passages), fold_in.shape[1]), dtype=np.float32)
-        for k, (_, p, _) in enumerate(passages):
+        for k, (_, p, _, _) in enumerate(passages):
             place, tf = np.unique(vocabulary.find(np.array(p, dtype=U64))[1], return_counts=True)
             v = tf @ fold_in[place]
             latent[k] = v / (np.sqrt(v @ v) or 1.0)
-        rare = RareWords(vocabulary, df, [p for _, p, _ in passages], [_least(len(p)) for _, p, _ in passages])
+        rare = RareWords(vocabulary, df, [p for _, p, _, _ in passages], [_least(len(p), bool(s)) for _, p, _, s in passages])
         leaks = leaks.unionByName(rows.mapInArrow(_search(vocabulary, fold_in, latent, passages, rare), MATCHES))
     best = F.max(F.struct("coverage", "answer", "cosine")).alias("best")
-    return leaks.groupBy("doc_id", "item_id").agg(best).select(
-        "doc_id", "item_id", "best.cosine", "best.coverage", "best.answer", F.when(F.col("best.coverage") >= COPY, "copy").otherwise("paraphrase").alias("kind")
+    return leaks.groupBy("doc_id", "item_id").agg(best, F.max("excerpt").alias("excerpt")).select(
+        "doc_id", "item_id", "best.cosine", "best.coverage", "best.answer", F.when((F.col("best.coverage") >= COPY) | (F.col("excerpt") >= EXCERPT), "copy").otherwise("paraphrase").alias("kind")
     )

@@ -248,6 +248,17 @@ def test_every_item_of_a_large_benchmark_is_found(spark):
     assert sum(d != i for d, i in got) < 20
 
 
+def test_excerpts_of_long_items_wherever_they_begin(spark):
+    rng = random.Random(9)
+    prose = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    item = prose(200)
+    rows = [(k, " ".join(prose(40 + k % 30) + item[k : k + 50] + prose(90))) for k in range(151)]
+    rows += [(1000, " ".join(prose(60) + item[16:83] + prose(60))), (1001, " ".join(prose(60) + item[45:60] + prose(60)))]
+    bench = spark.createDataFrame([(7, " ".join(item)), *((k, " ".join(prose(120))) for k in range(20, 30))], "item_id long, text string")
+    out = decontam.find_leaks(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), bench).collect()
+    assert sorted((r.doc_id, r.item_id, r.kind) for r in out) == [(k, 7, "copy") for k in (*range(151), 1000)]
+
+
 def test_latent_space_keeps_cosines():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 50, 40).tolist()
