@@ -248,6 +248,18 @@ def test_every_item_of_a_large_benchmark_is_found(spark):
     assert sum(d != i for d, i in got) < 20
 
 
+def test_items_outside_the_leading_directions_are_found(spark):
+    rng = random.Random(10)
+    text = lambda ws: " ".join(f"w{w}" for w in ws)
+    thrice = [range(30 * k, 30 * k + 30) for k in range(200)] * 3
+    single = [range(10_000 + 20 * k, 10_020 + 20 * k) for k in range(10)]
+    bench = spark.createDataFrame([(k, text(i)) for k, i in enumerate([*single, *thrice])], "item_id long, text string")
+    host = lambda: rng.sample(range(6000), 90)
+    docs = spark.createDataFrame([(k, text([*host(), *i, *host()])) for k, i in enumerate(single)], "doc_id long, text string").repartition(2)
+    out = decontam.find_leaks(docs, bench).collect()
+    assert sorted((r.doc_id, r.item_id, r.kind) for r in out) == [(k, k, "copy") for k in range(10)]
+
+
 def test_excerpts_of_long_items_wherever_they_begin(spark):
     rng = random.Random(9)
     prose = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
