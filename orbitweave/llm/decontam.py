@@ -4,8 +4,9 @@ Benchmark texts are cut into passages of up to ``WINDOW`` words. Their TF-IDF ma
 document passages) is factored by a distributed randomised SVD; passages and document windows are folded
 into the space of its leading right singular vectors, and windows whose cosine to a passage reaches
 ``COSINE`` are candidates. A candidate is confirmed by the longest common subsequence of words between
-the passage and the window with its surroundings: nearly the whole passage in order is a copy; at least
-``PARAPHRASE`` of it is a paraphrase if the item's answer (its last sentence, or quarter) is there too.
+the passage and places of one and a half of its length in the window and its surroundings: nearly the whole
+passage in order is a copy; at least ``PARAPHRASE`` of it is a paraphrase if the item's answer (its last
+sentence, or quarter) is near too. So words that lie scattered over a longer stretch are no match.
 
 The leading vectors hold little of a passage that shares few words with the others, so its cosine says
 nothing, and a window dilutes a short passage. Every place that has enough of a passage's words is
@@ -18,45 +19,58 @@ Of an item of more than ``WINDOW`` words an excerpt is a copy as well, wherever
 in order, among ``WINDOW`` of the document and ``WINDOW`` of the item. It is measured against stretches of
 the item that reach ``MARGIN`` words beyond a passage on both sides, so each such excerpt lies in one.
 
+Items of fewer than ``MIN_WORDS`` words have no passage: their words must stand in a row. From ``RUN`` words
+on, or as a whole line, that is a copy; inside a line a shorter item is only a ``mention``, since such a
+run of one to three words proves nothing.
+
 The benchmark is the stated query set, taken in blocks of ``BLOCK_BYTES`` of text, so what is broadcast
-is bounded; every window of every document meets every block. Texts are never shuffled.
+is bounded; every window of every document meets every block. Texts are never shuffled. The work is two
+passes over the documents for each block, so it grows in proportion to both.
 
-Cases: letters A-Z are lower-cased; null or empty texts on either side match nothing; items of fewer than
-``MIN_WORDS`` words are left out (too short to tell); equal items are reported each; of rows with equal
-ids one pair with the best match is reported; a null doc_id or item_id stays null; empty tables give an
-empty result; other columns are ignored.
+Cases: letters A-Z are lower-cased; null or empty texts on either side match nothing; equal items are
+reported each; of rows with equal ids one pair with the best match is reported; a null doc_id or item_id
+stays null; a long text is searched whole, by blocks; empty tables give an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbitweave.llm.textblocks import U64, row_blocks, words
+from orbitweave.llm.textblocks import U64, Words, row_blocks, shingles, tidy, words
 
-WINDOW, HALF, MIN_WORDS = 64, 32, 8
+WINDOW, HALF, MIN_WORDS, RUN = 64, 32, 8, 4
 COSINE, COPY, PARAPHRASE, ANSWER = 0.45, 0.8, 0.6, 0.6
 #: Words in order that make an excerpt of a longer item a copy, whatever their share of it.
 EXCERPT, MARGIN = 50, HALF // 2
 RANK, OVERSAMPLING, POWER_ROUNDS = 128, 8, 2
 #: Benchmark text that is searched for at once: bounds the vocabulary and with it all that is broadcast.
 BLOCK_BYTES = 1 << 19
+#: Halves whose vectors are gathered at once, windows whose cosines are held at once, masks that are remembered.
+HALVES, WINDOWS, MASKS = 256, 512, 1024
 
 
 def item_passages(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """``item_id, part, hashes, answer, stretch``: word hashes (64-bit, as bytes) of each passage, of the item's
-    answer, and of the passage with its margins if the item is longer than a passage (else none)."""
+    answer, and of the passage with its margins if the item is longer than a passage (else none). An item of
+    fewer than ``MIN_WORDS`` words is one row of these words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, parts, passages, answers, stretches = [], [], [], [], []
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = words(pa.array([text or ""])).hashes
+                if not len(own):
+                    continue
                 if len(own) < MIN_WORDS:
+                    ids.append(item), parts.append(0), passages.append(own.tobytes()), answers.append(b""), stretches.append(b"")
                     continue
                 last = words(pa.array([(text or "").rstrip().rstrip(".!?").replace("!", ".").replace("?", ".").rpartition(".")[2]])).hashes
                 answer = own[-max(3, len(last) if 3 <= len(last) <= len(own) // 2 else len(own) // 4) :]
@@ -179,9 +193,6 @@ def word_masks(sequence: list[int]) -> dict[int, int]:
     return out
 
 
-MATCHES = "doc_id long, item_id long, cosine double, coverage double, answer double, excerpt int"
-
-
 def _least(size: int, excerpts: bool) -> int:
     """Words of a passage that any match has; an excerpt may have ``MARGIN`` of its words outside."""
     least = next(k for k in range(size + 1) if k / size >= PARAPHRASE)
@@ -198,14 +209,15 @@ class RareWords:
 
     ``n - need`` words of ``n`` may be missing, so of any ``n - need + few`` words ``few`` are there."""
 
-    def __init__(self, vocabulary: Vocabulary, df: np.ndarray, passages: list[list[int]], needs: list[int]):
-        self.few = np.array([min(need, max(2, len(p) // 8)) for p, need in zip(passages, needs, strict=True)], dtype=np.int64)
+    def __init__(self, vocabulary: Vocabulary, df: np.ndarray, passages: Sequences, needs: list[int]):
+        sizes = np.diff(passages.first)
+        self.few = np.minimum(np.array(needs, dtype=np.int64), np.maximum(2, sizes // 8))
         #: Halves that a span may touch.
-        self.reach = np.array([(_span(len(p)) + HALF - 2) // HALF + 1 for p in passages], dtype=np.int64)
+        self.reach = (sizes + sizes // 2 + HALF - 2) // HALF + 1
         posts = []
-        for k, (p, need) in enumerate(zip(passages, needs, strict=True)):
-            at = np.searchsorted(vocabulary.hashes, np.array(p, dtype=U64))
-            rarest = at[np.lexsort((at, df[at]))][: len(p) - need + int(self.few[k])]
+        for k, need in enumerate(needs):
+            at = np.searchsorted(vocabulary.hashes, passages[k])
+            rarest = at[np.lexsort((at, df[at]))][: len(at) - need + int(self.few[k])]
             place, weight = np.unique(rarest, return_counts=True)
             posts.append((place, np.full(len(place), k), weight))
         place, passage, weight = (np.concatenate([x[i] for x in posts]) for i in range(3))
@@ -245,90 +257,194 @@ class RareWords:
         yield from zip(h[good].tolist(), p[good].tolist(), strict=True)
 
 
-def _search(vocabulary: Vocabulary, fold_in: np.ndarray, latent: np.ndarray, passages: list[tuple], rare: RareWords):
+@dataclass
+class Sequences:
+    """Word hashes of many sequences in one array."""
+
+    hashes: np.ndarray
+    first: np.ndarray
+
+    @staticmethod
+    def of(parts: list[bytes]) -> Sequences:
+        return Sequences(np.frombuffer(b"".join(parts), dtype=U64), np.r_[0, np.cumsum([len(p) // 8 for p in parts])].astype(np.int64))
+
+    def __len__(self) -> int:
+        return len(self.first) - 1
+
+    def __getitem__(self, k: int) -> np.ndarray:
+        return self.hashes[self.first[k] : self.first[k + 1]]
+
+    def size(self, k: int) -> int:
+        return int(self.first[k + 1] - self.first[k])
+
+
+class ShortItems:
+    """Items of fewer than ``MIN_WORDS`` words, by their number of words and the hash of the run."""
+
+    def __init__(self, ids: list, runs: Sequences):
+        self.by_size: dict[int, tuple[np.ndarray, list]] = {}
+        for size in sorted({runs.size(k) for k in range(len(runs))}):
+            own = [(int(shingles(runs[k], size)[0]), ids[k]) for k in range(len(runs)) if runs.size(k) == size]
+            own.sort(key=lambda x: x[0])
+            self.by_size[size] = np.array([h for h, _ in own], dtype=U64), [i for _, i in own]
+
+    def find(self, w: Words) -> Iterator[tuple[int, object, int]]:
+        """(row, item, 2 for a copy or 1 for a mention) for every run of a short item's words."""
+        for size, (known, ids) in self.by_size.items():
+            if len(w.hashes) < size:
+                continue
+            runs = shingles(w.hashes, size)
+            lo = np.searchsorted(known, runs)
+            at = np.flatnonzero(known[np.minimum(lo, len(known) - 1)] == runs)
+            row = np.searchsorted(w.first, at, side="right") - 1
+            inside = at + size <= w.first[row + 1]
+            at, row = at[inside], row[inside]
+            feeds = np.flatnonzero(w.data == 10)
+            before = np.searchsorted(feeds, w.starts[at])  # line feeds up to the run, and up to the word before it
+            opens = (at == w.first[row]) | (before > np.searchsorted(feeds, w.ends[np.maximum(at - 1, 0)]))
+            after = np.searchsorted(feeds, w.ends[at + size - 1])
+            closes = (at + size == w.first[row + 1]) | (np.searchsorted(feeds, w.starts[np.minimum(at + size, len(w.starts) - 1)]) > after)
+            sure = opens & closes | (size >= RUN)
+            for x, doc, copy in zip(at.tolist(), row.tolist(), sure.tolist(), strict=True):
+                for k in range(int(lo[x]), int(np.searchsorted(known, runs[x], side="right"))):
+                    yield doc, ids[k], 1 + copy
+
+
+MATCHES = "doc_id long, item_id long, cosine double, coverage double, answer double, excerpt int, short int"
+
+
+@dataclass
+class Index:
+    """What a task needs of a benchmark block: all of a size that follows ``BLOCK_BYTES``."""
+
+    ids: list
+    passages: Sequences
+    answers: Sequences
+    stretches: Sequences
+    vocabulary: Vocabulary
+    fold_in: np.ndarray
+    latent: np.ndarray
+    rare: RareWords | None
+    shorts: ShortItems
+
+
+def _search(index: Index):
     """Every window of every text against every passage: cosine or rare words, then subsequence and answer checks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tests = [(word_masks(p), len(p), word_masks(a), len(a)) for _, p, a, _ in passages]
-        stretches = [(word_masks(s), len(s)) for _, _, _, s in passages]
+        passages, vocabulary, fold_in, latent = index.passages, index.vocabulary, index.fold_in, index.latent
+        masks = lru_cache(MASKS)(lambda of, p: word_masks(getattr(index, of)[p].tolist()))
 
         def judge(p: int, region: list[int]) -> tuple[float, float] | None:
-            masks, size, answer_masks, answer_size = tests[p]
-            coverage = lcs(masks, size, region) / size
-            if coverage >= PARAPHRASE:
-                answer = lcs(answer_masks, answer_size, region) / answer_size
-                if coverage >= COPY or answer >= ANSWER:
-                    return coverage, answer
-            return None
+            """(coverage within a span, answer within the region) of the best place, if it is a match."""
+            size = passages.size(p)
+            if lcs(masks("passages", p), size, region) / size < PARAPHRASE:
+                return None
+            span, step = _span(size), max(1, size // 4)
+            coverage = max(lcs(masks("passages", p), size, region[at : at + span]) for at in range(0, max(1, len(region) - span + step), step)) / size
+            if coverage < PARAPHRASE:
+                return None
+            answer = lcs(masks("answers", p), index.answers.size(p), region) / index.answers.size(p)
+            return (coverage, answer) if coverage >= COPY or answer >= ANSWER else None
+
+        def matches(w: Words) -> Iterator[tuple]:
+            """(row, passage, coverage, answer, cosine, words of an excerpt)."""
+            starts, row = _halves(w.first)
+            at, place = vocabulary.find(w.hashes)
+            if not len(at):
+                return
+            half = np.searchsorted(starts, at, side="right") - 1
+            change = np.flatnonzero(np.r_[True, half[1:] != half[:-1]])
+            sums = np.zeros((len(starts) + 1, fold_in.shape[1]), dtype=np.float32)
+            for a in range(0, len(change), HALVES):
+                some = change[a : a + HALVES]
+                end = change[a + HALVES] if a + HALVES < len(change) else len(at)
+                sums[half[some]] = np.add.reduceat(fold_in[place[some[0] : end]], some - some[0], axis=0)
+            follows = np.r_[row[1:] == row[:-1], False]
+            window = sums[:-1] + np.where(follows[:, None], sums[1:], np.float32(0))
+            del sums
+            norm = np.sqrt(np.einsum("ij,ij->i", window, window))
+            found: dict[tuple[int, int], tuple[float, float, float]] = {}
+            excerpts: dict[tuple[int, int], tuple[int, float]] = {}
+            for a in range(0, len(window), WINDOWS):
+                cosine = window[a : a + WINDOWS] @ latent.T
+                hit_w, hit_p = np.nonzero(cosine >= COSINE * np.maximum(norm[a : a + WINDOWS, None], 1e-12))
+                for x, p in zip((hit_w + a).tolist(), hit_p.tolist(), strict=True):
+                    size, doc = passages.size(p), int(row[x])
+                    b, e = max(int(w.first[doc]), int(starts[x]) - size), min(int(w.first[doc + 1]), int(starts[x]) + WINDOW + size)
+                    match = judge(p, w.hashes[b:e].tolist())
+                    if match:
+                        best = (*match, float(cosine[x - a, p] / norm[x]))
+                        found[doc, p] = max(found.get((doc, p), best), best)
+            for x, p in index.rare.candidates(half, place, row):
+                doc, span, long = int(row[x]), _span(passages.size(p)), index.stretches.size(p)
+                if found.get((doc, p), (0.0,))[0] == 1.0:
+                    continue
+                # A match may begin before the half of its first counted word.
+                b, e = max(int(w.first[doc]), int(starts[x]) - span), min(int(w.first[doc + 1]), int(starts[x]) + HALF + span)
+                region = w.hashes[b:e].tolist()
+                near = float(window[x] @ latent[p] / max(norm[x], 1e-12))
+                if long >= EXCERPT and lcs(masks("stretches", p), long, region) >= EXCERPT:
+                    # The counted words lie in the passage; the excerpt may reach beyond the span.
+                    b, e = max(int(w.first[doc]), int(starts[x]) - WINDOW), min(int(w.first[doc + 1]), int(starts[x]) + HALF + WINDOW)
+                    most = max(lcs(masks("stretches", p), long, w.hashes[y : min(y + WINDOW, e)].tolist()) for y in range(b, max(b + 1, e - EXCERPT + 1)))
+                    if most >= EXCERPT:
+                        excerpts[doc, p] = max(excerpts.get((doc, p), (0, 0.0)), (most, near))
+                match = judge(p, region)
+                if match:
+                    found[doc, p] = max(found.get((doc, p), (0.0, 0.0, 0.0)), (*match, near))
+            for (doc, p), best in found.items():
+                yield doc, p, *best, excerpts.get((doc, p), (0,))[0]
+            for (doc, p), (most, near) in excerpts.items():
+                if (doc, p) not in found:
+                    yield doc, p, min(1.0, most / passages.size(p)), 0.0, near, most
 
         for batch in batches:
             rows: list[tuple] = []
             for lo, hi in row_blocks(batch.column(1)):
                 w = words(batch.column(1).slice(lo, hi - lo))
-                starts, row = _halves(w.first)
-                if not len(starts):
-                    continue
-                at, place = vocabulary.find(w.hashes)
-                if not len(at):
-                    continue
-                half = np.searchsorted(starts, at, side="right") - 1
-                change = np.flatnonzero(np.r_[True, half[1:] != half[:-1]])
-                sums = np.zeros((len(starts) + 1, fold_in.shape[1]), dtype=np.float32)
-                for a in range(0, len(change), 4096):  # some halves at a time, for the size of what is gathered
-                    some = change[a : a + 4096]
-                    end = change[a + 4096] if a + 4096 < len(change) else len(at)
-                    sums[half[some]] = np.add.reduceat(fold_in[place[some[0] : end]], some - some[0], axis=0)
-                follows = np.r_[row[1:] == row[:-1], False]
-                window = sums[:-1] + np.where(follows[:, None], sums[1:], np.float32(0))
-                norm = np.sqrt(np.einsum("ij,ij->i", window, window))
-                found: dict[tuple[int, int], tuple[float, float, float]] = {}
-                excerpts: dict[tuple[int, int], tuple[int, float]] = {}
-                for a in range(0, len(window), 8192):
-                    cosine = window[a : a + 8192] @ latent.T
-                    hit_w, hit_p = np.nonzero(cosine >= COSINE * np.maximum(norm[a : a + 8192, None], 1e-12))
-                    for x, p in zip((hit_w + a).tolist(), hit_p.tolist(), strict=True):
-                        size, doc = tests[p][1], int(row[x])
-                        b, e = max(int(w.first[doc]), int(starts[x]) - size), min(int(w.first[doc + 1]), int(starts[x]) + WINDOW + size)
-                        match = judge(p, w.hashes[b:e].tolist())
-                        if match:
-                            best = (*match, float(cosine[x - a, p] / norm[x]))
-                            found[doc, p] = max(found.get((doc, p), best), best)
-                for x, p in rare.candidates(half, place, row):
-                    masks, size, doc = *tests[p][:2], int(row[x])
-                    span, step = _span(size), max(1, size // 4)
-                    # A match may begin before the half of its first counted word.
-                    b, e = max(int(w.first[doc]), int(starts[x]) - span), min(int(w.first[doc + 1]), int(starts[x]) + HALF + span)
-                    region = w.hashes[b:e].tolist()
-                    if found.get((doc, p), (0.0,))[0] == 1.0:
-                        continue
-                    near = float(window[x] @ latent[p] / max(norm[x], 1e-12))
-                    if stretches[p][1] >= EXCERPT and lcs(*stretches[p], region) >= EXCERPT:
-                        # The counted words lie in the passage; the excerpt may reach beyond the span.
-                        b, e = max(int(w.first[doc]), int(starts[x]) - WINDOW), min(int(w.first[doc + 1]), int(starts[x]) + HALF + WINDOW)
-                        most = max(lcs(*stretches[p], w.hashes[at : min(at + WINDOW, e)].tolist()) for at in range(b, max(b + 1, e - EXCERPT + 1)))
-                        if most >= EXCERPT:
-                            excerpts[doc, p] = max(excerpts.get((doc, p), (0, 0.0)), (most, near))
-                    if lcs(masks, size, region) / size < PARAPHRASE:
-                        continue
-                    for at in range(0, max(1, len(region) - span + step), step):
-                        match = judge(p, region[at : at + span])
-                        if match:
-                            found[doc, p] = max(found.get((doc, p), (0.0, 0.0, 0.0)), (*match, near))
-                rows += [(lo + doc, p, *v, excerpts.get((doc, p), (0,))[0]) for (doc, p), v in found.items()]
-                for (doc, p), (most, near) in excerpts.items():
-                    if (doc, p) not in found:
-                        rows.append((lo + doc, p, min(1.0, most / len(passages[p][1])), 0.0, near, most))
-            ids = batch.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([ids[r[0]] for r in rows], pa.int64()), pa.array([passages[r[1]][0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.float64()) for k in (4, 2, 3)), pa.array([r[5] for r in rows], pa.int32())],
-                ["doc_id", "item_id", "cosine", "coverage", "answer", "excerpt"],
-            )
-
-    return run
+                if len(passages):
+                    rows += [(lo + doc, index.ids[p], cosine, coverage, answer, excerpt, 0) for doc, p, coverage, answer, cosine, excerpt in matches(w)]
+                rows += [(lo + doc, item, None, 1.0, 1.0, 0, short) for doc, item, short in index.shorts.find(w)]
+            ids = batch.column(0)
+            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int32(), pa.int32()]
+            columns = [ids.take(pa.array([r[0] for r in rows], pa.int64())), *(pa.array([r[k] for r in rows], kinds[k]) for k in range(1, 7))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "cosine", "coverage", "answer", "excerpt", "short"])
+
+    return tidy(run, 2048)
+
+
+def _index(own: DataFrame, texts: DataFrame) -> Index | None:
+    """The index of a benchmark block, from its passages and the document frequencies of their words."""
+    known = own.select("item_id", "hashes", "answer", "stretch").collect()  # about BLOCK_BYTES of text
+    if not known:
+        return None
+    long, short = [r for r in known if len(r.hashes) >= 8 * MIN_WORDS], [r for r in known if len(r.hashes) < 8 * MIN_WORDS]
+    passages, answers, stretches = (Sequences.of([bytes(r[c]) for r in long]) for c in ("hashes", "answer", "stretch"))
+    shorts = ShortItems([r.item_id for r in short], Sequences.of([bytes(r.hashes) for r in short]))
+    vocabulary = Vocabulary(np.unique(passages.hashes))
+    fold_in, latent, rare = np.zeros((0, 0), dtype=np.float32), np.zeros((0, 0), dtype=np.float32), None
+    if long:
+        df = np.zeros(len(vocabulary.hashes) + 1)
+        for r in texts.mapInArrow(tidy(_passage_frequencies(vocabulary), 2048), "place long, df long").groupBy("place").agg(F.sum("df").alias("df")).toLocalIterator():
+            df[r.place] = r.df
+        idf = np.log((1.0 + df[-1]) / (1.0 + df[:-1])) + 0.01
+        vectors = randomised_svd(own.where(F.octet_length("hashes") >= 8 * MIN_WORDS), vocabulary, idf, RANK)
+        fold_in = (idf[:, None] * vectors).astype(np.float32)
+        latent = np.zeros((len(passages), fold_in.shape[1]), dtype=np.float32)
+        for k in range(len(passages)):
+            place, tf = np.unique(vocabulary.find(passages[k])[1], return_counts=True)
+            v = tf @ fold_in[place]
+            latent[k] = v / (np.sqrt(v @ v) or 1.0)
+        rare = RareWords(vocabulary, df, passages, [_least(passages.size(k), stretches.size(k) > 0) for k in range(len(passages))])
+    return Index([r.item_id for r in long], passages, answers, stretches, vocabulary, fold_in, latent, rare, shorts)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """``doc_id, item_id, cosine, coverage, answer, kind`` for every document that holds a benchmark text (``copy`` or ``paraphrase``)."""
+    """``doc_id, item_id, cosine, coverage, answer, kind`` for every document that holds a benchmark text.
+
+    ``kind`` is ``copy``, ``paraphrase``, or ``mention`` for an item of one to three words inside a line; the
+    cosine of items of fewer than ``MIN_WORDS`` words is null."""
     spark = docs.sparkSession
     texts = docs.select(F.col(text_col).alias("text"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -336,26 +452,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     blocks = max(1, -(-int(total) // BLOCK_BYTES))
     leaks = spark.createDataFrame([], MATCHES)
     for block in range(blocks):
-        own = item_passages(benchmark.where(F.pmod(F.xxhash64(item_col), F.lit(blocks)) == block), item_col, item_text_col)
-        known = own.select("item_id", "hashes", "answer", "stretch").collect()  # about BLOCK_BYTES of text
-        if not known:
-            continue
-        passages = [(r.item_id, np.frombuffer(r.hashes, dtype=U64).tolist(), np.frombuffer(r.answer, dtype=U64).tolist(), np.frombuffer(r.stretch, dtype=U64).tolist()) for r in known]
-        vocabulary = Vocabulary(np.unique(np.array([h for _, p, _, _ in passages for h in p], dtype=U64)))
-        df = np.zeros(len(vocabulary.hashes) + 1)
-        for r in texts.mapInArrow(_passage_frequencies(vocabulary), "place long, df long").groupBy("place").agg(F.sum("df").alias("df")).toLocalIterator():
-            df[r.place] = r.df
-        idf = np.log((1.0 + df[-1]) / (1.0 + df[:-1])) + 0.01
-        vectors = randomised_svd(own, vocabulary, idf, RANK)
-        fold_in = (idf[:, None] * vectors).astype(np.float32)
-        latent = np.zeros((len(passages), fold_in.shape[1]), dtype=np.float32)
-        for k, (_, p, _, _) in enumerate(passages):
-            place, tf = np.unique(vocabulary.find(np.array(p, dtype=U64))[1], return_counts=True)
-            v = tf @ fold_in[place]
-            latent[k] = v / (np.sqrt(v @ v) or 1.0)
-        rare = RareWords(vocabulary, df, [p for _, p, _, _ in passages], [_least(len(p), bool(s)) for _, p, _, s in passages])
-        leaks = leaks.unionByName(rows.mapInArrow(_search(vocabulary, fold_in, latent, passages, rare), MATCHES))
+        index = _index(item_passages(benchmark.where(F.pmod(F.xxhash64(item_col), F.lit(blocks)) == block), item_col, item_text_col), texts)
+        if index:
+            leaks = leaks.unionByName(rows.mapInArrow(_search(index), MATCHES))
     best = F.max(F.struct("coverage", "answer", "cosine")).alias("best")
-    return leaks.groupBy("doc_id", "item_id").agg(best, F.max("excerpt").alias("excerpt")).select(
-        "doc_id", "item_id", "best.cosine", "best.coverage", "best.answer", F.when((F.col("best.coverage") >= COPY) | (F.col("excerpt") >= EXCERPT), "copy").otherwise("paraphrase").alias("kind")
-    )
+    kind = F.when(F.col("short") == 1, "mention").when((F.col("best.coverage") >= COPY) | (F.col("excerpt") >= EXCERPT), "copy").otherwise("paraphrase")
+    return leaks.groupBy("doc_id", "item_id").agg(best, F.max("excerpt").alias("excerpt"), F.max("short").alias("short")).select("doc_id", "item_id", "best.cosine", "best.coverage", "best.answer", kind.alias("kind"))

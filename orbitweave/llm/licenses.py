@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orbitweave.llm.textblocks import tidy
+
 COVERAGE = 0.8
 # Short notices of public licenses.
 TEMPLATES = {
@@ -252,4 +254,4 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, license string, start_char long, end_char long, coverage double")
+    return rows.mapInArrow(tidy(run), "doc_id long, license string, start_char long, end_char long, coverage double")

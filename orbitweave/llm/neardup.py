@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from orbitweave.llm.components import connected_components
 from orbitweave.llm.storage import materialise
-from orbitweave.llm.textblocks import U64, mix, row_blocks, shingles, words
+from orbitweave.llm.textblocks import U64, mix, row_blocks, shingles, tidy, words
 
 SHINGLE, BANDS, ROWS, SKETCH_BITS = 5, 40, 4, 512
 _U32 = np.uint32
@@ -92,6 +92,7 @@ def set_sketch(own: np.ndarray) -> np.ndarray:
 
 _SKETCH = [f"s{k}" for k in range(SKETCH_BITS // 64)]
 _SET = [f"t{k}" for k in range(SKETCH_BITS // 64)]
+_KEYS = ["key1", "key2", "n_shingles"]
 SIGNATURES = "doc_id long, n_shingles long, key1 long, key2 long, bands array<long>, " + ", ".join(f"{s} long" for s in [*_SKETCH, *_SET])
 
 
@@ -215,18 +216,18 @@ def confirm_pairs(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFram
         "near-roles",
     )
     side = F.broadcast(roles) if roles.count() <= BROADCAST_IDS else roles
-    sets = docs.join(side, "doc_id").select("centre", "block", "member", "doc_id", "text").mapInArrow(_sets, "centre long, block long, member boolean, doc_id long, hashes binary")
+    sets = docs.join(side, "doc_id").select("centre", "block", "member", "doc_id", "text").mapInArrow(tidy(_sets), "centre long, block long, member boolean, doc_id long, hashes binary")
     dealt = sets.repartition("centre", "block").sortWithinPartitions("centre", "block", "member")
-    return dealt.mapInArrow(_confirm(threshold), "a long, b long")
+    return dealt.mapInArrow(tidy(_confirm(threshold)), "a long, b long")
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 75) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``: documents linked at ``threshold`` per cent of Jaccard similarity or more."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = materialise(docs.mapInArrow(_signatures, SIGNATURES), "near-signatures")
+    signed = materialise(docs.mapInArrow(tidy(_signatures), SIGNATURES), "near-signatures")
     full = signed.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    classes = materialise(full.groupBy("key1", "key2", "n_shingles").agg(F.min("doc_id").alias("rep")), "near-classes")
-    nodes = full.join(classes, ["key1", "key2", "n_shingles"]).where(F.col("doc_id") == F.col("rep"))
+    classes = materialise(full.groupBy(*_KEYS).agg(F.min("doc_id").alias("rep")), "near-classes")
+    nodes = full.join(classes, _KEYS).where(F.col("doc_id") == F.col("rep"))
     keyed = nodes.select(F.explode("bands").alias("bucket"), "rep").distinct()
     shared = keyed.groupBy("bucket").agg(F.min("rep").alias("centre"), F.max("rep").alias("last")).where(F.col("centre") < F.col("last")).drop("last")
     buckets = materialise(keyed.join(shared, "bucket"), "near-buckets")
@@ -246,7 +247,10 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     near = F.coalesce(differing(_SKETCH) <= FAR_BITS, F.lit(True)) & bounded
     stars = buckets.where(F.col("rep") != F.col("centre")).select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
     stars = sketched(sketched(stars, "a", "x"), "b", "y").where(near).select("a", "b")
-    first = materialise(confirm_pairs(stars, docs, threshold), "near-edges")
+    # An id with several different sets is one node: an edge to the representative of each.
+    several = full.groupBy("doc_id").agg(*(F.min(c).alias("lo" + c) for c in _KEYS), *(F.max(c).alias("hi" + c) for c in _KEYS)).where(" OR ".join(f"lo{c} < hi{c}" for c in _KEYS)).select("doc_id")
+    tied = full.join(several, "doc_id").join(classes, _KEYS).select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a <> b").distinct()
+    first = materialise(confirm_pairs(stars, docs, threshold).unionByName(tied), "near-edges")
     joined = materialise(connected_components(first), "near-components")
 
     # Nodes of a bucket outside the component of its least one, against all the others of the bucket.
@@ -259,10 +263,10 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     people = materialise(placed.join(open_buckets, "bucket", "left_semi").groupBy(F.col("rep").alias("doc_id")).agg(F.min("own").alias("own"), F.max(apart).alias("outside")), "near-people")
     few = F.broadcast(people) if people.count() <= BROADCAST_IDS else people
     texts = docs.join(few, "doc_id").select("doc_id", "own", "outside", "text")
-    cells = texts.select("text").mapInArrow(_cell_counts, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    cells = texts.select("text").mapInArrow(tidy(_cell_counts), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(CELLS, dtype=np.int64)
     counts[cells["cell"].to_numpy()] = cells["n"].to_numpy()
-    rare = materialise(texts.mapInArrow(_rarest(counts, threshold), "token long, doc_id long, own long, outside boolean, n long, at long"), "near-rare")
+    rare = materialise(texts.mapInArrow(tidy(_rarest(counts, threshold)), "token long, doc_id long, own long, outside boolean, n long, at long"), "near-rare")
     shared = rare.groupBy("token").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.max("outside").alias("any")).where("lo < hi AND any").select("token")
     alive = materialise(rare.join(shared, "token", "left_semi").distinct(), "near-alive")
     whole = ["doc_id", "own", "outside", "n", "at"]
@@ -280,7 +284,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     return (
         signed.select("doc_id", "n_shingles", "key1", "key2")
-        .join(classes, ["key1", "key2", "n_shingles"], "left")
+        .join(classes, _KEYS, "left")
         .join(components.withColumnRenamed("node", "rep"), "rep", "left")
         .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
         .withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))

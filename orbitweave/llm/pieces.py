@@ -8,14 +8,15 @@ character), which cannot change the best path; segments are remembered, up to a
 
 Cases: a null text has null ids; an empty text has none; ids decode to the same text, leading, trailing
 and repeated spaces included; an unknown id decodes to U+2047 as the unknown piece does; repeated rows are
-encoded alike; an empty table gives an empty result; columns named ``ids`` or ``decoded`` are replaced.
+encoded alike; an empty table gives an empty result; columns named ``ids`` or ``decoded`` are replaced. The
+model is a path that every executor can read.
 """
 
 from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -24,10 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from orbitweave.llm.textblocks import tidy
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Segments that a Python worker remembers.
-REMEMBERED = 500_000
+#: Bytes of segments and ids that a Python worker remembers within a task (each entry counted with its overhead).
+REMEMBERED = 24 << 20
 #: What a byte piece costs beyond the worst piece.
 BYTE_PENALTY = 10.0
 
@@ -46,6 +49,7 @@ class Encoder(dict):
 
     def __init__(self, pieces: list[tuple[str, float, int]]):
         super().__init__()
+        self.held = 0
         self.automaton = ahocorasick.Automaton()
         self.byte_id: dict[int, int] = {}
         normal = []
@@ -68,10 +72,16 @@ class Encoder(dict):
 
     def __missing__(self, segment: str) -> bytes:
         ids = array("i", self.viterbi(segment)).tobytes()
-        if len(self) < REMEMBERED:
+        size = 200 + 2 * len(segment) + len(ids)
+        if self.held + size <= REMEMBERED:
+            self.held += size
             self[segment] = ids
         return ids
 
+    def forget(self) -> None:
+        self.clear()
+        self.held = 0
+
     def viterbi(self, segment: str) -> list[int]:
         """Ids of the best path; of equal paths into a position, the one with the longer last piece."""
         at = len(segment)
@@ -119,6 +129,7 @@ class Encoder(dict):
             out += literal + b"".join(map(self.__getitem__, self.segments(part.replace(" ", MARK))))
         return out
 
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     return Encoder(read_model(path))
@@ -142,56 +153,77 @@ def decode_ids(path: str, ids: list[int]) -> str:
     return raw.decode("utf-8", "replace")[raw[:1] == b" " :]
 
 
-def _with(df: DataFrame, fn, name: str, kind: T.DataType) -> DataFrame:
-    """mapInArrow that appends a column in place of one with its name."""
-    kept = df.drop(name)
-    return kept.mapInArrow(fn, T.StructType([*kept.schema.fields, T.StructField(name, kind)]))
+def _flat(encoded: list[bytes | None]) -> pa.ListArray:
+    """Lists of ids from their bytes."""
+    offsets, at = [], 0
+    for e in encoded:
+        offsets.append(None if e is None else at)
+        at += len(e or b"") // 4
+    values = pa.Array.from_buffers(pa.int32(), at, [None, pa.py_buffer(b"".join(e for e in encoded if e is not None))])
+    return pa.ListArray.from_arrays(pa.array([*offsets, at], pa.int32()), values)
+
+
+def _mapped(df: DataFrame, fn: Callable[[pa.RecordBatch], list[pa.Array]], columns: dict[str, T.DataType], model: str) -> DataFrame:
+    """mapInArrow that appends columns in place of those with their names; a task ends without what it remembered."""
+    kept = df.drop(*columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([*batch.columns, *fn(batch)], [*batch.schema.names, *columns])
+        finally:
+            if encoder.cache_info().currsize:
+                encoder(model).forget()
+
+    return kept.mapInArrow(tidy(run), T.StructType([*kept.schema.fields, *(T.StructField(name, kind) for name, kind in columns.items())]))
+
+
+IDS = T.ArrayType(T.IntegerType())
 
 
 def encode(docs: DataFrame, model: str = MODEL, text_col: str = "text") -> DataFrame:
     """Adds ``ids``, the piece ids of the whole text."""
     place = docs.drop("ids").columns.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ids(batch: pa.RecordBatch) -> list[pa.Array]:
         coder = encoder(model)
-        for batch in batches:
-            texts = batch.column(place).to_pylist()
-            for lo in range(0, max(1, len(texts)), 512):
-                offsets, parts, at = [], [], 0
-                for t in texts[lo : lo + 512]:
-                    offsets.append(None if t is None else at)
-                    if t is not None:
-                        parts.append(coder.encode(t))
-                        at += len(parts[-1]) // 4
-                values = pa.Array.from_buffers(pa.int32(), at, [None, pa.py_buffer(b"".join(parts))])
-                ids = pa.ListArray.from_arrays(pa.array([*offsets, at], pa.int32()), values)
-                cut = batch.slice(lo, 512)
-                yield pa.RecordBatch.from_arrays([*cut.columns, ids], [*cut.schema.names, "ids"])
-
-    return _with(docs, run, "ids", T.ArrayType(T.IntegerType()))
+        return [_flat([None if t is None else coder.encode(t) for t in batch.column(place).to_pylist()])]
+
+    return _mapped(docs, ids, {"ids": IDS}, model)
 
 
 def decode(docs: DataFrame, model: str = MODEL, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """Adds ``decoded``, the text of the ids in ``ids_col``."""
     place = docs.drop(out).columns.index(ids_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, max(1, batch.num_rows), 512):
-                cut = batch.slice(lo, 512)
-                lists = cut.column(place)
-                ends = lists.offsets.to_pylist()
-                flat = lists.values.slice(ends[0], ends[-1] - ends[0]).fill_null(-1).to_numpy().tolist()
-                texts = [None if gone else decode_ids(model, flat[a - ends[0] : b - ends[0]]) for gone, a, b in zip(lists.is_null().to_pylist(), ends, ends[1:])]
-                yield pa.RecordBatch.from_arrays([*cut.columns, pa.array(texts, pa.string())], [*cut.schema.names, out])
+    def texts(batch: pa.RecordBatch) -> list[pa.Array]:
+        lists = batch.column(place)
+        ends = lists.offsets.to_pylist()
+        flat = lists.values.slice(ends[0], ends[-1] - ends[0]).fill_null(-1).to_numpy().tolist()
+        return [pa.array([None if gone else decode_ids(model, flat[a - ends[0] : b - ends[0]]) for gone, a, b in zip(lists.is_null().to_pylist(), ends, ends[1:])], pa.string())]
+
+    return _mapped(docs, texts, {out: T.StringType()}, model)
+
+
+def round_trip(docs: DataFrame, model: str = MODEL, text_col: str = "text") -> DataFrame:
+    """Adds ``ids`` and ``decoded``, as ``decode(encode(docs))`` does, in one pass over the rows."""
+    place = docs.drop("ids", "decoded").columns.index(text_col)
+
+    def both(batch: pa.RecordBatch) -> list[pa.Array]:
+        coder = encoder(model)
+        encoded = [None if t is None else coder.encode(t) for t in batch.column(place).to_pylist()]
+        return [_flat(encoded), pa.array([None if e is None else decode_ids(model, array("i", e).tolist()) for e in encoded], pa.string())]
+
+    return _mapped(docs, both, {"ids": IDS, "decoded": T.StringType()}, model)
 
-    return _with(docs, run, out, T.StringType())
 
+def digest(encoded: DataFrame, decoded: bool = False) -> DataFrame:
+    """``doc_id, n_chars, n_pieces, ids_crc32, exact``: what the pieces are, and whether they decode to the text.
 
-def digest(encoded: DataFrame) -> DataFrame:
-    """``doc_id, n_chars, n_pieces, ids_sum, ids_crc32, exact``: what the pieces are, and whether they decode to the text."""
+    ``encoded`` has ``doc_id, text, ids`` and, if ``decoded`` is true, the column of that name from ``round_trip``."""
     ids = F.col("ids")
-    return decode(encoded.select("doc_id", "text", "ids")).select(
+    known = encoded.select("doc_id", "text", "ids", "decoded") if decoded else decode(encoded.select("doc_id", "text", "ids"))
+    return known.select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),
         F.size(ids).cast("long").alias("n_pieces"),

@@ -33,7 +33,7 @@ def op6_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sentencepiece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.digest(pieces.encode(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return pieces.digest(pieces.round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text")), decoded=True)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,17 +2,19 @@
 
 ``materialise`` cuts lineage: the rows go to Parquet under ``spark.checkpoint.dir`` and are read
 again, so a lost executor costs a re-read and not a recomputation. Where that setting is absent
-(tests on one machine) a temporary folder of this process is used.
+a local master gets a temporary folder of this process; a cluster's executors could not share one, so
+there it is an error.
 """
 
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _local: list[str] = []
@@ -20,10 +22,12 @@ _made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; a folder of this process where it is unset."""
+    """Folder named by ``spark.checkpoint.dir``; a folder of this process where it is unset and the master is local."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _local:
         _local.append(tempfile.mkdtemp(prefix="orbitweave-"))
         atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
@@ -52,8 +56,8 @@ def release(spark: SparkSession) -> None:
 BROADCAST_IDS = 300_000
 
 
-def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose id is not in the only column of ``ids``; rows without an id stay."""
+def without_ids(docs: DataFrame, ids: DataFrame, id_col: str | Column = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose id is not in the only column of ``ids``; rows without an id stay, rows that share one go together."""
     gone = materialise(ids.select(F.col(ids.columns[0]).cast("long").alias("__gone")).where("__gone IS NOT NULL").distinct(), "gone")
     side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(side, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    return docs.join(side, (F.col(id_col) if isinstance(id_col, str) else id_col).cast("long") == F.col("__gone"), "left_anti")

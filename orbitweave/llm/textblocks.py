@@ -6,7 +6,9 @@ Words are runs of bytes other than space and 0x09-0x0D, with A-Z lower-cased. Ea
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -101,14 +103,45 @@ def words(column: pa.Array) -> Words:
     stop = ~space
     stop[:-1] &= space[1:] | cut[1:n]
     starts, ends = np.flatnonzero(start), np.flatnonzero(stop) + 1
-    pw, inv = _power_tables(n + 1)
-    sums = np.empty(n + 1, dtype=U64)
-    sums[0] = 0
-    np.cumsum((data.astype(U64) + U64(1)) * pw[:n], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * inv[starts])
+    hashes = np.empty(len(starts), dtype=U64)
+    i = 0
+    while i < len(starts):  # words of about a block at a time: a long text takes no more memory than a block
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + BLOCK_BYTES, side="right")))
+        a, b = int(starts[i]), int(ends[j - 1])
+        pw, inv = _power_tables(b - a + 1)
+        sums = np.empty(b - a + 1, dtype=U64)
+        sums[0] = 0
+        np.cumsum((data[a:b].astype(U64) + U64(1)) * pw[: b - a], out=sums[1:])
+        hashes[i:j] = mix((sums[ends[i:j] - a] - sums[starts[i:j] - a]) * inv[starts[i:j] - a])
+        i = j
     return Words(hashes, np.searchsorted(starts, offs).astype(np.int64), starts, ends, data)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers are kept between tasks, and with them what they hold."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def tidy(run: Callable[[Batches], Batches], rows: int = 512) -> Callable[[Batches], Batches]:
+    """``run`` over batches cut to ``rows`` rows, with memory given back at the end of the task."""
+
+    def wrapped(batches: Batches) -> Batches:
+        try:
+            yield from run(batch.slice(lo, rows) for batch in batches for lo in range(0, max(1, batch.num_rows), rows))
+        finally:
+            give_back()
+
+    return wrapped
+
+
 def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
     """Hash of each run of ``size`` words; of the whole sequence if it is shorter; none without words."""
     size = min(size, len(hashes))

@@ -148,3 +148,10 @@ def test_a_large_group_of_differing_copies(spark):
     assert 30 < len({c for _, c in want.values()}) < 330  # neither one component nor none
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == want
+
+
+def test_an_id_with_two_texts_ties_their_groups(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(30)) for x in "ab")
+    rows = [(3, a), (5, a), (5, b), (7, b), (9, " ".join(f"c{k}" for k in range(30)))]
+    out = neardup.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in out) == [(3, 3, True), (5, 3, False), (5, 3, False), (7, 3, False), (9, 9, True)]
