@@ -34,6 +34,9 @@ MIN_CHARS = 24
 BLOCK_CHARS = 256
 #: Rows (keys, line hashes or dropped positions, some 16 bytes each) up to which a side is broadcast.
 BROADCAST_ROWS = 50_000
+#: A line that occurs more often than this, and than one in HOT_LINES of all lines, is looked up by a broadcast:
+#: there are fewer than HOT_LINES such lines, whatever the corpus.
+HOT_LINE, HOT_LINES = 1_000, 5_000
 
 
 def _side(df: DataFrame, rows: int | None = None) -> DataFrame:
@@ -137,15 +140,23 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         keys = F.when(F.char_length("line") >= min_chars, keys)
     lines = materialise(texts.select("doc", "th", "pos", "h1", "h2", keys.alias("keys")), "lines")
     place = F.struct("doc", "th", "pos")
-    firsts = materialise(lines.groupBy("h1", "h2").agg(F.min(place).alias("first")), "line-firsts")
-    near = materialise(near_lines(lines, texts.select("h1", "h2", "line"), firsts), "lines-near").withColumn("near", F.lit(True))
-    judged = lines.select("doc", "th", "pos", "h1", "h2").join(firsts, ["h1", "h2"]).join(near, ["h1", "h2"], "left")
+    firsts = materialise(lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")), "line-firsts")
+    near = near_lines(lines, texts.select("h1", "h2", "line"), firsts.select("h1", "h2", "first")).withColumn("near", F.lit(True))
+    # Only lines that occur again or are near another are looked up; those that occur most often without a shuffle.
+    known = materialise(firsts.join(near, ["h1", "h2"], "left").where((F.col("n") > 1) | F.col("near")).withColumn("near", F.coalesce("near", F.lit(False))), "lines-known")
+    hot = F.col("n") > F.lit(max(HOT_LINE, lines.count() // HOT_LINES))
+    often = F.broadcast(known.where(hot))
+    slim = lines.select("doc", "th", "pos", "h1", "h2")
+    judged = slim.join(often, ["h1", "h2"]).unionByName(slim.join(often, ["h1", "h2"], "left_anti").join(known.where(~hot), ["h1", "h2"]))
+    exact = ~F.struct("first.doc", "first.th", "first.pos").eqNullSafe(place)
+    # Rows of equal id and text name the same positions.
+    found = F.collect_set(F.struct("pos", F.col("exact").alias("exact"))).alias("found")
     dropped = (
-        judged.withColumn("exact", ~F.struct("first.doc", "first.th", "first.pos").eqNullSafe(place))
+        judged.withColumn("exact", exact)
         .where(F.col("exact") | F.col("near"))
-        .distinct()
         .groupBy(F.col("doc").alias("__doc"), F.col("th").alias("__th"))
-        .agg(F.collect_list("pos").alias("__dropped"), F.count_if("exact").alias("n_exact"), F.count_if(~F.col("exact")).alias("n_near"))
+        .agg(found)
+        .select("__doc", "__th", F.col("found.pos").alias("__dropped"), F.size(F.filter("found", lambda x: x["exact"])).alias("n_exact"), F.size(F.filter("found", lambda x: ~x["exact"])).alias("n_near"))
     )
     dropped = materialise(dropped, "lines-dropped")
     positions = dropped.agg(F.sum(F.size("__dropped"))).first()[0] or 0
