@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbitweave.llm.textblocks import U64, Words, row_blocks, shingles, tidy, words
+from orbitweave.llm.textblocks import U64, Words, map_batches, row_blocks, shingles, words
 
 WINDOW, HALF, MIN_WORDS, RUN = 64, 32, 8, 4
 COSINE, COPY, PARAPHRASE, ANSWER = 0.45, 0.8, 0.6, 0.6
@@ -83,7 +83,7 @@ def item_passages(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(parts, pa.int32()), pa.array(passages, pa.binary()), pa.array(answers, pa.binary()), pa.array(stretches, pa.binary())], ["item_id", "part", "hashes", "answer", "stretch"])
 
     rows = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "item_id long, part int, hashes binary, answer binary, stretch binary")
+    return map_batches(rows, run, "item_id long, part int, hashes binary, answer binary, stretch binary")
 
 
 class Vocabulary:
@@ -159,7 +159,7 @@ def randomised_svd(passages: DataFrame, vocabulary: Vocabulary, idf: np.ndarray,
     q = np.linalg.qr(np.random.default_rng(1).standard_normal((len(vocabulary.hashes), width)))[0]
 
     def times(factor: np.ndarray) -> np.ndarray:
-        parts = passages.select("hashes").mapInArrow(_gram_product(vocabulary, idf, factor), "place long, row array<double>")
+        parts = map_batches(passages.select("hashes"), _gram_product(vocabulary, idf, factor), "place long, row array<double>")
         sums = parts.select("place", F.posexplode("row").alias("k", "x")).groupBy("place", "k").agg(F.sum("x").alias("x")).groupBy("place").agg(F.sort_array(F.collect_list(F.struct("k", "x"))).alias("row"))
         out = np.zeros_like(factor)
         for r in sums.toLocalIterator():
@@ -411,7 +411,7 @@ def _search(index: Index):
             columns = [ids.take(pa.array([r[0] for r in rows], pa.int64())), *(pa.array([r[k] for r in rows], kinds[k]) for k in range(1, 7))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "cosine", "coverage", "answer", "excerpt", "short"])
 
-    return tidy(run, 2048)
+    return run
 
 
 def _index(own: DataFrame, texts: DataFrame) -> Index | None:
@@ -426,7 +426,7 @@ def _index(own: DataFrame, texts: DataFrame) -> Index | None:
     fold_in, latent, rare = np.zeros((0, 0), dtype=np.float32), np.zeros((0, 0), dtype=np.float32), None
     if long:
         df = np.zeros(len(vocabulary.hashes) + 1)
-        for r in texts.mapInArrow(tidy(_passage_frequencies(vocabulary), 2048), "place long, df long").groupBy("place").agg(F.sum("df").alias("df")).toLocalIterator():
+        for r in map_batches(texts, _passage_frequencies(vocabulary), "place long, df long").groupBy("place").agg(F.sum("df").alias("df")).toLocalIterator():
             df[r.place] = r.df
         idf = np.log((1.0 + df[-1]) / (1.0 + df[:-1])) + 0.01
         vectors = randomised_svd(own.where(F.octet_length("hashes") >= 8 * MIN_WORDS), vocabulary, idf, RANK)
@@ -454,7 +454,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     for block in range(blocks):
         index = _index(item_passages(benchmark.where(F.pmod(F.xxhash64(item_col), F.lit(blocks)) == block), item_col, item_text_col), texts)
         if index:
-            leaks = leaks.unionByName(rows.mapInArrow(_search(index), MATCHES))
+            leaks = leaks.unionByName(map_batches(rows, _search(index), MATCHES))
     best = F.max(F.struct("coverage", "answer", "cosine")).alias("best")
     kind = F.when(F.col("short") == 1, "mention").when((F.col("best.coverage") >= COPY) | (F.col("excerpt") >= EXCERPT), "copy").otherwise("paraphrase")
     return leaks.groupBy("doc_id", "item_id").agg(best, F.max("excerpt").alias("excerpt"), F.max("short").alias("short")).select("doc_id", "item_id", "best.cosine", "best.coverage", "best.answer", kind.alias("kind"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbitweave.llm.textblocks import U64, mix, row_blocks, shingles, tidy, words
+from orbitweave.llm.textblocks import U64, map_batches, mix, row_blocks, shingles, words
 from orbitweave.operators.ordinal import MAX_RANGES, quantile_cuts, range_of
 
 EQ_LANES, LIKE_LANES, GRAM = 64, 256, 3
@@ -135,4 +135,4 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     )
     dealt = both.repartition(max(1, len(first)), "bucket").sortWithinPartitions("bucket", "guest", "doc_id", "text")
     ids = F.when(F.col("doc_id") == F.lit(-(2**63)), F.lit(None).cast("long")).otherwise(F.col("doc_id"))
-    return dealt.select("bucket", "guest", "doc_id", "text").mapInArrow(tidy(_pairs), FINGERPRINTS).withColumn("doc_id", ids)
+    return map_batches(dealt.select("bucket", "guest", "doc_id", "text"), _pairs, FINGERPRINTS).withColumn("doc_id", ids)

@@ -9,6 +9,12 @@ MB of text; a block sends each distinct n-gram once, with its counts, to the par
 gets the corpus totals back in the same order. So the shuffled bytes follow the distinct n-grams of
 blocks, not the tokens, no vocabulary is broadcast, and frequent words cost one entry a block.
 
+A block sends a row to each partition, so rows would grow with the square of the corpus. From ``FAN``
+partitions on the exchange therefore takes several steps, as a radix sort does: blocks send to at most
+``FAN`` bins, the rows of some blocks in a bin are added up, and the sums go on as a block would, to the next
+digit of the hash; answers come back the same way. A row keeps some thousand n-grams at any size, and rows
+grow with the corpus times the number of steps (2 up to 0.5 TB of text, 3 up to 100 TB).
+
 Cases: a null text counts as empty, whose only token is the end; a null id is never learned from and
 counts as held out; repeated rows are counted and scored each; without training documents every score is
 that of the uniform model; an empty table gives an empty result; other columns are ignored.
@@ -26,12 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orbitweave.llm.storage import materialise
-from orbitweave.llm.textblocks import U64, crc_mod, mix, row_blocks, words
+from orbitweave.llm.textblocks import U64, crc_mod, map_batches, mix, row_blocks, words
 
 FOLDS, HELD_OUT, DELETED = 7, 2, 5
 END = np.array([0x656E642D6F662D74], dtype=U64)
 #: Text bytes of a block, and distinct n-grams that a partition of requests is meant for.
 BLOCK_TEXT, PART_KEYS = 8 << 20, 1_000_000
+#: Bins to which one block or sum sends rows at most.
+FAN = 256
 #: Grid of the held-out table: steps an octave, octaves, and context-frequency buckets.
 STEPS, OCTAVES, BUCKETS = 4, 48, 40
 _LEVELS = STEPS * OCTAVES + 1
@@ -98,7 +106,7 @@ def _blocks(block_text: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
 class Block:
     """A block's documents and distinct n-grams, in the order in which totals are asked for."""
 
-    def __init__(self, payload: bytes, parts: int):
+    def __init__(self, payload: bytes, fan: int):
         self.ids, self.missing, self.fold, self.lens, self.unigrams, index = unpack(payload)
         index = index.astype(np.int64)
         first = np.cumsum(self.lens) - self.lens
@@ -114,7 +122,7 @@ class Block:
         self.train = (fold != HELD_OUT) & (fold >= 0)
         self.deleted = fold == DELETED
         self.keys = [self.unigrams, mix(self.unigrams[self.context] * U64(0x9E3779B97F4A7C15) + mix(self.unigrams[self.word]))]
-        self.order = [np.lexsort((k, part_of(k, parts))) for k in self.keys]
+        self.order = [np.lexsort((k, bin_of(k, fan))) for k in self.keys]
 
     def requests(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         for level, (keys, token) in enumerate(zip(self.keys, (self.token_word, self.token_pair), strict=True)):
@@ -129,59 +137,129 @@ class Block:
         return out
 
 
-def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
-    return (keys >> U64(20)) % U64(parts)
+def bin_of(keys: np.ndarray, bins: int) -> np.ndarray:
+    return (keys >> U64(20)) % U64(bins)
+
+
+def _sent(level: int, source: int, bins: int, keys: np.ndarray, train: np.ndarray, deleted: np.ndarray) -> pa.RecordBatch:
+    """A row for each bin of n-grams that are ordered by bin and key."""
+    part = bin_of(keys, bins)
+    starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else part[:0].astype(np.int64)
+    ends = np.r_[starts[1:], len(part)]
+    rows = [pack(np.diff(keys[a:b], prepend=U64(0)), train[a:b], deleted[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+    return _answers(level, part[starts].astype(np.int64), [source] * len(rows), rows)
+
+
+def _answers(level: int, parts, sources: list[int], rows: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([level] * len(rows), pa.int32()), pa.array(parts, pa.int64()), pa.array(sources, pa.int64()), pa.array(rows, pa.binary())], ["level", "part", "block", "payload"])
 
 
-def _ask(parts: int):
+def _ask(fan: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for level, keys, train, deleted in Block(payload, parts).requests():
-                    part = part_of(keys, parts)
-                    starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-                    ends = np.r_[starts[1:], len(part)]
-                    rows = [pack(np.diff(keys[a:b], prepend=U64(0)), train[a:b].astype(np.int32), deleted[a:b].astype(np.int32)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([level] * len(rows), pa.int32()), pa.array(part[starts].astype(np.int32)), pa.array([block] * len(rows), pa.int64()), pa.array(rows, pa.binary())], ["level", "part", "block", "payload"]
-                    )
+                for level, keys, train, deleted in Block(payload, fan).requests():
+                    yield _sent(level, block, fan, keys, train.astype(np.int32), deleted.astype(np.int32))
 
     return run
 
 
-ANSWERS = "level int, part int, block long, payload binary"
+def _by_key(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Rows that come ordered by their first ``columns`` values: each key with the rest of its rows."""
+    at, rows = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[:columns] != at:
+                if rows:
+                    yield at, rows
+                at, rows = row[:columns], []
+            rows.append(row[columns:])
+    if rows:
+        yield at, rows
+
+
+def _added(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Distinct n-grams of requests with the sums of both counts, and the places of each request's n-grams."""
+    opened = [unpack(p) for p in payloads]
+    sizes = np.cumsum([len(x[0]) for x in opened])[:-1]
+    distinct, index = np.unique(np.concatenate([np.cumsum(x[0], dtype=U64) for x in opened]), return_inverse=True)
+    train, deleted = (np.bincount(index, weights=np.concatenate([x[k] for x in opened]), minlength=len(distinct)).astype(np.int64) for k in (1, 2))
+    return distinct, train, deleted, np.split(index, sizes)
+
+
+def _merge(bins: int):
+    """Requests by (level, part, group): their sum as requests to finer bins, and the places of each request in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def tagged(rows: pa.RecordBatch, group: int, what: str) -> pa.RecordBatch:
+            n = rows.num_rows
+            return pa.RecordBatch.from_arrays([*rows.columns, pa.array([group] * n, pa.int64()), pa.array([what] * n)], [*rows.schema.names, "group", "what"])
+
+        for (level, part, group), asked in _by_key(batches, 3):
+            distinct, train, deleted, index = _added([p for _, p in asked])
+            order = np.lexsort((distinct, bin_of(distinct, bins)))
+            place = np.empty(len(order), dtype=np.int64)
+            place[order] = np.arange(len(order))
+            yield tagged(_sent(level, group, bins, distinct[order], train[order], deleted[order]), group, "sum")
+            yield tagged(_answers(level, [part] * len(asked), [b for b, _ in asked], [pack(place[i].astype(np.int32)) for i in index]), group, "place")
+
+    return run
+
+
+ANSWERS = "level int, part long, block long, payload binary"
 
 
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Requests by (level, part): adds them up, answers each block in the order it asked, and tells N and V as block -1."""
-
-    def reply(at: tuple[int, int], asked: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-        level, part = at
-        opened = [unpack(p) for _, p in asked]
-        sizes = np.cumsum([len(x[0]) for x in opened])[:-1]
-        distinct, index = np.unique(np.concatenate([np.cumsum(x[0], dtype=U64) for x in opened]), return_inverse=True)
-        train, deleted = (np.bincount(index, weights=np.concatenate([x[k] for x in opened]), minlength=len(distinct)).astype(np.int64) for k in (1, 2))
-        left = train - deleted
-        stats = np.array([train.sum(), (train > 0).sum(), left.sum(), (left > 0).sum()], dtype=np.int64)
-        rows = [(-1, pack(stats))]
-        rows += [(b, pack(train[i], deleted[i])) for (b, _), i in zip(asked, np.split(index, sizes), strict=True)]
-        for lo in range(0, len(rows), 64):
-            some = rows[lo : lo + 64]
-            yield pa.RecordBatch.from_arrays([pa.array([level] * len(some), pa.int32()), pa.array([part] * len(some), pa.int32()), pa.array([b for b, _ in some], pa.int64()), pa.array([p for _, p in some], pa.binary())], ["level", "part", "block", "payload"])
-
-    at, asked = None, []
-    for batch in batches:
-        for level, part, block, payload in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-            if (level, part) != at:
-                if asked:
-                    yield from reply(at, asked)
-                at, asked = (level, part), []
-            asked.append((block, payload))
-    if asked:
-        yield from reply(at, asked)
+    """Requests by (level, part): adds them up and answers each in the order it asked; the sums of both counts and
+    of their distinct n-grams go in the last columns of a row of block -1."""
 
+    def counted(rows: pa.RecordBatch, stats: list[int | None]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*rows.columns, *(pa.array([x] * rows.num_rows, pa.int64()) for x in stats)], [*rows.schema.names, *STATS])
 
-def _matched(parts: int):
+    for (level, part), asked in _by_key(batches, 2):
+        _, train, deleted, index = _added([p for _, p in asked])
+        left = train - deleted
+        yield counted(_answers(level, [part], [-1], [b""]), [int(train.sum()), int((train > 0).sum()), int(left.sum()), int((left > 0).sum())])
+        for lo in range(0, len(asked), 64):
+            some = range(lo, min(lo + 64, len(asked)))
+            yield counted(_answers(level, [part] * len(some), [asked[k][0] for k in some], [pack(train[index[k]], deleted[index[k]]) for k in some]), [None] * 4)
+
+
+STATS = ["n", "v", "n_left", "v_left"]
+
+
+def _hand_down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by (level, part, group), the answers to a sum before the places of what was added up: answers to the latter."""
+    for (level, part, _), rows in _by_key(batches, 3):
+        answers = [unpack(p) for block, p in rows if block == -1]
+        train, deleted = (np.concatenate([x[k] for x in answers]) for k in (0, 1))
+        for block, p in rows:
+            if block != -1:
+                place = unpack(p)[0]
+                yield _answers(level, [part], [block], [pack(train[place], deleted[place])])
+
+
+def exchange(asked: DataFrame, parts: int, fan: int, steps: int) -> tuple[DataFrame, DataFrame]:
+    """Answers to requests (``level, part, block, payload``), and the table with the corpus' sums in its ``STATS``."""
+    key, places = ["level", "part", "group"], []
+    for step in range(1, steps):
+        groups = max(1, -(-parts // fan**step))
+        dealt = asked.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups))).repartition(parts, *key).sortWithinPartitions(*key, "block")
+        merged = materialise(map_batches(dealt.select(*key, "block", "payload"), _merge(fan ** (step + 1)), f"{ANSWERS}, group long, what string"), "lm-sums", "what")
+        places.append(merged.where("what = 'place'"))
+        asked = merged.where("what = 'sum'").select("level", "part", "block", "payload")
+    dealt = asked.repartition(parts, "level", "part").sortWithinPartitions("level", "part", "block")
+    sums = materialise(map_batches(dealt, _answer, f"{ANSWERS}, " + ", ".join(f"{s} long" for s in STATS)), "lm-answers")
+    answers = sums.where("block >= 0").select("level", "part", "block", "payload")
+    for step in range(steps - 1, 0, -1):
+        back = answers.select("level", F.pmod("part", F.lit(fan**step)).alias("part"), F.col("block").alias("group"), F.lit(-1).cast("long").alias("block"), F.col("part").alias("of"), "payload")
+        both = back.unionByName(places.pop().select(*key, "block", F.lit(0).cast("long").alias("of"), "payload"))
+        dealt = both.repartition(parts, *key).sortWithinPartitions(*key, "block", "of")
+        answers = map_batches(dealt.select(*key, "block", "payload"), _hand_down, ANSWERS)
+    return answers, sums
+
+
+def _matched():
     """Rows by (block, level, part), the block itself at level -1: blocks together with the totals of their n-grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,14 +293,14 @@ def estimates(pair: np.ndarray, context: np.ndarray, word: np.ndarray, n: int, v
     return np.stack([pair / np.maximum(context, 1), word / max(n, 1), np.full(len(pair), 1.0 / (v + 1))], axis=1)
 
 
-def _held_out_table(parts: int, n: int, v: int):
+def _held_out_table(fan: int, n: int, v: int):
     """How many deleted tokens fall in each cell (bucket, bigram estimate, unigram estimate) of the grid."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(BUCKETS * _LEVELS * _LEVELS, dtype=np.int64)
         for batch in batches:
             for payload, one, two in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
-                block = Block(payload, parts)
+                block = Block(payload, fan)
                 left1, left2 = (block.totals(k, [np.subtract(*unpack(x))]) for k, x in enumerate((one, two)))
                 weight = np.bincount(block.token_pair[block.deleted], minlength=len(left2))
                 at = np.flatnonzero(weight)
@@ -258,11 +336,11 @@ def learn_weights(cells: np.ndarray, counts: np.ndarray, rounds: int = 60) -> np
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _scores(parts: int, n: int, v: int, weights: np.ndarray):
+def _scores(fan: int, n: int, v: int, weights: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for payload, one, two in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
-                block = Block(payload, parts)
+                block = Block(payload, fan)
                 c1, c2 = (block.totals(k, [unpack(x)[0]]) for k, x in enumerate((one, two)))
                 context = c1[block.context]
                 p = (estimates(c2, context, c1[block.word], n, v) * weights[bucket_of(context)]).sum(axis=1)
@@ -285,21 +363,20 @@ def _scores(parts: int, n: int, v: int, weights: np.ndarray):
     return run
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_text: int = BLOCK_TEXT, part_keys: int = PART_KEYS) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_text: int = BLOCK_TEXT, part_keys: int = PART_KEYS, fan: int = FAN) -> DataFrame:
     """Scores every document with a model of those whose crc32(id) mod 7 is not 2."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    blocks = materialise(rows.mapInArrow(_blocks(block_text), "block long, payload binary"), "lm-blocks")
+    blocks = materialise(map_batches(rows, _blocks(block_text), "block long, payload binary"), "lm-blocks")
     # A block of 8 MB has about a million distinct n-grams.
-    parts = max(1, int(blocks.count() * block_text / 8 / part_keys))
-    asked = blocks.mapInArrow(_ask(parts), ANSWERS).repartition(parts, "level", "part").sortWithinPartitions("level", "part", "block")
-    answers = materialise(asked.mapInArrow(_answer, ANSWERS), "lm-answers")
-    stats = np.zeros(4, dtype=np.int64)
-    for r in answers.where((F.col("block") == -1) & (F.col("level") == 0)).select("payload").toLocalIterator():  # a few numbers a partition
-        stats += unpack(r.payload)[0]
-    n, v, n_left, v_left = (int(x) for x in stats)
-    both = blocks.select(F.lit(-1).alias("level"), F.lit(-1).alias("part"), "block", "payload").unionByName(answers.where("block >= 0"))
-    matched = both.repartition(max(1, parts), "block").sortWithinPartitions("block", "level", "part")
-    matched = materialise(matched.mapInArrow(_matched(parts), "block long, payload binary, unigrams binary, bigrams binary"), "lm-matched")
-    table = matched.mapInArrow(_held_out_table(parts, n_left, v_left), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).orderBy("cell").collect()  # cells of a fixed grid
-    weights = learn_weights(np.array([r.cell for r in table], dtype=np.int64), np.array([r.n for r in table], dtype=np.int64))
-    return matched.mapInArrow(_scores(parts, n, v, weights), SCORES)
+    n_blocks = blocks.count()
+    parts = max(1, int(n_blocks * block_text / 8 / part_keys))
+    steps = next(k for k in range(1, 64) if fan**k >= parts)
+    own = next(k for k in range(1, fan + 1) if k**steps >= parts)
+    answers, sums = exchange(map_batches(blocks, _ask(own), ANSWERS), parts, own, steps)
+    n, v, n_left, v_left = (int(x or 0) for x in sums.where("block = -1 AND level = 0").agg(*(F.sum(s) for s in STATS)).first())
+    both = blocks.select(F.lit(-1).alias("level"), F.lit(-1).cast("long").alias("part"), "block", "payload").unionByName(answers)
+    matched = both.repartition(parts, "block").sortWithinPartitions("block", "level", "part")
+    matched = materialise(map_batches(matched, _matched(), "block long, payload binary, unigrams binary, bigrams binary"), "lm-matched")
+    table = map_batches(matched, _held_out_table(own, n_left, v_left), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow().sort_by("cell")  # cells of a fixed grid
+    weights = learn_weights(table["cell"].to_numpy(), table["n"].to_numpy())
+    return map_batches(matched, _scores(own, n, v, weights), SCORES)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orbitweave.llm.textblocks import give_back, tidy
+from orbitweave.llm.textblocks import bound_batches, give_back, map_batches
 
 DIM_BITS = 14
 DIM = 1 << DIM_BITS
@@ -145,7 +145,7 @@ def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 def train(learn: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG) -> Model:
     """Fit idf on all rows of ``learn`` and the classifier on its bounded, labelled sample."""
     learn = learn.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    frequencies = learn.select("text").mapInArrow(tidy(_document_frequencies), "feature long, df long").groupBy("feature").agg(F.sum("df").alias("df")).collect()  # DIM + 1 rows at most
+    frequencies = map_batches(learn.select("text"), _document_frequencies, "feature long, df long").groupBy("feature").agg(F.sum("df").alias("df")).collect()  # DIM + 1 rows at most
     df = np.zeros(DIM + 1)
     for r in frequencies:
         df[r.feature] = r.df
@@ -157,7 +157,7 @@ def train(learn: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     share = F.element_at(F.create_map(*[x for r in sizes for x in (F.lit(r.lang), F.lit(int(min(1.0, per_lang / r["count"]) * scale)))]), F.col("lang"))
     draw = F.xxhash64(F.lit("sample"), "id")
     sample = learn.select("lang", draw.alias("draw"), "text").where(F.pmod("draw", F.lit(scale)) < share)
-    rows = sorted(sample.mapInArrow(tidy(_sample_features), "lang string, draw long, at binary, counts binary").collect(), key=lambda r: (r.draw, r.lang, r["at"]))
+    rows = sorted(map_batches(sample, _sample_features, "lang string, draw long, at binary, counts binary").collect(), key=lambda r: (r.draw, r.lang, r["at"]))
     langs = sorted({r.lang for r in sizes})
     model = Model(langs, idf, np.zeros((DIM, len(langs)), dtype=np.float32), np.zeros(len(langs), dtype=np.float32), 1.0)
     data = []
@@ -186,6 +186,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", pred_col: str
         finally:
             give_back()
 
+    bound_batches(docs.sparkSession)
     judge.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
     found = F.arrow_udf(judge, T.StructType([T.StructField("pred", T.StringType()), T.StructField("score", T.DoubleType())]))
     return docs.drop(pred_col, score_col).withColumn(judged, found(F.col(text_col))).withColumns({pred_col: F.col(f"`{judged}`.pred"), score_col: F.col(f"`{judged}`.score")}).drop(judged)

@@ -4,8 +4,10 @@ Words (letters and digits, lower-cased) that occur once in the text window and o
 are anchors; the longest increasing subsequence of their places is kept, and the gaps between anchors are
 aligned the same way. Coverage is the share of the template's words that are matched in order.
 
-A window of the text is aligned where it holds enough of the template's words, as a multiset, to reach the
-coverage at all; a document that lacks too many of them is not looked at further. Both tests lose nothing.
+A document that lacks too many of a template's words is not looked at further. Of the others only the words
+that the template has are looked at, in runs with at most ``GAP`` foreign words between neighbours: that is
+the limit of a match. A window of a run is aligned where it holds enough of the template's words, as a
+multiset, to reach the coverage at all, at its widest (``SPREAD`` times the template) and at its narrowest.
 
 A template's naming words (``NAMING``: mit, nc, 3 ...) must be among the matched ones, and none of the words
 that make another license of it (``OTHERWISE``: lesser, affero, sa ...) may stand between them unmatched. Of
@@ -29,9 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbitweave.llm.textblocks import tidy
+from orbitweave.llm.textblocks import map_batches
 
-COVERAGE = 0.8
+COVERAGE, GAP, SPREAD = 0.8, 2, 2.25
 # Short notices of public licenses.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
@@ -176,7 +178,28 @@ class Template:
 
     def find(self, words: list[str]) -> Iterator[tuple[int, int, int]]:
         """(first word, end, matched words) of matches from left to right, without overlaps."""
-        width = len(self.words) + len(self.words) // 4 + 2
+        at = [k for k, w in enumerate(words) if w in self.count or w in self.otherwise]
+        lo = 0
+        for hi in range(1, len(at) + 1):
+            if hi == len(at) or at[hi] - at[hi - 1] > GAP + 1:
+                if hi - lo >= self.need:
+                    run = at[lo:hi]
+                    for a, b, n in self._find_in_run([words[k] for k in run]):
+                        yield run[a], run[b - 1] + 1, n
+                lo = hi
+
+    def _narrowest(self, words: list[str], begin: int, k: int) -> int:
+        """The last place from which the words up to ``k`` are still enough."""
+        held, common = Counter(), 0
+        while k > begin and common < self.need:
+            k -= 1
+            held[words[k]] += 1
+            common += held[words[k]] <= self.count[words[k]]
+        return k
+
+    def _find_in_run(self, words: list[str]) -> Iterator[tuple[int, int, int]]:
+        size = len(self.words)
+        width = int(SPREAD * size) + 2
         held, common, begin = Counter(), 0, 0
         k = again = 0
         while k < len(words):
@@ -192,25 +215,29 @@ class Template:
                 begin += 1
             k += 1
             if common >= self.need and k >= again:
-                matched = patience(words[begin : k + len(self.words) - self.need], self.words)
+                at = begin
+                matched = patience(words[at : k + size - self.need], self.words)
                 if len(matched) < self.need:
+                    at = self._narrowest(words, begin, k)
+                    narrow = patience(words[at : k + size - self.need], self.words)
                     # Each further word adds one match at most; for a short notice the next word is tried all the same.
-                    again = k + (self.need - len(matched) if len(self.words) > 64 else 1)
-                else:  # aligned again from where the match begins, as far as it may go
-                    begin += matched[0][0]
-                    whole = patience(words[begin : begin + width], self.words)
+                    again = k + (self.need - max(len(matched), len(narrow)) if size > 64 else 1)
+                    matched = narrow
+                if len(matched) >= self.need:  # aligned again from where the match begins, as far as the missing words may be
+                    at += matched[0][0]
+                    whole = patience(words[at : k + 2 * (size - len(matched)) + 2], self.words)
                     matched = whole if len(whole) >= len(matched) else [(a - matched[0][0], b) for a, b in matched]
-                    end = begin + matched[-1][0] + 1
+                    end = at + matched[-1][0] + 1
                     taken = {a for a, _ in matched}
-                    between = (begin + a for a in range(matched[0][0], matched[-1][0]) if a not in taken and words[begin + a] in self.otherwise)
+                    between = (at + a for a in range(matched[0][0], matched[-1][0]) if a not in taken and words[at + a] in self.otherwise)
                     other = next((a for a in between if words[a] != "library" or words[a - 1] == "gnu"), None)
                     if other is not None:
                         end = other + 1
                     elif self.naming <= {b for _, b in matched}:
-                        yield begin + matched[0][0], end, len(matched)
+                        yield at + matched[0][0], end, len(matched)
                     else:  # the next words may bring the name
-                        end = begin + matched[0][0] + 1
-                    held, common, begin, k = Counter(), 0, end, end
+                        end = at + matched[0][0] + 1
+                    held, common, begin, k, again = Counter(), 0, end, end, end
 
 
 def _best(found: list[tuple[int, int, int, Template]]) -> list[tuple[int, int, int, Template]]:
@@ -254,4 +281,4 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(tidy(run), "doc_id long, license string, start_char long, end_char long, coverage double")
+    return map_batches(rows, run, "doc_id long, license string, start_char long, end_char long, coverage double")

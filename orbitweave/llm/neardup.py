@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from orbitweave.llm.components import connected_components
 from orbitweave.llm.storage import materialise
-from orbitweave.llm.textblocks import U64, mix, row_blocks, shingles, tidy, words
+from orbitweave.llm.textblocks import U64, map_batches, mix, row_blocks, shingles, words
 
 SHINGLE, BANDS, ROWS, SKETCH_BITS = 5, 40, 4, 512
 _U32 = np.uint32
@@ -48,8 +48,6 @@ BROADCAST_IDS = 300_000
 #: At similarity 0.75, 40 of 160 samples differ (deviation 5.5) and set 69 bits (deviation 11 with the
 #: sampling): 136 bits are six deviations away.
 FAR_BITS = 136
-#: Cells of the table of shingle frequencies.
-CELLS = 1 << 18
 
 
 def shingle_set(hashes: np.ndarray) -> np.ndarray:
@@ -131,44 +129,33 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(lo, hi - lo) for k in rest), pa.array(sets, pa.large_binary()).cast(pa.binary())], [*(batch.schema.names[k] for k in rest), "hashes"])
 
 
-def _cell_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How often shingles fall in each of CELLS cells: a fixed-size table by which shingles are ordered."""
-    counts = np.zeros(CELLS, dtype=np.int64)
-    for batch in batches:
-        for lo, hi in row_blocks(batch.column(0)):
-            w = words(batch.column(0).slice(lo, hi - lo))
-            for k in range(hi - lo):
-                np.add.at(counts, (shingle_set(w.hashes[w.first[k] : w.first[k + 1]]) & U64(CELLS - 1)).astype(np.int64), 1)
-    at = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["cell", "n"])
-
+TOKENS = "token long, doc_id long, set_key long, n int"
 
-def rarest(own: np.ndarray, counts: np.ndarray, threshold: int) -> np.ndarray:
-    """The first n - ceil(threshold * n) + 1 shingles of a set by frequency of their cell, then by hash.
 
-    Two sets whose similarity reaches the threshold share one of these, whatever the common order is."""
-    n = len(own)
-    order = np.lexsort((own, counts[(own & U64(CELLS - 1)).astype(np.int64)]))
-    return own[order[: n - -(-threshold * n // 100) + 1]]
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct shingles of each row's text, with a key and the size of their set."""
+    for batch in batches:
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        for lo, hi in row_blocks(batch.column(1)):
+            w = words(batch.column(1).slice(lo, hi - lo))
+            sets = [shingle_set(w.hashes[w.first[k] : w.first[k + 1]]) for k in range(hi - lo)]
+            n = np.array([len(s) for s in sets])
+            keys = np.array([np.bitwise_xor.reduce(mix(s + U64(7))) for s in sets], dtype=U64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(np.repeat(ids[lo:hi], n)), pa.array(np.repeat(keys, n)), pa.array(np.repeat(n, n).astype(np.int32))], ["token", "doc_id", "set_key", "n"])
 
 
-def _rarest(counts: np.ndarray, threshold: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, owns, outside = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            for lo, hi in row_blocks(batch.column(3)):
-                w = words(batch.column(3).slice(lo, hi - lo))
-                sets = [shingle_set(w.hashes[w.first[k] : w.first[k + 1]]) for k in range(hi - lo)]
-                kept = [rarest(s, counts, threshold) if len(s) else s for s in sets]
-                times = [len(r) for r in kept]
-                flat = np.concatenate(kept).view(np.int64)
-                repeat = lambda v: pa.array(np.repeat(v, times))
-                at = pa.array(np.concatenate([np.arange(n) for n in times]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(flat), repeat(ids[lo:hi]), repeat(owns[lo:hi]), repeat(outside[lo:hi].astype(bool)), repeat(np.array([len(s) for s in sets])), at], ["token", "doc_id", "own", "outside", "n", "at"]
-                )
+def rarest(texts: DataFrame, threshold: int) -> DataFrame:
+    """``token, doc_id, n, at``: the first n - ceil(threshold * n) + 1 shingles of each set by their number of
+    sets, then by hash, with their places in that order; shingles of one set only count, but are left out.
 
-    return run
+    Two sets whose similarity reaches the threshold share one of these, whatever the common order is."""
+    tokens = materialise(map_batches(texts, _tokens, TOKENS), "near-tokens")
+    often = tokens.groupBy("token").agg(F.count("*").alias("sets")).where("sets > 1")
+    own = tokens.join(often, "token").groupBy("doc_id", "set_key", "n").agg(F.sort_array(F.collect_set(F.struct("sets", "token"))).alias("own"))
+    alone = F.col("n") - F.size("own")
+    first = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") / 100).cast("int") + 1 - alone
+    kept = own.where(first > 0).select("doc_id", "n", alone.alias("alone"), F.posexplode(F.slice("own", F.lit(1), first)).alias("k", "s"))
+    return kept.select(F.col("s.token").alias("token"), "doc_id", "n", (F.col("alone") + F.col("k")).alias("at"))
 
 
 def similar(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
@@ -216,15 +203,15 @@ def confirm_pairs(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFram
         "near-roles",
     )
     side = F.broadcast(roles) if roles.count() <= BROADCAST_IDS else roles
-    sets = docs.join(side, "doc_id").select("centre", "block", "member", "doc_id", "text").mapInArrow(tidy(_sets), "centre long, block long, member boolean, doc_id long, hashes binary")
+    sets = map_batches(docs.join(side, "doc_id").select("centre", "block", "member", "doc_id", "text"), _sets, "centre long, block long, member boolean, doc_id long, hashes binary")
     dealt = sets.repartition("centre", "block").sortWithinPartitions("centre", "block", "member")
-    return dealt.mapInArrow(tidy(_confirm(threshold)), "a long, b long")
+    return map_batches(dealt, _confirm(threshold), "a long, b long")
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 75) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``: documents linked at ``threshold`` per cent of Jaccard similarity or more."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = materialise(docs.mapInArrow(tidy(_signatures), SIGNATURES), "near-signatures")
+    signed = materialise(map_batches(docs, _signatures, SIGNATURES), "near-signatures")
     full = signed.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = materialise(full.groupBy(*_KEYS).agg(F.min("doc_id").alias("rep")), "near-classes")
     nodes = full.join(classes, _KEYS).where(F.col("doc_id") == F.col("rep"))
@@ -262,11 +249,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     open_buckets = placed.where(apart).select("bucket").distinct()
     people = materialise(placed.join(open_buckets, "bucket", "left_semi").groupBy(F.col("rep").alias("doc_id")).agg(F.min("own").alias("own"), F.max(apart).alias("outside")), "near-people")
     few = F.broadcast(people) if people.count() <= BROADCAST_IDS else people
-    texts = docs.join(few, "doc_id").select("doc_id", "own", "outside", "text")
-    cells = texts.select("text").mapInArrow(tidy(_cell_counts), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(CELLS, dtype=np.int64)
-    counts[cells["cell"].to_numpy()] = cells["n"].to_numpy()
-    rare = materialise(texts.mapInArrow(tidy(_rarest(counts, threshold)), "token long, doc_id long, own long, outside boolean, n long, at long"), "near-rare")
+    rare = materialise(rarest(docs.join(few.select("doc_id"), "doc_id").select("doc_id", "text"), threshold).join(few, "doc_id"), "near-rare")
     shared = rare.groupBy("token").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.max("outside").alias("any")).where("lo < hi AND any").select("token")
     alive = materialise(rare.join(shared, "token", "left_semi").distinct(), "near-alive")
     whole = ["doc_id", "own", "outside", "n", "at"]

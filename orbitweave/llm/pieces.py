@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orbitweave.llm.textblocks import tidy
+from orbitweave.llm.textblocks import map_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -175,7 +175,7 @@ def _mapped(df: DataFrame, fn: Callable[[pa.RecordBatch], list[pa.Array]], colum
             if encoder.cache_info().currsize:
                 encoder(model).forget()
 
-    return kept.mapInArrow(tidy(run), T.StructType([*kept.schema.fields, *(T.StructField(name, kind) for name, kind in columns.items())]))
+    return map_batches(kept, run, T.StructType([*kept.schema.fields, *(T.StructField(name, kind) for name, kind in columns.items())]))
 
 
 IDS = T.ArrayType(T.IntegerType())

@@ -13,6 +13,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 U64 = np.uint64
 #: Odd multiplier of the polynomial word hash, and its inverse modulo 2**64.
@@ -23,7 +25,7 @@ _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Text bytes handled at once.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 _powers: list[np.ndarray] = []
 
 
@@ -130,8 +132,21 @@ def give_back() -> None:
 Batches = Iterator[pa.RecordBatch]
 
 
-def tidy(run: Callable[[Batches], Batches], rows: int = 512) -> Callable[[Batches], Batches]:
-    """``run`` over batches cut to ``rows`` rows, with memory given back at the end of the task."""
+#: Rows and bytes of an Arrow batch where the session has no limit of its own: Spark's 10,000 whole texts would
+#: be held several times over, by the executor and by its Python workers.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 512, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Set the session's limits of Arrow batches, where they are unset."""
+    known = spark.conf.getAll
+    for key, most in BATCH.items():
+        if key not in known:
+            spark.conf.set(key, str(most))
+
+
+def map_batches(df: DataFrame, run: Callable[[Batches], Batches], schema: str | StructType, rows: int = 512) -> DataFrame:
+    """``mapInArrow`` over batches of bounded size, with memory given back at the end of each task."""
 
     def wrapped(batches: Batches) -> Batches:
         try:
@@ -139,7 +154,8 @@ def tidy(run: Callable[[Batches], Batches], rows: int = 512) -> Callable[[Batche
         finally:
             give_back()
 
-    return wrapped
+    bound_batches(df.sparkSession)
+    return df.mapInArrow(wrapped, schema)
 
 
 def shingles(hashes: np.ndarray, size: int) -> np.ndarray:

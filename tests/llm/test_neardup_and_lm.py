@@ -76,9 +76,10 @@ def test_odd_sketch_estimates_similarity():
     assert abs(int((odd[0] ^ odd[1]).sum()) - expected) < 30
 
 
-def test_scores_equal_a_plain_model(spark, sf_dir):
+@pytest.mark.parametrize("fan", [256, 3])  # one step of the exchange, and three
+def test_scores_equal_a_plain_model(spark, sf_dir, fan):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()] + [(901, None), (902, "")]
-    out = {r.doc_id: r for r in interpolation.score_documents(spark.createDataFrame(docs, "doc_id long, text string"), block_text=60_000, part_keys=3_000).collect()}
+    out = {r.doc_id: r for r in interpolation.score_documents(spark.createDataFrame(docs, "doc_id long, text string"), block_text=60_000, part_keys=3_000, fan=fan).collect()}
     fold = {i: zlib.crc32(str(i).encode()) % 7 for i, _ in docs}
     toks = {i: [*tokens(t), None] for i, t in docs}
 
@@ -120,8 +121,17 @@ def test_scores_equal_a_plain_model(spark, sf_dir):
 
 
 def test_probabilities_of_a_context_sum_to_one():
-    weights = interpolation.learn_weights(np.array([0]), np.array([1]))
-    assert np.allclose(weights.sum(axis=1), 1.0)
+    rng = np.random.default_rng(3)
+    docs = [[*(rng.zipf(1.5, 30) % 50).tolist(), -1] for _ in range(40)]
+    one = Counter(w for d in docs for w in d)
+    two = Counter(p for d in docs for p in zip([-1, *d], d))
+    n, v = sum(one.values()), len(one)
+    weights = interpolation.learn_weights(np.array([5 * interpolation._LEVELS**2 + 900, 2 * interpolation._LEVELS**2 + 30]), np.array([7, 9]))
+    for h in one:
+        words = [*one, "unseen"]
+        context = np.full(len(words), one[h])
+        p = interpolation.estimates(np.array([two[h, w] for w in words]), context, np.array([one[w] for w in words]), n, v)
+        assert (p * weights[interpolation.bucket_of(context)]).sum() == pytest.approx(1.0)
 
 
 def test_scores_of_odd_tables(spark):

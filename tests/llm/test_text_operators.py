@@ -86,6 +86,35 @@ def test_whole_license_texts(name):
         assert [m[0] for m in found] == [name]
 
 
+@pytest.mark.parametrize("name", ["MIT-grant", "BSD", "GPL-3.0", "Apache-2.0-header", "MIT-text", "BSD-3-Clause-text"])
+def test_inserted_words_hide_no_license(name):
+    body = licenses.TEMPLATES[name].split()
+    for each in (1, 2, 3):
+        text = " ".join(w if k % each else f"{w} foreign{k}" for k, w in enumerate(body))
+        found = licenses.scan_text(f"Prose before it. {text} Prose after it.")
+        assert [m[0] for m in found] == [name] and found[0][3] > 0.99
+    assert [m for m in licenses.scan_text("All of my pages and here the many rights that one and all have reserved")] == []
+
+
+def test_edited_notices_against_every_window():
+    rng = random.Random(12)
+    names = ["MIT-grant", "BSD", "MPL-2.0", "GPL-header", "Unlicense"]
+    missed = total = 0
+    for _ in range(150):
+        name = rng.choice(names)
+        template = licenses.word_list(licenses.TEMPLATES[name])
+        text = [w for w in template if rng.random() > 0.15]
+        for _ in range(rng.randrange(6)):
+            text.insert(rng.randrange(len(text) + 1), rng.choice([*template, "x", "y"]))
+        text = [f"p{k}" for k in range(20)] + text + [f"q{k}" for k in range(20)]
+        reach = range(20, len(text) - 20 + 1)
+        best = max((len(licenses.patience(text[a:b], template)) for a in reach for b in reach if len(template) * 0.8 <= b - a), default=0)
+        if best >= 0.8 * len(template):
+            total += 1
+            missed += name not in [m[0] for m in licenses.scan_text(" ".join(text), {name: licenses.TEMPLATES[name]})]
+    assert total > 60 and missed <= total // 50
+
+
 # Perspectives.
 def test_masks_cover_exactly_the_assistant(spark):
     rows = [(1, 0, "system", "be nice"), (1, 1, "ann", "hi"), (1, 2, "bob", "hello <|im_end|>"), (1, 2, "bob", "hello <|im_end|>"), (1, 3, None, None), (1, 300, "ann", "later"), (2, 0, "system", "alone"), (None, None, "cy", "x")]
@@ -271,6 +300,91 @@ def test_excerpts_of_long_items_wherever_they_begin(spark):
     assert sorted((r.doc_id, r.item_id, r.kind) for r in out) == [(k, 7, "copy") for k in (*range(151), 1000)]
 
 
+def test_short_items_and_scattered_words(spark):
+    bench = spark.createDataFrame([(1, "Twelve blue cats"), (2, "who is the tallest of them"), (3, "yes"), (4, "one two three four five six seven eight")], "item_id long, text string")
+    scattered = " ".join(w for k in range(8) for w in ["one two three four five six seven eight".split()[k], *[f"z{k}_{j}" for j in range(8)]])
+    rows = [
+        (1, "prose\n twelve  Blue cats\nmore"), (2, "and twelve blue cats sat"), (3, "twelve blue\ncats"), (4, "see who is the tallest of them now"),
+        (5, "yes"), (6, "yes and no"), (7, scattered), (8, "twelve blue"), (9, None), (None, "yes"), (10, "x one two three four five six seven eight y"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {(r.doc_id, r.item_id, r.kind) for r in decontam.find_leaks(df, bench).collect()}
+    assert out == {(1, 1, "copy"), (2, 1, "mention"), (3, 1, "copy"), (4, 2, "copy"), (5, 3, "copy"), (6, 3, "mention"), (None, 3, "copy"), (10, 4, "copy")}
+    only = {(r.doc_id, r.item_id) for r in decontam.find_leaks(df, bench.where("item_id < 4")).collect()}
+    assert only == {(d, i) for d, i, _ in out if i < 4}
+
+
+def test_recall_of_paraphrases(spark):
+    rng = random.Random(21)
+    weights = [1 / (k + 3) for k in range(8000)]
+    prose = lambda n: rng.choices(range(8000), weights, k=n)
+    text = lambda ws: " ".join(f"w{w}" for w in ws)
+    items = [prose(rng.randint(12, 60)) for _ in range(260)]
+    changed = [[w if k >= len(i) - max(3, len(i) // 4) or rng.random() > 0.3 else rng.randrange(8000, 9000) for k, w in enumerate(i)] for i in items]
+    due = [k for k, (i, c) in enumerate(zip(items, changed, strict=True)) if lcs(i, c) >= decontam.PARAPHRASE * len(i)]
+    docs = spark.createDataFrame([(k, text(prose(rng.randint(40, 120)) + c + prose(rng.randint(40, 120)))) for k, c in enumerate(changed)], "doc_id long, text string").repartition(4)
+    got = {(r.doc_id, r.item_id) for r in decontam.find_leaks(docs, spark.createDataFrame([(k, text(i)) for k, i in enumerate(items)], "item_id long, text string")).collect()}
+    assert len(due) >= 200 and sum((k, k) in got for k in due) >= 0.97 * len(due)
+    assert sum(d != i for d, i in got) <= 5
+
+
+def test_randomised_svd_against_an_exact_one(spark):
+    rng = np.random.default_rng(6)
+    topics = [rng.choice(300, 25, replace=False) for _ in range(6)]
+    items = [" ".join(f"w{w}" for w in rng.choice(topics[k % 6], 40)) for k in range(90)]
+    own = decontam.item_passages(spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    hashes = [np.frombuffer(bytes(r.hashes), dtype=np.uint64) for r in own.collect()]
+    vocabulary = decontam.Vocabulary(np.unique(np.concatenate(hashes)))
+    idf = np.linspace(0.5, 2.0, len(vocabulary.hashes))
+    a = np.zeros((len(hashes), len(idf)))
+    for k, h in enumerate(hashes):
+        np.add.at(a[k], vocabulary.find(h)[1], 1.0)
+    a *= idf
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    exact = np.linalg.svd(a, full_matrices=False)[2][:6].T
+    assert np.linalg.svd(exact.T @ decontam.randomised_svd(own, vocabulary, idf, 6), compute_uv=False).min() > 0.99
+
+
+def test_language_model_against_a_plain_loop():
+    rng = np.random.default_rng(2)
+    rows = []
+    for k in range(60):
+        at = np.sort(rng.choice(20, 5, replace=False)) + 20 * (k % 3)
+        rows.append((at, rng.random(5)))
+    labels = [k % 3 for k in range(60)]
+    weights, bias = langid.train_ftrl(rows, labels, 3, epochs=2)
+    z, n = {}, {}
+
+    def w(f, c):
+        zz, l1 = z.get((f, c), 0.0), 0.0 if f == langid.DIM else 0.02
+        return 0.0 if abs(zz) <= l1 else -(zz - np.sign(zz) * l1) / ((1.0 + n.get((f, c), 0.0) ** 0.5) / 0.5 + 0.5)
+
+    order = np.random.default_rng(0)
+    for _ in range(2):
+        for k in order.permutation(60):
+            x = {**dict(zip(rows[k][0].tolist(), rows[k][1].tolist())), langid.DIM: 1.0}
+            now = {(f, c): w(f, c) for f in x for c in range(3)}
+            e = np.exp([sum(v * now[f, c] for f, v in x.items()) for c in range(3)])
+            p = e / e.sum()
+            for (f, c), own in now.items():
+                g = x[f] * (p[c] - (labels[k] == c))
+                old = n.get((f, c), 0.0)
+                z[f, c] = z.get((f, c), 0.0) + g - ((old + g * g) ** 0.5 - old**0.5) / 0.5 * own
+                n[f, c] = old + g * g
+    assert np.allclose(bias, [w(langid.DIM, c) for c in range(3)], atol=1e-5)
+    assert np.allclose(weights[:60], [[w(f, c) for c in range(3)] for f in range(60)], atol=1e-5) and not weights[60:].any()
+
+
+def test_character_grams_against_a_plain_loop():
+    text = "Über 9 naïve cafés – ok"
+    padded = "".join([" ", *(c if c.isalpha() else " " for c in text.lower()), " "])
+    grams = {padded[k : k + n] for n in (1, 2, 3) for k in range(len(padded) - n + 1)}
+    wanted = {g for g in grams if len(g) == 3 or g.strip()}
+    at, counts = langid.features(text)
+    total = sum(sum(1 for k in range(len(padded) - n + 1) if padded[k : k + n].strip() or n == 3) for n in (1, 2, 3))
+    assert counts.sum() == total and 0.9 * len(wanted) <= len(at) <= len(wanted)
+
+
 def test_latent_space_keeps_cosines():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 50, 40).tolist()
