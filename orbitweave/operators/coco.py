@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from orbitweave.functions import shapes
 from orbitweave.operators.matching import missing_and_extra, mode
-from orbitweave.operators.ordinal import positional_split, with_ordinal
+from orbitweave.operators.ordinal import MAX_RANGES, ROWS_PER_RANGE, positional_split, with_ordinal
 
 
 def with_annotations(images: DataFrame, annotations: DataFrame, image_id: str, fields: list[str], order: list[Column]) -> DataFrame:
@@ -21,9 +21,13 @@ def with_annotations(images: DataFrame, annotations: DataFrame, image_id: str, f
 
 def renumber(images: DataFrame, annotations: DataFrame, image_id: str, image_order: list[Column], annotation_order: list[Column]) -> tuple[DataFrame, DataFrame]:
     """Both tables with gapless ids from 1 (``new_image_id``, ``new_id``); annotations follow their image."""
-    numbered = with_ordinal(images, image_order[0], image_order[1:], "new_image_id")
+    total = images.count()
+    numbered = with_ordinal(images, image_order[0], image_order[1:], "new_image_id", total=total)
     linked = annotations.join(numbered.select(image_id, "new_image_id"), image_id)
-    return numbered, with_ordinal(linked, F.col("new_image_id"), annotation_order, "new_id")
+    # Image numbers have no gaps, so equal steps of them cut the annotations: no quantiles of the join are needed.
+    ranges = min(MAX_RANGES, max(1, annotations.count() // ROWS_PER_RANGE), max(1, total))
+    cuts = [total * k / ranges + 0.5 for k in range(1, ranges)]
+    return numbered, with_ordinal(linked, F.col("new_image_id"), annotation_order, "new_id", cuts=cuts)
 
 
 def one_category(annotations: DataFrame, column: str = "category_id", value: int = 0) -> DataFrame:

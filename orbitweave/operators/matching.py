@@ -13,11 +13,14 @@ def name_contains(files: DataFrame, names: DataFrame, file_col: str, name_col: s
     """Files whose name holds any of the names (``found``) or none of them.
 
     Names of a bounded size are broadcast. More go by their first characters: as many as the shortest name
-    has are looked up among all substrings of that length of a file name, and the hits compared whole."""
+    has are looked up among all substrings of that length of a file name, and the hits compared whole. An
+    empty name is in every file name that is not null."""
     wanted = names.select(F.col(name_col).alias("__name")).where("__name IS NOT NULL").distinct()
     n, size, shortest = wanted.agg(F.count("*"), F.sum(F.octet_length("__name")), F.min(F.char_length("__name"))).first()
     how = "left_semi" if found else "left_anti"
-    if not n or (size or 0) <= BROADCAST_BYTES or not shortest:
+    if shortest == 0:
+        return files.where(F.col(file_col).isNotNull() if found else F.col(file_col).isNull())
+    if not n or (size or 0) <= BROADCAST_BYTES:
         return files.join(F.broadcast(wanted), F.contains(F.col(file_col), F.col("__name")), how)
     keyed = files.select(F.col(file_col).alias("__file")).distinct()
     places = F.sequence(F.lit(1), F.char_length("__file") - shortest + 1)
@@ -57,12 +60,15 @@ def best_by(rows: DataFrame, keys: list[str], score: Column, tie: Column, take:
     return rows.groupBy(*keys).agg(best.alias("__best")).select(*keys, *(F.col(f"__best.{c}").alias(c) for c in take), F.col("__best.__score").alias("score"))
 
 
-def best_match(queries: DataFrame, candidates: DataFrame, key: str, vector: str, group: str) -> DataFrame:
+def best_match(queries: DataFrame, candidates: DataFrame, key: str, vector: str, group: str, block_rows: int = 50_000) -> DataFrame:
     """For each query the most similar candidate of its group, by cosine, itself excepted; ties go to the least key.
 
-    The queries, a stated set, meet each block of candidates of their group; only the best of each block goes on."""
-    asked = queries.select(F.col(key).alias("query"), F.col(group).alias("__g"), F.col(vector).alias("__q"))
-    pairs = candidates.select(F.col(key).alias("match"), F.col(group).alias("__g"), F.col(vector).alias("__c")).join(asked, "__g").where("query <> match")
+    Candidates are dealt over blocks, and the queries, a stated set, meet each block of their group, so a large
+    group is many tasks; only the best of each task goes on."""
+    blocks = max(1, candidates.count() // block_rows)
+    asked = queries.select(F.col(key).alias("query"), F.col(group).alias("__g"), F.col(vector).alias("__q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__b"))
+    dealt = candidates.select(F.col(key).alias("match"), F.col(group).alias("__g"), F.col(vector).alias("__c"), F.pmod(F.hash(key), F.lit(blocks)).alias("__b"))
+    pairs = dealt.join(asked, ["__g", "__b"]).where("query <> match")
     scored = pairs.select("query", "match", cosine(F.col("__q"), F.col("__c")).alias("__s"))
     return best_by(scored, ["query"], F.col("__s"), F.col("match"), ["match"])
 

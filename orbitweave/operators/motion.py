@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbitweave.functions import geo, noise
+from orbitweave.operators.ordinal import with_ordinal
 from orbitweave.operators.spatial import on_water
 
 
@@ -32,16 +33,24 @@ class Walk:
 def start_targets(spark: SparkSession, n: int, land_cells: DataFrame, res_deg: float, seed: int, max_lat: float | None = 70.0, surplus: int = 4) -> DataFrame:
     """``whale_id, lat, lon, alt, speed, heading`` of n targets, uniform over the water of the sphere.
 
-    ``surplus * n`` places are drawn and the first n on water kept, renumbered from 0."""
-    drawn = spark.range(surplus * n).select(
-        F.col("id").alias("draw"), geo.sphere_lat(noise.uniform(seed, F.col("id"), "lat")).alias("lat"), (noise.uniform(seed, F.col("id"), "lon") * 360.0 - 180.0).alias("lon")
-    )
-    if max_lat is not None:
-        drawn = drawn.where(F.abs("lat") <= max_lat)
-    kept = on_water(drawn, land_cells, "lat", "lon", res_deg).orderBy("draw").limit(n)
-    ids = kept.agg(F.sort_array(F.collect_list(F.struct("draw", "lat", "lon"))).alias("all")).select(F.posexplode("all").alias("whale_id", "t"))  # n places, a parameter
-    return ids.select(
-        F.col("whale_id").cast("long").alias("whale_id"), "t.lat", "t.lon", F.lit(0.0).alias("alt"),
+    ``surplus * n`` places are drawn, and twice as many as long as fewer than n are on water; the first n are
+    kept and numbered from 0. The draws are a function of the seed and their number, so the n targets don't
+    depend on ``surplus``. Hardly any water in the band (one draw in 10,000) is an error."""
+
+    def on_sea(draws: int) -> DataFrame:
+        drawn = spark.range(draws).select(
+            F.col("id").alias("draw"), geo.sphere_lat(noise.uniform(seed, F.col("id"), "lat")).alias("lat"), (noise.uniform(seed, F.col("id"), "lon") * 360.0 - 180.0).alias("lon")
+        )
+        return on_water(drawn if max_lat is None else drawn.where(F.abs("lat") <= max_lat), land_cells, "lat", "lon", res_deg)
+
+    draws = max(1, surplus * n)
+    while (found := on_sea(draws).count()) < n:
+        if draws > 10_000 * n:
+            raise ValueError("too little water for the targets")
+        draws *= 2
+    numbered = with_ordinal(on_sea(draws), F.col("draw"), [], "whale_id", start=0, total=found).where(F.col("whale_id") < n)
+    return numbered.select(
+        "whale_id", "lat", "lon", F.lit(0.0).alias("alt"),
         (0.5 + 2.5 * noise.uniform(seed, F.col("whale_id"), "speed")).alias("speed"), (360.0 * noise.uniform(seed, F.col("whale_id"), "heading")).alias("heading"),
     )
 

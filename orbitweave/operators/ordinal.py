@@ -31,14 +31,20 @@ def range_of(column: Column, cuts: list[float]) -> Column:
     return place(column.cast("double"))
 
 
-def with_ordinal(df: DataFrame, key: Column, ties: list[Column], out: str, start: int = 1) -> DataFrame:
+def with_ordinal(df: DataFrame, key: Column, ties: list[Column], out: str, start: int = 1, total: int | None = None, cuts: list[float] | None = None) -> DataFrame:
     """Adds a gapless number by (key, ties); ``key`` is a number.
 
     Approximate quantiles cut the key into ranges; rows are numbered within their range, plus the exact
-    count of the ranges before. The quantiles only balance the work, they don't change a number."""
+    count of the ranges before. The quantiles only balance the work, they don't change a number.
+    A caller who knows them may give the number of rows (``total``) or the cuts, so that ``df`` is run less often."""
     keyed = df.withColumn("__key", key.cast("double"))
-    ranges = min(MAX_RANGES, max(1, df.count() // ROWS_PER_RANGE))
-    keyed = keyed.withColumn("__range", range_of(F.col("__key"), quantile_cuts(keyed, "__key", ranges)))
+    if cuts is None:
+        ranges = min(MAX_RANGES, max(1, (df.count() if total is None else total) // ROWS_PER_RANGE))
+        cuts = quantile_cuts(keyed, "__key", ranges)
+    if not cuts:  # one range, so one window
+        rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(key, *ties))
+        return df.withColumn(out, (rank + (start - 1)).cast("long"))
+    keyed = keyed.withColumn("__range", range_of(F.col("__key"), cuts))
     sizes = keyed.groupBy("__range").agg(F.count("*").alias("__n"))
     before = sizes.select("__range", (F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).alias("__before"))  # a row a range
     rank = F.row_number().over(Window.partitionBy("__range").orderBy(key, *ties))
@@ -52,6 +58,7 @@ def split_cuts(n: int, train: float = 0.7, val: float = 0.2) -> tuple[int, int]:
 
 def positional_split(df: DataFrame, order: Column, ties: list[Column], out: str = "split") -> DataFrame:
     """Adds train, val or test by place in the order."""
-    a, b = split_cuts(df.count())
-    numbered = with_ordinal(df, order, ties, "__at", start=0)
+    total = df.count()
+    a, b = split_cuts(total)
+    numbered = with_ordinal(df, order, ties, "__at", start=0, total=total)
     return numbered.withColumn(out, F.when(F.col("__at") < a, "train").when(F.col("__at") < b, "val").otherwise("test")).drop("__at")

@@ -66,7 +66,7 @@ def pending_by_tick(spans: DataFrame, tick_us: int) -> DataFrame:
 def counts_with_zeros(events: DataFrame, tick: Column, group: str, ticks: DataFrame, groups: DataFrame) -> DataFrame:
     """``tick, group, n, any``: a row for each tick and group, also where nothing happened."""
     seen = events.groupBy(tick.alias("tick"), group).agg(F.count("*").alias("n"))
-    return ticks.crossJoin(F.broadcast(groups)).join(seen, ["tick", group], "left").select("tick", group, F.coalesce("n", F.lit(0)).alias("n"), F.coalesce(F.col("n") > 0, F.lit(False)).alias("any_detected"))
+    return ticks.crossJoin(groups).join(seen, ["tick", group], "left").select("tick", group, F.coalesce("n", F.lit(0)).alias("n"), F.coalesce(F.col("n") > 0, F.lit(False)).alias("any_detected"))
 
 
 def tick_report(detections: DataFrame, views: DataFrame, detected: str, seen: str, tick_us: int) -> DataFrame:

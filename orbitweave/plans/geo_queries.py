@@ -110,9 +110,12 @@ p AS (SELECT *, {_DIST} AS d FROM c, targets) SELECT sat, whale_id FROM p WHERE
 def elevation_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Targets that see a cue satellite at 786 km at 10 degrees of elevation or more (spherical vertical)."""
     cues = satellites(spark, sf_dir).where("role = 'cue'")
-    near = spatial.within_distance(targets(spark, sf_dir), cues, ("lat", "lon"), ("sat_lat", "sat_lon"), 2_200_000.0, 5.0)
-    e = geo.elevation_deg(geo.ecef(F.col("lat"), F.col("lon"), F.lit(0.0)), geo.ecef(F.col("sat_lat"), F.col("sat_lon"), F.lit(ALTITUDE_M)))
-    seen = near.withColumn("e", e).where(F.col("e") >= 10.0)
+    placed = targets(spark, sf_dir).select("whale_id", "lat", "lon", geo.ecef(F.col("lat"), F.col("lon"), F.lit(0.0)).alias("tr"))
+    cues = cues.withColumn("sr", geo.ecef(F.col("sat_lat"), F.col("sat_lon"), F.lit(ALTITUDE_M)))
+    near = spatial.within_distance(placed, cues, ("lat", "lon"), ("sat_lat", "sat_lon"), 2_200_000.0, 10.0)
+    t, d = F.col("tr"), V.sub(F.col("sr"), F.col("tr"))
+    sine = V.dot(d, t) / F.sqrt(V.dot(t, t) * V.dot(d, d))
+    seen = near.withColumn("sine", sine).where(F.col("sine") >= F.lit(math.sin(math.radians(9.999)))).withColumn("e", F.degrees(F.asin("sine"))).where(F.col("e") >= 10.0)
     return seen.select("sat", "whale_id", F.round("e", 6).alias("elevation_deg"))
 
 
@@ -124,9 +127,10 @@ SELECT sat, whale_id, round(e, 6) AS elevation_deg FROM e WHERE e >= 10"""
 
 
 def _paired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each target with one satellite, 3 degrees away in both directions."""
-    t = targets(spark, sf_dir).where("abs(lat) < 80")
-    return t.withColumn("tr", geo.ecef(F.col("lat"), F.col("lon"), F.lit(0.0))).withColumn("sr", geo.ecef(F.col("lat") + 3.0, F.col("lon") + 3.0, F.lit(ALTITUDE_M)))
+    """Each target with one satellite, 3 degrees away eastwards and towards the equator."""
+    t = targets(spark, sf_dir)
+    towards = F.col("lat") + F.when(F.col("lat") > 0, -3.0).otherwise(3.0)
+    return t.withColumn("tr", geo.ecef(F.col("lat"), F.col("lon"), F.lit(0.0))).withColumn("sr", geo.ecef(towards, F.col("lon") + 3.0, F.lit(ALTITUDE_M)))
 
 
 def off_nadir_azimuth(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,7 +142,8 @@ def off_nadir_azimuth(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_PAIR = f"p AS (SELECT *, {_ECEF('lat', 'lon', '0.0::DOUBLE', 't')}, {_ECEF('(lat + 3)', '(lon + 3)', '786000.0::DOUBLE', 's')} FROM targets WHERE abs(lat) < 80)"
+_TOWARDS = "(lat + CASE WHEN lat > 0 THEN -3 ELSE 3 END)"
+_PAIR = f"p AS (SELECT *, {_ECEF('lat', 'lon', '0.0::DOUBLE', 't')}, {_ECEF(_TOWARDS, '(lon + 3)', '786000.0::DOUBLE', 's')} FROM targets)"
 AZIMUTH_SQL = f"""WITH {TARGETS_SQL}, {_PAIR}, d AS (SELECT *, sx - tx AS dx, sy - ty AS dy, sz - tz AS dz FROM p),
 l AS (SELECT whale_id, -sin(radians(lon)) * dx + cos(radians(lon)) * dy AS e, -sin(radians(lat)) * cos(radians(lon)) * dx - sin(radians(lat)) * sin(radians(lon)) * dy + cos(radians(lat)) * dz AS n,
  cos(radians(lat)) * cos(radians(lon)) * dx + cos(radians(lat)) * sin(radians(lon)) * dy + sin(radians(lat)) * dz AS u FROM d),
@@ -151,7 +156,7 @@ def geodetic_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("whale_id", r6(F.col("g.lat"), "lat"), r6(geo.wrap_lon(F.col("g.lon")), "lon"), F.round("g.alt", 1).alias("alt"))
 
 
-ROUND_SQL = f"WITH {TARGETS_SQL} SELECT whale_id, round(lat + 3, 6) AS lat, round(CASE WHEN lon + 3 >= 180 THEN lon - 357 ELSE lon + 3 END, 6) AS lon, round(786000.0::DOUBLE, 1) AS alt FROM targets WHERE abs(lat) < 80"
+ROUND_SQL = f"WITH {TARGETS_SQL} SELECT whale_id, round({_TOWARDS}, 6) AS lat, round(CASE WHEN lon + 3 >= 180 THEN lon - 357 ELSE lon + 3 END, 6) AS lon, round(786000.0::DOUBLE, 1) AS alt FROM targets"
 
 
 def pitch_roll_tilt(spark: SparkSession, sf_dir: str) -> DataFrame:

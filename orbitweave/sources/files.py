@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,15 +20,27 @@ categories ARRAY<STRUCT<id: INT, name: STRING, supercategory: STRING>>
 IMAGE_SUFFIXES = (".png", ".jpg", ".jpeg", ".tif", ".tiff")
 
 
-def read_metadata(spark: SparkSession, path: str, schema: T.StructType = METADATA) -> DataFrame:
-    """Metadata rows as text; columns are found by the header, others are ignored."""
+#: Column that says where a row stands: file, place of the split in it, row within the split.
+ROW_ORDER = "__row_order"
+
+
+def read_metadata(spark: SparkSession, path: str, schema: T.StructType = METADATA, row_order: bool = False) -> DataFrame:
+    """Metadata rows as text; columns are found by the header, others are ignored.
+
+    With ``row_order`` a column ``ROW_ORDER`` follows, by which the first and the last row of several files are known."""
     header = spark.read.option("header", True).csv(path)
-    return header.select(*(F.col(f"`{f.name}`") if f.name in header.columns else F.lit(None).cast("string").alias(f.name) for f in schema))
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row")).alias(ROW_ORDER)
+    return header.select(*(F.col(f"`{f.name}`") if f.name in header.columns else F.lit(None).cast("string").alias(f.name) for f in schema), *([place] if row_order else []))
+
+
+def _row_order(rows: DataFrame) -> Column:
+    """Where a row stands; of a table without ``ROW_ORDER`` only the order within one file is sure."""
+    return F.col(ROW_ORDER) if ROW_ORDER in rows.columns else F.monotonically_increasing_id()
 
 
 def chip_lookup(metadata: DataFrame) -> DataFrame:
     """``file_name, count, certainty`` by chip; of repeated chips the last in the file counts."""
-    row = F.monotonically_increasing_id()
+    row = _row_order(metadata)
     return metadata.select((F.concat("BoxID/ImageChip", F.lit(".PNG"))).alias("file_name"), "NumWhale", "Certainty2", row.alias("row")).groupBy("file_name").agg(
         F.max_by("NumWhale", "row").alias("count"), F.max_by("Certainty2", "row").alias("certainty")
     )
@@ -92,7 +104,7 @@ def metadata_of(images: DataFrame, metadata: DataFrame, path: str = "path") -> D
     """Images with ``space_res`` (metres) and ``satellite`` of their chip, by file stem; the first row of a chip counts.
 
     An image without metadata is an error when its row is taken."""
-    keyed = metadata.select(F.trim("BoxID/ImageChip").alias("__chip"), "SpatialRes", "Satellite", F.monotonically_increasing_id().alias("__row"))
+    keyed = metadata.select(F.trim("BoxID/ImageChip").alias("__chip"), "SpatialRes", "Satellite", _row_order(metadata).alias("__row"))
     first = keyed.groupBy("__chip").agg(F.min_by("SpatialRes", "__row").alias("__res"), F.min_by("Satellite", "__row").alias("__sat"), F.lit(True).alias("__known"))
     joined = images.join(first, textual.stem(F.col(path)) == F.col("__chip"), "left")
     missing = F.raise_error(F.concat(F.lit("no metadata for "), F.col(path)))

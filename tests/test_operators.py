@@ -295,3 +295,25 @@ def test_metadata_and_polygons(spark):
     assert [(p.lat, p.lon) for p in rings[0]][:3] == [(0, 0), (0, 4), (3, 4)] and rings[1:] == [None, None]
     cells = spatial.burn_polygons(files.parse_polygons(rows, "wkt").where("ring IS NOT NULL"), "ring", 1.0)
     assert cells.count() == 12
+
+
+def test_start_targets_are_all_found_on_little_water(spark):
+    land = spark.range(180 * 360).where("id % 40 <> 0").selectExpr("CAST(id DIV 360 AS INT) AS row", "CAST(id % 360 AS INT) AS col")
+    few, many = (sorted(r[:3] for r in motion.start_targets(spark, 60, land, 1.0, 5, surplus=s).collect()) for s in (1, 50))
+    assert few == many and [r[0] for r in few] == list(range(60))
+
+
+def test_empty_names_and_blocks_of_candidates(spark):
+    rows = spark.createDataFrame([(k, None if k == 3 else f"n{k}") for k in range(6)], "id int, name string")
+    names = spark.createDataFrame([("",), ("n4",)], "name string")
+    assert {r.id for r in matching.name_contains(rows, names, "name", "name").collect()} == {0, 1, 2, 4, 5}
+    assert {r.id for r in matching.name_contains(rows, names, "name", "name", found=False).collect()} == {3}
+    vectors = spark.createDataFrame([(k, k % 2, [float(k % 7 + 1), float(k % 5), 1.0]) for k in range(60)], "id int, g int, v array<double>")
+    best = lambda n: sorted(matching.best_match(vectors.where("id % 10 = 0"), vectors, "id", "v", "g", n).collect())
+    assert best(7) == best(1000)
+
+
+def test_numbers_with_given_cuts(spark):
+    df = spark.range(100).selectExpr("id", "id % 10 AS k")
+    by = lambda **more: sorted((r.n, r.k, r.id) for r in ordinal.with_ordinal(df, F.col("k"), [F.col("id")], "n", **more).collect())
+    assert by() == by(cuts=[2.5, 6.5]) == by(total=100) and [r[0] for r in by()] == list(range(1, 101))
