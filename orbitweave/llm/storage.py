@@ -8,36 +8,18 @@ there it is an error.
 
 from __future__ import annotations
 
-import atexit
-import re
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_local: list[str] = []
-_made: list[str] = []
-
+from orbitweave.sources.scratch import fresh_path
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; a folder of this process where it is unset and the master is local."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    if not _local:
-        _local.append(tempfile.mkdtemp(prefix="orbitweave-"))
-        atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
-    return f"file://{_local[0]}"
+_made: list[str] = []
 
 
 def materialise(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and return the table that reads it back."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/orbitweave/{label}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, label)
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
     _made.append(path)
