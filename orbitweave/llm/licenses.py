@@ -159,18 +159,17 @@ class Template:
         self.count = Counter(self.words)
         #: Long words first: they are the likeliest to be missing.
         self.tests = sorted(self.count, key=lambda w: (-len(w), w))
-        #: Characters that the fewest words of a match take.
-        self.chars = sum(sorted(map(len, self.words))[: self.need])
         self.otherwise = frozenset().union(*(OTHERWISE[w] for w in OTHERWISE if w in self.count))
         #: The first places of the naming words.
         self.naming = {self.words.index(w) for w in NAMING.get(name, "").split() if w in self.count}
 
-    def possible(self, lower: str) -> bool:
-        if len(lower) < self.chars or not all(self.words[k] in lower for k in self.naming):
+    def possible(self, have: set[str], n: int) -> bool:
+        """Whether a text of ``n`` words that has these distinct ones may match."""
+        if n < self.need or not all(self.words[k] in have for k in self.naming):
             return False
         missing = 0
         for w in self.tests:
-            if w not in lower:
+            if w not in have:
                 missing += self.count[w]
                 if missing > len(self.words) - self.need:
                     return False
@@ -261,13 +260,12 @@ def scan_text(text: str | None, templates: dict[str, str] = TEMPLATES, coverage:
     lower = text.lower()
     if len(lower) != len(text):  # a letter whose lower case is longer: the places must stay those of the text
         lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    found, spans = [], None
-    for t in _templates(tuple(templates.items()), coverage):
-        if t.possible(lower):
-            if spans is None:
-                spans = [m.span() for m in _WORD.finditer(lower)]
-                words = [lower[a:b] for a, b in spans]
-            found += [(a, b, n, t) for a, b, n in t.find(words)]
+    words = _WORD.findall(lower)
+    have = set(words)
+    found = [(a, b, n, t) for t in _templates(tuple(templates.items()), coverage) if t.possible(have, len(words)) for a, b, n in t.find(words)]
+    if not found:
+        return []
+    spans = [m.span() for m in _WORD.finditer(lower)]
     return [(t.name, spans[a][0], spans[b - 1][1], n / len(t.words)) for a, b, n, t in _best(found)]
 
 
