@@ -3,7 +3,8 @@
 A paragraph (line) is hashed to two wide vectors: ``EQ_LANES`` pseudo-random lanes that decide equality,
 and ``LIKE_LANES`` signed counts of the hashes of its word trigrams that measure likeness. A document's
 fingerprint is the lane-wise sum over its paragraphs modulo 2**16. The sum ignores order, and a paragraph
-is inserted or deleted by adding or subtracting its vector. The squared distance of two count vectors
+is inserted or deleted by adding or subtracting its vector. The modulus is the sum's: a paragraph that occurs
+65,536 times in a text adds nothing. Two paragraphs are told apart by 64 bits of their hash. The squared distance of two count vectors
 estimates in how many trigrams the texts differ (each trigram adds +-1 to one lane).
 
 Cases: a null text counts as empty; blank paragraphs have the zero vector, so an empty text has the zero

@@ -3,7 +3,8 @@
 For every participant of a conversation the dialogue is rendered with that speaker as assistant, the
 others as named users and system messages as they are. Training masks cover what the assistant says, the
 end mark included. A dialogue is cut into parts of ``PART_TURNS`` consecutive turn numbers, so a row is
-bounded however long a conversation is; the parts of a perspective, in order, are the whole dialogue.
+bounded however long a conversation of distinct turn numbers is; messages that share a turn number, or have
+none, stay in one part, so that their order is told. The parts of a perspective, in order, are the whole dialogue.
 
 Cases: turns are ordered by number, then speaker and text (null first); repeated rows are rendered each;
 a null text is empty; a null speaker is a user named ``unknown`` and no perspective; messages of

@@ -23,6 +23,8 @@ from orbitweave.llm.storage import materialise
 EXACT_BITS = 10
 #: Rows that one window sorts at once on average; the number of salts follows the table.
 ROWS_PER_CHUNK = 20_000
+#: A group of more rows than this, and than one in HOT_GROUPS of all, is looked up by a broadcast: fewer than HOT_GROUPS are.
+HOT_GROUP, HOT_GROUPS = 1_000, 5_000
 
 
 def _size_class(size: Column) -> Column:
@@ -83,10 +85,10 @@ def assign_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", tex
     )
     total = rows.count()
     salts = max(1, total // ROWS_PER_CHUNK)
-    groups = rows.groupBy("key", "size").agg(F.count("*").alias("n")).select("key", (F.col("size") * F.col("n")).alias("bytes"))
+    groups = rows.groupBy("key", "size").agg(F.count("*").alias("rows")).select("key", "rows", (F.col("size") * F.col("rows")).alias("bytes"))
     salt = F.pmod(F.xxhash64("key"), F.lit(salts))
     groups = materialise(
-        groups.select("key", "bytes", _size_class(F.col("bytes")).alias("cls"), salt.alias("salt"))
+        groups.select("key", "rows", "bytes", _size_class(F.col("bytes")).alias("cls"), salt.alias("salt"))
         .withColumn("rank", F.row_number().over(Window.partitionBy("cls", "salt").orderBy(F.desc("bytes"), "key")) - 1),
         "shard-groups",
     )
@@ -103,11 +105,16 @@ def assign_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", tex
         .withColumn("place", F.col("rank") + F.col("start"))
         .join(quota, "cls")
         .where((F.col("place") >= F.col("lo")) & (F.col("place") < F.col("hi")))
-        .select("key", "shard")
+        .select("key", "rows", "shard")
     )
+    # The largest groups are looked up by a broadcast, so that no task gets all rows of one text.
+    placed = materialise(placed, "shard-placed")
+    hot = F.col("rows") > F.lit(max(HOT_GROUP, total // HOT_GROUPS))
+    often = F.broadcast(placed.where(hot).drop("rows"))
+    joined = rows.join(often, "key").unionByName(rows.join(often, "key", "left_anti").join(placed.where(~hot).drop("rows"), "key"))
     # Slots: a rank within a chunk of the shard plus the rows of the chunks before it.
     chunk = F.pmod(F.xxhash64("doc_id", "key"), F.lit(max(1, total // ROWS_PER_CHUNK)))
-    dealt = materialise(rows.join(placed, "key").withColumn("chunk", chunk), "shard-dealt")
+    dealt = materialise(joined.withColumn("chunk", chunk), "shard-dealt")
     sizes = dealt.groupBy("shard", "chunk").agg(F.count("*").alias("n"))
     before = sizes.select("shard", "chunk", (F.sum("n").over(Window.partitionBy("shard").orderBy("chunk")) - F.col("n")).alias("before"))
     rank = F.row_number().over(Window.partitionBy("shard", "chunk").orderBy("doc_id", "key")) - 1

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orbitweave.llm import decontam, fingerprint, langid, licenses, perspectives, sharding
+from orbitweave.llm import decontam, fingerprint, interpolation, langid, licenses, perspectives, sharding
 
 
 # Licenses.
@@ -412,3 +412,67 @@ def test_pipeline_stages(spark, sf_dir):
     leaks = {r.doc_id for r in decontam.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).collect()}
     assert not leaks & ids[4]
     assert json.dumps(sorted(ids[4]))
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_exact string, pred string, key string"
+
+
+def test_pipeline_stages_on_empty_tables(spark, sf_dir):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([], SCHEMA)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns and out.collect() == []
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect() == []
+
+
+def test_pipeline_stages_on_odd_rows(spark, sf_dir):
+    import corpus_pipeline
+
+    stages = [stage for _, stage in corpus_pipeline.STAGES]
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet").first().text
+    prose = [" ".join(f"word{k}{chr(97 + j % 26)}" for j in range(40)) for k in range(4)]
+    long = " ".join(f"stretch{k}" for k in range(60_000))
+    rows = [(1, prose[0]), (1, prose[0]), (2, prose[0]), (None, f"{prose[1]} {bench}"), (3, f"{prose[2]} {bench}"), (4, None), (5, ""), (6, long), (7, prose[3])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "own", "own", "own") for i, t in rows], SCHEMA)
+    ids = lambda df: sorted((r.doc_id or 0 for r in df.collect()))
+    deduped = stages[1](spark, docs, sf_dir)
+    assert {(r.n_exact, r.pred, r.key) for r in deduped.collect()} == {("own",) * 3}
+    # A row without an id comes before all others; the second of two equal texts of two ids loses its only line and goes.
+    assert ids(deduped) == [0, 1, 1, 3, 4, 5, 6, 7]
+    assert ids(stages[2](spark, docs, sf_dir)) == [0, 1, 1, 3, 4, 5, 6, 7]
+    assert ids(stages[3](spark, docs, sf_dir)) == [1, 1, 2, 4, 5, 6, 7]
+    coded = {(r.doc_id, r.n_pieces is None, r.exact) for r in stages[4](spark, docs, sf_dir).collect()}
+    assert coded == {(i, t is None, True) for i, t in rows}
+    judged = stages[0](spark, docs, sf_dir)
+    assert set(ids(judged)) <= {0, 1, 2, 3, 6, 7} and 4 not in ids(judged) and judged.columns == docs.columns
+
+
+def test_very_long_texts(spark):
+    long = "\n".join(" ".join(f"w{(k * j) % 9973}" for j in range(40)) for k in range(4_000))  # about 1 MB
+    docs = spark.createDataFrame([(1, long, "en"), (2, "short", "en"), (3, long + " end", "en")], "doc_id long, text string, lang string")
+    item = " ".join(long.split()[90_000:90_030])
+    assert {(r.doc_id, r.kind) for r in decontam.find_leaks(docs, spark.createDataFrame([(9, item)], "item_id long, text string")).collect()} == {(1, "copy"), (3, "copy")}
+    assert {r.doc_id: r.n_tokens for r in interpolation.score_documents(docs).collect()} == {1: 160_001, 2: 2, 3: 160_002}
+    assert {r.doc_id: r["size"] for r in sharding.assign_shards(docs).collect()} == {1: len(long) + 8, 2: 13, 3: len(long) + 12}
+    prints = {r.doc_id: r for r in fingerprint.fingerprint_documents(docs).collect()}
+    assert prints[1].n_chars == len(long) and prints[1].fingerprint == fingerprint.encode(fingerprint.fingerprint(long))
+    assert {r.lang_pred for r in langid.predict(docs, langid.train(docs)).collect()} == {"en"}
+
+
+def test_messages_of_one_turn_number_are_one_part(spark):
+    rows = [(1, 0, "ann", f"t{k:04d}") for k in range(600)] + [(1, None, "bob", "x")]
+    out = perspectives.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert sorted((r.perspective, r.part, r.n_turns, r.n_trained) for r in out) == [("ann", 0, 601, 600), ("bob", 0, 601, 1)]
+
+
+def test_words_of_a_long_text_hash_as_in_a_short_one():
+    import pyarrow as pa
+
+    from orbitweave.llm import textblocks
+
+    text = " ".join(f"Word{k % 7000}" for k in range(90_000))
+    whole, parts = textblocks.words(pa.array([text, "x"])), text.split(" ")
+    some = textblocks.words(pa.array([" ".join(parts[60_000:60_100])]))
+    assert len(whole.hashes) == 90_001 and np.array_equal(whole.hashes[60_000:60_100], some.hashes)
