@@ -16,14 +16,22 @@ from orbitweave.llm.storage import materialise, without_ids
 MIN_CONFIDENCE = 0.5
 
 
+def _unused(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` doesn't have."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter, without text, or of no clear language; equal texts fare alike.
 
     A document without a language or an id is judged, but never learned from; without any labelled document
     no language is known and all are rejected; an empty table stays empty."""
     model = langid.train(docs.where(~langid.held_out()))
-    judged = langid.predict(docs, model, pred_col="__pred", score_col="__score")
-    return judged.where((F.col("__pred") != langid.UNKNOWN) & (F.col("__score") >= MIN_CONFIDENCE)).select(*docs.columns)
+    pred, score = (_unused(docs, name) for name in ("pred", "score"))
+    judged = langid.predict(docs, model, pred_col=pred, score_col=score)
+    return judged.where((F.col(pred) != langid.UNKNOWN) & (F.col(score) >= MIN_CONFIDENCE)).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,9 +39,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document without text, or of blank lines only, stays as it is; of rows equal in id and text all keep the
     same lines; a row without an id comes before all others; an empty table stays empty."""
-    deduped = linededup.dedup_lines(docs, exact_chars=1)
+    own = {c: _unused(docs, c) for c in ("n_lines", "n_exact", "n_near") if c in docs.columns}
+    deduped = linededup.dedup_lines(docs.withColumnsRenamed(own), exact_chars=1)
     lost = (F.col("n_exact") + F.col("n_near") > 0) & (F.trim("text") == "")
-    return deduped.where(~F.coalesce(lost, F.lit(False))).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    return deduped.where(~F.coalesce(lost, F.lit(False))).withColumn("n_chars", F.char_length("text").cast("long")).select(*(F.col(own.get(c, c)).alias(c) for c in docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
