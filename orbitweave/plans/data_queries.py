@@ -347,6 +347,14 @@ def image_ssim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imaging.ssim(pairs, "grey", "mirror", 8).select("vec_id", r6(F.col("ssim"), "ssim"))
 
 
+_C1, _C2 = "6.5025::DOUBLE", "58.5225::DOUBLE"
+SSIM_SQL = f"""WITH {_PIX}, m AS (SELECT a.vec_id, a.y, a.x, CAST(a.v AS DOUBLE) AS p, CAST(b.v AS DOUBLE) AS q FROM px a JOIN px b ON a.vec_id = b.vec_id AND a.y = b.y AND b.x = 7 - a.x),
+s AS (SELECT vec_id, oy, ox, sum(p) / 49 AS mp, sum(q) / 49 AS mq, sum(p * p) / 49 AS pp, sum(q * q) / 49 AS qq, sum(p * q) / 49 AS pq
+ FROM m, (SELECT unnest([0, 1]) AS oy), (SELECT unnest([0, 1]) AS ox) WHERE y BETWEEN oy AND oy + 6 AND x BETWEEN ox AND ox + 6 GROUP BY vec_id, oy, ox),
+v AS (SELECT *, 49.0::DOUBLE / 48 * (pp - mp * mp) AS vp, 49.0::DOUBLE / 48 * (qq - mq * mq) AS vq, 49.0::DOUBLE / 48 * (pq - mp * mq) AS cov FROM s)
+SELECT vec_id, round(avg((2 * mp * mq + {_C1}) * (2 * cov + {_C2}) / ((mp * mp + mq * mq + {_C1}) * (vp + vq + {_C2}))), 6) AS ssim FROM v GROUP BY vec_id"""
+
+
 # Spectra.
 def _response(spark: SparkSession) -> DataFrame:
     """Triangular responses around three wavelengths, every 5 nm."""
@@ -506,7 +514,7 @@ QUERIES = {
     "pixel_rmse": (pixel_rmse, RMSE_SQL),
     "dn_roundtrip": (dn_roundtrip, DN_SQL),
     "combined_dn": (combined_dn, COMBINED_SQL),
-    "image_ssim": (image_ssim, None),
+    "image_ssim": (image_ssim, SSIM_SQL),
     "spectrum_parse": (spectrum_parse, PARSE_SQL),
     "spectrum_range": (spectrum_range, RANGE_SQL),
     "spectral_overlap": (spectral_overlap, OVERLAP_SQL),
