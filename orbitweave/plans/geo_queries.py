@@ -214,6 +214,23 @@ def satellite_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("step", "actor", "role", F.round(V.norm(F.col("s.r")), 3).alias("radius_m"), F.round(V.norm(F.col("s.v")), 6).alias("speed_m_s"), r6(F.col("ground.lat"), "lat"), r6(F.col("ground.lon"), "lon"))
 
 
+_A, _E = "7157000.0::DOUBLE", "0.0003907::DOUBLE"
+_NEWTON = ", ".join(f"x{k + 1} AS (SELECT *, u{k} - (u{k} - {_E} * sin(u{k}) - mean) / (1 - {_E} * cos(u{k})) AS u{k + 1} FROM x{k})" for k in range(orbit.NEWTON_STEPS))
+#: The ray to the Earth's centre meets the ellipsoid where the geocentric latitude is that of the satellite.
+STATES_SQL = f"""WITH o AS (SELECT sqrt({orbit.MU}::DOUBLE / ({_A} * {_A} * {_A})) AS n, radians(97.8748::DOUBLE) AS inc),
+r AS (SELECT *, 1.5::DOUBLE * {orbit.J2}::DOUBLE * pow({orbit.R_EQUATOR}::DOUBLE / ({_A} * (1 - {_E} * {_E})), 2) * n AS rate FROM o),
+k AS (SELECT CAST(i.range AS INTEGER) AS step, i.range * 50.0::DOUBLE AS t, s.range AS sat, r.* FROM range(73) i, range(2) s, r),
+d AS (SELECT *, radians(297.6688::DOUBLE) - rate * cos(inc) * t AS node, radians(231.9817::DOUBLE) + rate * (2 - 2.5::DOUBLE * pow(sin(inc), 2)) * t AS perigee,
+ radians(218.1045::DOUBLE + sat * 180 - CASE WHEN sat = 1 THEN 360 ELSE 0 END) + (n + rate * sqrt(1 - {_E} * {_E}) * (1 - 1.5::DOUBLE * pow(sin(inc), 2))) * t AS total FROM k),
+x0 AS (SELECT *, total - 2 * pi() * floor(total / (2 * pi())) AS mean, total - 2 * pi() * floor(total / (2 * pi())) AS u0 FROM d), {_NEWTON},
+p AS (SELECT *, {_A} * (cos(u8) - {_E}) AS px, {_A} * sqrt(1 - {_E} * {_E}) * sin(u8) AS py, -{_A} * sin(u8) * n / (1 - {_E} * cos(u8)) AS vx, {_A} * sqrt(1 - {_E} * {_E}) * cos(u8) * n / (1 - {_E} * cos(u8)) AS vy FROM x8),
+q AS (SELECT *, px * cos(perigee) - py * sin(perigee) AS f, px * sin(perigee) + py * cos(perigee) AS g FROM p),
+c AS (SELECT *, cos(node) * f - sin(node) * cos(inc) * g AS x, sin(node) * f + cos(node) * cos(inc) * g AS y, sin(inc) * g AS z, (epoch_us(TIMESTAMP '{WHEN}') - epoch_us(TIMESTAMP '2000-01-01 12:00:00') + t * 1000000) / 86400000000.0::DOUBLE AS days FROM q),
+w AS (SELECT *, degrees(atan2(y, x)) - 360 * (0.7790572732640::DOUBLE + 1.00273781191135448::DOUBLE * days) AS east FROM c)
+SELECT step, 'Tip_plane0_sat' || sat AS actor, 'tip' AS role, round(sqrt(px * px + py * py), 3) AS radius_m, round(sqrt(vx * vx + vy * vy), 6) AS speed_m_s,
+ round(degrees(atan(z / sqrt(x * x + y * y) / (1 - 0.00669437999014::DOUBLE))), 6) AS lat, round((east + 180) - 360 * floor((east + 180) / 360) - 180, 6) AS lon FROM w"""
+
+
 def target_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every customer's walk of ten steps of 50 s off the land cells."""
     t = spatial.on_water(targets(spark, sf_dir).withColumn("alt", F.lit(0.0)).where("abs(lat) <= 70"), land(spark), "lat", "lon", LAND_RES)
@@ -269,7 +286,7 @@ QUERIES = {
     "glint_geometry": (glint_geometry, GLINT_SQL),
     "dark_filter": (dark_filter, DARK_SQL),
     "land_polygon_cells": (land_polygon_cells, LAND_POLYGON_SQL),
-    "satellite_states": (satellite_states, None),
+    "satellite_states": (satellite_states, STATES_SQL),
     "target_walk": (target_walk, None),
     "detect_then_task": (detect_then_task, None),
 }
