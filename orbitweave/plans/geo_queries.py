@@ -216,25 +216,57 @@ def satellite_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _A, _E = "7157000.0::DOUBLE", "0.0003907::DOUBLE"
 _NEWTON = ", ".join(f"x{k + 1} AS (SELECT *, u{k} - (u{k} - {_E} * sin(u{k}) - mean) / (1 - {_E} * cos(u{k})) AS u{k + 1} FROM x{k})" for k in range(orbit.NEWTON_STEPS))
-#: The ray to the Earth's centre meets the ellipsoid where the geocentric latitude is that of the satellite.
-STATES_SQL = f"""WITH o AS (SELECT sqrt({orbit.MU}::DOUBLE / ({_A} * {_A} * {_A})) AS n, radians(97.8748::DOUBLE) AS inc),
+#: 73 steps of 50 s of the satellites ``actor, role, m`` of a table ``crew``, inertial.
+_ORBITS = f"""o AS (SELECT sqrt({orbit.MU}::DOUBLE / ({_A} * {_A} * {_A})) AS n, radians(97.8748::DOUBLE) AS inc),
 r AS (SELECT *, 1.5::DOUBLE * {orbit.J2}::DOUBLE * pow({orbit.R_EQUATOR}::DOUBLE / ({_A} * (1 - {_E} * {_E})), 2) * n AS rate FROM o),
-k AS (SELECT CAST(i.range AS INTEGER) AS step, i.range * 50.0::DOUBLE AS t, s.range AS sat, r.* FROM range(73) i, range(2) s, r),
+k AS (SELECT CAST(i.range AS INTEGER) AS step, i.range * 50.0::DOUBLE AS t, crew.*, r.* FROM range(73) i, crew, r),
 d AS (SELECT *, radians(297.6688::DOUBLE) - rate * cos(inc) * t AS node, radians(231.9817::DOUBLE) + rate * (2 - 2.5::DOUBLE * pow(sin(inc), 2)) * t AS perigee,
- radians(218.1045::DOUBLE + sat * 180 - CASE WHEN sat = 1 THEN 360 ELSE 0 END) + (n + rate * sqrt(1 - {_E} * {_E}) * (1 - 1.5::DOUBLE * pow(sin(inc), 2))) * t AS total FROM k),
+ radians(m - 360 * floor(m / 360)) + (n + rate * sqrt(1 - {_E} * {_E}) * (1 - 1.5::DOUBLE * pow(sin(inc), 2))) * t AS total FROM k),
 x0 AS (SELECT *, total - 2 * pi() * floor(total / (2 * pi())) AS mean, total - 2 * pi() * floor(total / (2 * pi())) AS u0 FROM d), {_NEWTON},
 p AS (SELECT *, {_A} * (cos(u8) - {_E}) AS px, {_A} * sqrt(1 - {_E} * {_E}) * sin(u8) AS py, -{_A} * sin(u8) * n / (1 - {_E} * cos(u8)) AS vx, {_A} * sqrt(1 - {_E} * {_E}) * cos(u8) * n / (1 - {_E} * cos(u8)) AS vy FROM x8),
 q AS (SELECT *, px * cos(perigee) - py * sin(perigee) AS f, px * sin(perigee) + py * cos(perigee) AS g FROM p),
-c AS (SELECT *, cos(node) * f - sin(node) * cos(inc) * g AS x, sin(node) * f + cos(node) * cos(inc) * g AS y, sin(inc) * g AS z, (epoch_us(TIMESTAMP '{WHEN}') - epoch_us(TIMESTAMP '2000-01-01 12:00:00') + t * 1000000) / 86400000000.0::DOUBLE AS days FROM q),
+c AS (SELECT *, cos(node) * f - sin(node) * cos(inc) * g AS x, sin(node) * f + cos(node) * cos(inc) * g AS y, sin(inc) * g AS z, (epoch_us(TIMESTAMP '{WHEN}') - epoch_us(TIMESTAMP '2000-01-01 12:00:00') + t * 1000000) / 86400000000.0::DOUBLE AS days FROM q)"""
+_TIPS = ["('Tip_plane0_sat0', 'tip', 218.1045::DOUBLE)", "('Tip_plane0_sat1', 'tip', 398.1045::DOUBLE)"]
+#: The ray to the Earth's centre meets the ellipsoid where the geocentric latitude is that of the satellite.
+STATES_SQL = f"""WITH crew(actor, role, m) AS (VALUES {', '.join(_TIPS)}), {_ORBITS},
 w AS (SELECT *, degrees(atan2(y, x)) - 360 * (0.7790572732640::DOUBLE + 1.00273781191135448::DOUBLE * days) AS east FROM c)
-SELECT step, 'Tip_plane0_sat' || sat AS actor, 'tip' AS role, round(sqrt(px * px + py * py), 3) AS radius_m, round(sqrt(vx * vx + vy * vy), 6) AS speed_m_s,
+SELECT step, actor, role, round(sqrt(px * px + py * py), 3) AS radius_m, round(sqrt(vx * vx + vy * vy), 6) AS speed_m_s,
  round(degrees(atan(z / sqrt(x * x + y * y) / (1 - 0.00669437999014::DOUBLE))), 6) AS lat, round((east + 180) - 360 * floor((east + 180) / 360) - 180, 6) AS lon FROM w"""
 
 
+def _walkers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customers that start on water within 70 degrees."""
+    return spatial.on_water(targets(spark, sf_dir).withColumn("alt", F.lit(0.0)).where("abs(lat) <= 70"), land(spark), "lat", "lon", LAND_RES)
+
+
 def target_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every customer's walk of ten steps of 50 s off the land cells."""
-    t = spatial.on_water(targets(spark, sf_dir).withColumn("alt", F.lit(0.0)).where("abs(lat) <= 70"), land(spark), "lat", "lon", LAND_RES)
-    return motion.walk_targets(t, land(spark), LAND_RES, 10, 50.0, 42)
+    walked = motion.walk_targets(_walkers(spark, sf_dir), land(spark), LAND_RES, 10, 50.0, 42)
+    return walked.select("whale_id", "step", "alt", *(r6(F.col(c), c) for c in ("lat", "lon", "speed", "heading")))
+
+
+def _walk_sql(steps: int) -> str:
+    """CTEs up to ``walk``: a row is a step's move or one more try of it; those that aren't ``stuck`` are where a step ends."""
+    times = lambda x, k: f"CAST((CAST({x} AS UHUGEINT) * {k}) % 18446744073709551616 AS UBIGINT)"
+    mixed = "(SELECT *, " + ", ".join(f"CAST((CAST(whale_id AS UHUGEINT) * 11400714819323198485 + CAST({42 * 1_000_003 + j} + nr * 1009 + what AS UHUGEINT)) % 18446744073709551616 AS UBIGINT) AS x{j}" for j in range(4)) + " FROM m)"
+    for shift, k in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+        mixed = "(SELECT * REPLACE (" + ", ".join(f"{times(f'xor(x{j}, x{j} >> {shift})', k)} AS x{j}" for j in range(4)) + f") FROM {mixed})"
+    drawn = "(SELECT * EXCLUDE (x0, x1, x2, x3), " + ", ".join(f"CAST(x{j} >> 11 AS DOUBLE) / 9007199254740992.0::DOUBLE AS u{j}" for j in range(4)) + f" FROM {mixed})"
+    normal = lambda a, b: f"sqrt(-2 * ln(1 - {a})) * cos(2 * pi() * {b})"
+    wrapped = lambda h: f"({h}) - 360 * floor(({h}) / 360)"
+    moved = f"(SELECT *, CASE WHEN stuck THEN speed ELSE greatest(0.2::DOUBLE, least(6.0::DOUBLE, speed + (1.0::DOUBLE / 900.0::DOUBLE) * (1.5::DOUBLE - speed) * 50 + {normal('u0', 'u1')} * 0.3::DOUBLE * sqrt(50.0::DOUBLE))) END AS v, CASE WHEN stuck THEN {wrapped('heading + (30 + 120 * u0) * (CASE WHEN u1 < 0.5 THEN 1 ELSE -1 END)')} ELSE {wrapped(f'heading + {normal("u2", "u3")} * 2 * sqrt(50.0::DOUBLE)')} END AS h, CASE WHEN stuck THEN from_lat ELSE lat END AS a, CASE WHEN stuck THEN from_lon ELSE lon END AS o FROM {drawn})"
+    paced = f"(SELECT *, CASE WHEN stuck THEN distance * 0.7::DOUBLE ELSE v * 50 END AS d FROM {moved})"
+    ahead, after = _step_sql("a", "o", "h", "d"), _step_sql("a", "o", "way", "d")
+    turned = f"(SELECT *, CASE WHEN NOT stuck AND abs({ahead[0]}) > 70 THEN {wrapped('h + 180')} ELSE h END AS way FROM {paced})"
+    placed = f"(SELECT whale_id, nr AS step, CASE WHEN stuck THEN k + 1 ELSE 0 END AS k, a AS from_lat, o AS from_lon, CASE WHEN stuck AND k = 11 THEN a ELSE {after[0]} END AS lat, CASE WHEN stuck AND k = 11 THEN o ELSE {after[1]} END AS lon, v AS speed, way AS heading, d AS distance FROM {turned})"
+    return f"""{TARGETS_SQL}, {LAND_SQL}, s AS (SELECT *, {_CELL} FROM targets WHERE abs(lat) <= 70),
+walk AS (SELECT CAST(whale_id AS BIGINT) AS whale_id, -1 AS step, 0 AS k, lat AS from_lat, lon AS from_lon, lat, lon, speed, heading, 0.0::DOUBLE AS distance, false AS stuck FROM s WHERE NOT EXISTS (SELECT 1 FROM land WHERE land.r = s.r AND land.c = s.c)
+UNION ALL SELECT q.*, (land.r IS NOT NULL OR abs(q.lat) > 89.9) AND q.k < 12 AS stuck FROM (WITH m AS (SELECT *, CASE WHEN stuck THEN step ELSE step + 1 END AS nr, CASE WHEN stuck THEN 10 + 2 * k ELSE 0 END AS what FROM walk WHERE stuck OR step < {steps - 1})
+SELECT * FROM {placed}) q LEFT JOIN land ON land.r = least(179, greatest(0, CAST(floor(90 - q.lat) AS INTEGER))) AND land.c = least(359, greatest(0, CAST(floor(q.lon + 180) AS INTEGER))))"""
+
+
+WALK_SQL = f"""WITH RECURSIVE {_walk_sql(10)}
+SELECT whale_id, step, 0.0::DOUBLE AS alt, round(lat, 6) AS lat, round(lon, 6) AS lon, round(speed, 6) AS speed, round(heading, 6) AS heading FROM walk WHERE NOT stuck AND step >= 0"""
 
 
 def detect_then_task(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -251,8 +283,7 @@ def detect_then_task(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = steps.crossJoin(F.broadcast(sats)).withColumn("s", orbit.state(*(F.col(c) for c in ("a", "e", "i", "raan", "argp", "m")), F.col("seconds").cast("double")))
     s = s.withColumn("fixed", orbit.earth_fixed(F.col("s.r"), start + F.col("seconds") / 86_400.0)).withColumn("g", geo.geodetic(F.col("fixed")))
     s = s.select("step", "seconds", "actor", "role", "fixed", F.col("g.lat").alias("sat_lat"), F.col("g.lon").alias("sat_lon"))
-    t = spatial.on_water(targets(spark, sf_dir).withColumn("alt", F.lit(0.0)).where("abs(lat) <= 70"), land(spark), "lat", "lon", LAND_RES)
-    moved = motion.walk_targets(t, land(spark), LAND_RES, 73, 50.0, 42).select("whale_id", "step", "lat", "lon")
+    moved = motion.walk_targets(_walkers(spark, sf_dir), land(spark), LAND_RES, 73, 50.0, 42).select("whale_id", "step", "lat", "lon")
     tips = spatial.within_distance(moved, s.where("role = 'tip'"), ("lat", "lon"), ("sat_lat", "sat_lon"), 145_000.0, 4.0, ["step"])
     cues = spatial.within_distance(moved, s.where("role = 'cue'"), ("lat", "lon"), ("sat_lat", "sat_lon"), 2_200_000.0, 8.0, ["step"])
     cues = cues.where(geo.in_sight(geo.ecef(F.col("lat"), F.col("lon"), F.lit(0.0)), F.col("fixed")))
@@ -261,6 +292,24 @@ def detect_then_task(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.select("whale_id", "actor", (F.col("detected_us") / 1_000_000).cast("long").alias("detected_s"), (F.col("t") / 1_000_000).cast("long").alias("seen_s"))
 
 
+_CUES = [f"('Cue_plane0_sat{k}', 'cue', {218.1045 + 180 * k - orbit.anomaly_lag_deg(300.0, 786_000.0 + R_M)!r}::DOUBLE)" for k in range(2)]
+_THETA = "(2 * pi() * (0.7790572732640::DOUBLE + 1.00273781191135448::DOUBLE * days))"
+_BOWRING = lambda beta: f"atan2(ez + {(geo.WGS84_A**2 - geo.WGS84_B**2) / geo.WGS84_B!r}::DOUBLE * pow(sin({beta}), 3), ep - {geo.WGS84_E2 * geo.WGS84_A!r}::DOUBLE * pow(cos({beta}), 3))"
+_UP = f"(tx / {geo.WGS84_A**2!r}::DOUBLE), (ty / {geo.WGS84_A**2!r}::DOUBLE), (tz / {geo.WGS84_B**2!r}::DOUBLE)".split(", ")
+_SIGHT = " + ".join(f"(e{c} - t{c}) * {u}" for c, u in zip("xyz", _UP, strict=True))
+CHAIN_SQL = f"""WITH RECURSIVE {_walk_sql(73)}, crew(actor, role, m) AS (VALUES {', '.join(_TIPS + _CUES)}), {_ORBITS},
+e0 AS (SELECT step, actor, role, x * cos({_THETA}) + y * sin({_THETA}) AS ex, y * cos({_THETA}) - x * sin({_THETA}) AS ey, z AS ez, sqrt(x * x + y * y) AS ep FROM c),
+e1 AS (SELECT *, {_BOWRING(f'atan2(ez * {geo.WGS84_A!r}::DOUBLE, ep * {geo.WGS84_B!r}::DOUBLE)')} AS phi FROM e0),
+e2 AS (SELECT *, degrees({_BOWRING(f'atan2({geo.WGS84_B!r}::DOUBLE * sin(phi), {geo.WGS84_A!r}::DOUBLE * cos(phi))')}) AS sat_lat, degrees(atan2(ey, ex)) AS sat_lon FROM e1),
+pairs AS (SELECT w.whale_id, e2.*, w.step * 50 AS sec, {_DIST} AS dist, {_ECEF('lat', 'lon', '0.0::DOUBLE', 't')} FROM walk w JOIN e2 ON w.step = e2.step WHERE NOT w.stuck AND w.step >= 0),
+seen AS (SELECT whale_id, actor, sec, 1 AS kind FROM pairs WHERE role = 'cue' AND dist <= 2200000
+ AND degrees(asin(({_SIGHT}) / sqrt((pow(ex - tx, 2) + pow(ey - ty, 2) + pow(ez - tz, 2)) * (pow({_UP[0]}, 2) + pow({_UP[1]}, 2) + pow({_UP[2]}, 2))))) >= 10),
+both_ AS (SELECT * FROM seen UNION ALL SELECT DISTINCT whale_id, CAST(NULL AS VARCHAR), sec, 0 FROM pairs WHERE role = 'tip' AND dist <= 145000),
+asof_ AS (SELECT *, max(CASE WHEN kind = 0 THEN sec END) OVER (PARTITION BY whale_id ORDER BY sec, kind ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS det FROM both_),
+open_ AS (SELECT *, min(sec) OVER (PARTITION BY whale_id, det) AS first FROM asof_ WHERE kind = 1 AND sec - det > 300 AND sec - det <= 1200)
+SELECT whale_id, actor, CAST(det AS BIGINT) AS detected_s, CAST(sec AS BIGINT) AS seen_s FROM open_ WHERE sec = first"""
+
+
 def land_polygon_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five-degree squares around suppliers burnt into the raster."""
     box = satellites(spark, sf_dir).where("abs(sat_lat) < 80 AND abs(sat_lon) < 170")
@@ -287,6 +336,6 @@ QUERIES = {
     "dark_filter": (dark_filter, DARK_SQL),
     "land_polygon_cells": (land_polygon_cells, LAND_POLYGON_SQL),
     "satellite_states": (satellite_states, STATES_SQL),
-    "target_walk": (target_walk, None),
-    "detect_then_task": (detect_then_task, None),
+    "target_walk": (target_walk, WALK_SQL),
+    "detect_then_task": (detect_then_task, CHAIN_SQL),
 }
