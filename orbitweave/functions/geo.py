@@ -173,19 +173,34 @@ def tilt_deg(pitch_deg: Column, roll_deg: Column) -> Column:
     return F.degrees(F.acos(V.clipped(F.cos(F.radians(pitch_deg)) * F.cos(F.radians(roll_deg)))))
 
 
-def point_in_polygon(lat: Column, lon: Column, polygon: Column) -> Column:
-    """Even-odd test in an array of ``STRUCT<lat, lon>``; longitudes are unwrapped around the point."""
-    east = lambda p: F.pmod(p["lon"] - lon + 180.0, F.lit(360.0)) - 180.0
+def point_in_polygon(lat: Column, lon: Column, polygon: Column, planar: bool = False) -> Column:
+    """Even-odd test in an array of ``STRUCT<lat, lon>`` whose edges are straight in latitude and longitude.
+
+    The edges north of the point on its meridian are counted. Each edge goes the short way round, so a ring may
+    cross the date line; one that runs round the globe holds the pole on its side. ``planar`` takes longitudes as they
+    are instead. A ring of less than three points, or with a null among them, holds nothing."""
     n = F.size(polygon)
+    east = (lambda p: p["lon"] - lon) if planar else (lambda p: wrap_lon(p["lon"] - lon))
 
-    def crosses(i: Column) -> Column:
+    def edge(i: Column) -> Column:
         a, b = F.get(polygon, i), F.get(polygon, F.pmod(i + 1, n))
-        straddles = (a["lat"] > lat) != (b["lat"] > lat)
-        at = east(a) + (lat - a["lat"]) * (east(b) - east(a)) / F.nullif(b["lat"] - a["lat"], F.lit(0.0))
-        return F.when(straddles & (at > 0.0), 1).otherwise(0)
-
-    edges = F.transform(F.sequence(F.lit(0), n - 1), crosses)
-    return (n >= 3) & (F.aggregate(edges, F.lit(0), lambda s, x: s + x) % 2 == 1)
+        turn = F.lit(0.0) if planar else 360.0 * F.round((east(a) - east(b)) / 360.0)
+        return F.struct(a["lat"].alias("lat"), (b["lat"] - a["lat"]).alias("rise"), east(a).alias("a"), (east(b) + turn).alias("b"))
+
+    def crosses(e: Column) -> Column:
+        at = e["lat"] - e["a"] * e["rise"] / F.nullif(e["b"] - e["a"], F.lit(0.0))
+        return F.when(((e["a"] > 0.0) != (e["b"] > 0.0)) & (at > lat), 1).otherwise(0)
+
+    def inside(edges: Column) -> Column:
+        north = F.aggregate(edges, F.lit(0), lambda s, e: s + crosses(e))
+        if planar:
+            return north % 2 == 1
+        round_pole = F.abs(F.aggregate(edges, F.lit(0.0), lambda s, e: s + e["b"] - e["a"])) > 180.0
+        northern = F.aggregate(edges, F.lit(0.0), lambda s, e: s + e["lat"]) > 0.0
+        return (north % 2 == 1) != (round_pole & northern)
+
+    whole = (n >= 3) & F.forall(polygon, lambda p: p["lat"].isNotNull() & p["lon"].isNotNull())
+    return F.coalesce(whole & V.let(F.transform(F.sequence(F.lit(0), n - 1), edge), inside), F.lit(False))
 
 
 def grid_cell(lat: Column, lon: Column, res_deg: float) -> Column:

@@ -93,7 +93,7 @@ def tip_footprint_join_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def footprint_polygon_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Targets in the diamond of four points 1 000 km north, east, south and west of each tip satellite."""
-    tips = satellites(spark, sf_dir).where("role = 'tip' AND abs(sat_lat) < 60")
+    tips = satellites(spark, sf_dir).where("role = 'tip'")
     corner = lambda deg: geo.geodesic_step(F.col("sat_lat"), F.col("sat_lon"), F.lit(deg), F.lit(1_000_000.0))
     tips = tips.withColumn("polygon", F.array(*(corner(d) for d in (0.0, 90.0, 180.0, 270.0))))
     hit = spatial.in_footprint(targets(spark, sf_dir), tips, ("lat", "lon"), "polygon", 1_000_001.0, ("sat_lat", "sat_lon"), 5.0)
@@ -101,10 +101,13 @@ def footprint_polygon_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CORNERS = [_step_sql("sat_lat", "sat_lon", f"{d}.0::DOUBLE", "1000000.0::DOUBLE") for d in (0, 90, 180, 270)]
-_EAST = lambda k: f"((lon{k} - lon + 180) - 360 * floor((lon{k} - lon + 180) / 360) - 180)"
-_EDGE = lambda a, b: f"(CASE WHEN (lat{a} > lat) <> (lat{b} > lat) AND {_EAST(a)} + (lat - lat{a}) * ({_EAST(b)} - {_EAST(a)}) / (lat{b} - lat{a}) > 0 THEN 1 ELSE 0 END)"
-POLYGON_SQL = f"""WITH {TARGETS_SQL}, {SATELLITES_SQL}, c AS (SELECT *, {', '.join(f'{a} AS lat{k}, {o} AS lon{k}' for k, (a, o) in enumerate(_CORNERS))} FROM sats WHERE role = 'tip' AND abs(sat_lat) < 60),
-p AS (SELECT *, {_DIST} AS d FROM c, targets) SELECT sat, whale_id FROM p WHERE d <= 1000001 AND ({' + '.join(_EDGE(k, (k + 1) % 4) for k in range(4))}) % 2 = 1"""
+_EAST = lambda k: f"((lon{k} - lon + 180) - 360 * floor((lon{k} - lon + 180) / 360) - 180) AS e{k}"
+_EDGE = lambda a, b: f"(CASE WHEN (e{a} > 0) <> (f{b} > 0) AND lat{a} - e{a} * (lat{b} - lat{a}) / (f{b} - e{a}) > lat THEN 1 ELSE 0 END)"
+_NEXT = [(k, (k + 1) % 4) for k in range(4)]
+POLYGON_SQL = f"""WITH {TARGETS_SQL}, {SATELLITES_SQL}, c AS (SELECT *, {', '.join(f'{a} AS lat{k}, {o} AS lon{k}' for k, (a, o) in enumerate(_CORNERS))} FROM sats WHERE role = 'tip'),
+p AS (SELECT *, {_DIST} AS d FROM c, targets), e AS (SELECT *, {', '.join(_EAST(k) for k in range(4))} FROM p WHERE d <= 1000001),
+f AS (SELECT *, {', '.join(f'e{b} + 360 * round((e{a} - e{b}) / 360) AS f{b}' for a, b in _NEXT)} FROM e)
+SELECT sat, whale_id FROM f WHERE (({' + '.join(_EDGE(a, b) for a, b in _NEXT)}) % 2 = 1) <> (abs({' + '.join(f'f{b} - e{a}' for a, b in _NEXT)}) > 180 AND lat0 + lat1 + lat2 + lat3 > 0)"""
 
 
 def elevation_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -312,13 +315,14 @@ SELECT whale_id, actor, CAST(det AS BIGINT) AS detected_s, CAST(sec AS BIGINT) A
 
 def land_polygon_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five-degree squares around suppliers burnt into the raster."""
-    box = satellites(spark, sf_dir).where("abs(sat_lat) < 80 AND abs(sat_lon) < 170")
+    box = satellites(spark, sf_dir)
     at = lambda a, o: F.struct((F.col("sat_lat") + a).alias("lat"), (F.col("sat_lon") + o).alias("lon"))
     return spatial.burn_polygons(box.withColumn("ring", F.array(at(2.5, -2.5), at(2.5, 2.5), at(-2.5, 2.5), at(-2.5, -2.5))), "ring", LAND_RES)
 
 
-LAND_POLYGON_SQL = f"""WITH {SATELLITES_SQL}, b AS (SELECT * FROM sats WHERE abs(sat_lat) < 80 AND abs(sat_lon) < 170), g AS (SELECT CAST(range // 360 AS INTEGER) AS "row", CAST(range % 360 AS INTEGER) AS col FROM range(64800))
-SELECT DISTINCT "row", col FROM g, b WHERE abs(90 - ("row" + 0.5) - sat_lat) < 2.5 AND abs(col + 0.5 - 180 - sat_lon) < 2.5"""
+LAND_POLYGON_SQL = f"""WITH {SATELLITES_SQL}, g AS (SELECT CAST(range // 360 AS INTEGER) AS "row", CAST(range % 360 AS INTEGER) AS col FROM range(64800)),
+o AS (SELECT "row", col, sat_lat, abs(col + 0.5 - 180 - sat_lon) AS apart FROM g, sats)
+SELECT DISTINCT "row", col FROM o WHERE abs(90 - ("row" + 0.5) - sat_lat) < 2.5 AND least(apart, 360 - apart) < 2.5"""
 
 QUERIES = {
     "target_positions": (target_positions, TARGET_SQL),

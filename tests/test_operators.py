@@ -317,3 +317,22 @@ def test_numbers_with_given_cuts(spark):
     df = spark.range(100).selectExpr("id", "id % 10 AS k")
     by = lambda **more: sorted((r.n, r.k, r.id) for r in ordinal.with_ordinal(df, F.col("k"), [F.col("id")], "n", **more).collect())
     assert by() == by(cuts=[2.5, 6.5]) == by(total=100) and [r[0] for r in by()] == list(range(1, 101))
+
+
+def test_polygons_across_the_date_line_and_round_a_pole(spark):
+    rings = {
+        "cap": [(80.0, 0.0), (80.0, 90.0), (80.0, 180.0), (80.0, -90.0)],
+        "south": [(-80.0, 0.0), (-80.0, -90.0), (-80.0, 180.0), (-80.0, 90.0)],
+        "line": [(-3.0, 175.0), (3.0, 175.0), (3.0, -175.0), (-3.0, -175.0)],
+        "broken": [(-3.0, 0.0), (3.0, 0.0), (None, 1.0)],
+        "two": [(-3.0, 0.0), (3.0, 0.0)],
+    }
+    points = [(85.0, 10.0), (89.9, -135.0), (75.0, 10.0), (-85.0, 10.0), (-75.0, 100.0), (0.0, 179.0), (0.0, -179.0), (0.0, 0.5), (2.0, 174.0)]
+    rows = [(name, ring, *p) for name, ring in rings.items() for p in points]
+    df = spark.createDataFrame(rows, "name string, ring array<struct<lat: double, lon: double>>, lat double, lon double")
+    got = {(r.name, r.lat, r.lon) for r in df.where(geo.point_in_polygon(F.col("lat"), F.col("lon"), F.col("ring"))).select("name", "lat", "lon").collect()}
+    assert got == {("cap", 85.0, 10.0), ("cap", 89.9, -135.0), ("south", -85.0, 10.0), ("line", 0.0, 179.0), ("line", 0.0, -179.0)}
+
+    ring = [(-1.0, 178.0), (1.0, 178.0), (1.0, 183.0), (-1.0, 183.0)]
+    cells = spatial.burn_polygons(spark.createDataFrame([(ring,)], "ring array<struct<lat: double, lon: double>>"), "ring", 1.0)
+    assert sorted((r.row, r.col) for r in cells.collect()) == [(r, c) for r in (89, 90) for c in (0, 1, 2, 358, 359)]
