@@ -134,6 +134,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     both = rows.select("bucket", F.lit(False).alias("guest"), "doc_id", F.coalesce("text", F.lit("")).alias("text")).unionByName(
         least.select(F.col("guest_bucket").alias("bucket"), F.lit(True).alias("guest"), "doc_id", "text")
     )
-    dealt = both.repartition(max(1, len(first)), "bucket").sortWithinPartitions("bucket", "guest", "doc_id", "text")
+    # Buckets are numbered, so each is its own task: a hash of the number would put several into one.
+    dealt = both.repartitionById(len(cuts) + 1, F.col("bucket").cast("int")).sortWithinPartitions("bucket", "guest", "doc_id", "text")
     ids = F.when(F.col("doc_id") == F.lit(-(2**63)), F.lit(None).cast("long")).otherwise(F.col("doc_id"))
     return map_batches(dealt.select("bucket", "guest", "doc_id", "text"), _pairs, FINGERPRINTS).withColumn("doc_id", ids)
