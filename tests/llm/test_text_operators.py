@@ -3,6 +3,7 @@
 import hashlib
 import json
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -467,6 +468,27 @@ def test_messages_of_one_turn_number_are_one_part(spark):
     assert sorted((r.perspective, r.part, r.n_turns, r.n_trained) for r in out) == [("ann", 0, 601, 600), ("bob", 0, 601, 1)]
 
 
+def test_long_parts_are_cut_into_pieces(spark, monkeypatch):
+    monkeypatch.setattr(perspectives, "PIECE_ROWS", 50)
+    rows = [(None, k % 3 if k % 5 else None, ("ann", "bob", None)[k % 3], f"t{k * 7 % 90}") for k in range(400)] + [(None, 700, "ann", "end")] * 120
+    rows += [(7, 1, "ann", "x")] * 50 + [(8, 1, "ann", "y")] * 51 + [(9, 0, "cy", "z")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    out = perspectives.rotate(df)
+    assert not re.findall("EvalPython|InArrow|InPandas|InPython", out._jdf.queryExecution().toString())
+    want = {}
+    for conv in (None, 7, 8, 9):
+        own = sorted((t is not None, t or 0, s is not None, s or "", x) for c, t, s, x in rows if c == conv)
+        for part in {t // 256 for _, t, *_ in own}:
+            said = [(s, x) for _, t, _, s, x in own if t // 256 == part]
+            for who in {s for *_, s, _ in own} - {""}:
+                for piece in range(0, len(said), 50):
+                    some = said[piece : piece + 50]
+                    text = "".join(f"<|im_start|>{'assistant' if s == who else 'user name=' + (s or 'unknown')}\n{x}<|im_end|>\n" for s, x in some)
+                    want[conv, who, part, piece // 50] = (text, len(some), sum(s == who for s, _ in some))
+    got = out.collect()
+    assert len(got) == len(want) and {(r.conv_id, r.perspective, r.part, r.piece): (r.rendered, r.n_turns, r.n_trained) for r in got} == want
+
+
 def test_words_of_a_long_text_hash_as_in_a_short_one():
     import pyarrow as pa
 
