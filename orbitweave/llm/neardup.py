@@ -42,6 +42,8 @@ _BAND = mix(np.arange(1, BANDS + 1, dtype=U64))
 _SAMPLE = mix(np.arange(1001, 1001 + BANDS * ROWS, dtype=U64))
 #: Rows of a similarity test that go to one task at most.
 BLOCK = 512
+#: Holders of a shingle outside their bucket's component that are compared with all its holders under one key.
+HOLDERS = 1024
 #: Ids up to this number (8 bytes each) may be broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 300_000
 #: XOR population count above which a pair is taken to be below the threshold without looking at its sets.
@@ -250,16 +252,19 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     people = materialise(placed.join(open_buckets, "bucket", "left_semi").groupBy(F.col("rep").alias("doc_id")).agg(F.min("own").alias("own"), F.max(apart).alias("outside")), "near-people")
     few = F.broadcast(people) if people.count() <= BROADCAST_IDS else people
     rare = materialise(rarest(docs.join(few.select("doc_id"), "doc_id").select("doc_id", "text"), threshold).join(few, "doc_id"), "near-rare")
-    shared = rare.groupBy("token").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.max("outside").alias("any")).where("lo < hi AND any").select("token")
-    alive = materialise(rare.join(shared, "token", "left_semi").distinct(), "near-alive")
+    # The outside holders of a token are dealt over blocks, and all its holders repeated for each, so a token of many is many keys.
+    dealt = F.ceil(F.count_if("outside") / HOLDERS).cast("int").alias("blocks")
+    shared = rare.groupBy("token").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), dealt).where("lo < hi AND blocks > 0").select("token", "blocks")
+    alive = materialise(rare.join(shared, "token").distinct(), "near-alive")
     whole = ["doc_id", "own", "outside", "n", "at"]
 
-    def side(k: str) -> DataFrame:
-        return sketched(alive.select("token", *(F.col(c).alias(k + c) for c in whole)), f"{k}doc_id", k, [*_SET, "n_shingles"])
+    def side(k: str, block: Column) -> DataFrame:
+        return sketched(alive.select("token", block.alias("block"), *(F.col(c).alias(k + c) for c in whole)), f"{k}doc_id", k, [*_SET, "n_shingles"])
 
     # The first common shingle of two sets leaves no more for both than what follows it in either.
     left = (100 + threshold) * F.least(F.col("xn") - F.col("xat"), F.col("yn") - F.col("yat")) >= threshold * (F.col("xn") + F.col("yn"))
-    rest = side("x").where("xoutside").join(side("y"), "token").where((F.col("xown") != F.col("yown")) & left & bounded)
+    outside = side("x", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).where("xoutside")
+    rest = outside.join(side("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))), ["token", "block"]).where((F.col("xown") != F.col("yown")) & left & bounded)
     rest = rest.select(F.least("xdoc_id", "ydoc_id").alias("a"), F.greatest("xdoc_id", "ydoc_id").alias("b")).distinct()
     rest = sketched(sketched(rest, "a", "x"), "b", "y").where(near).select("a", "b")
     second = materialise(confirm_pairs(rest, docs, threshold), "near-edges")

@@ -142,9 +142,11 @@ def test_scores_of_odd_tables(spark):
     assert all(math.isfinite(r.score) for r in rows)
 
 
-def test_a_large_group_of_differing_copies(spark):
+@pytest.mark.parametrize("holders", [neardup.HOLDERS, 3])  # one key a shingle, and many
+def test_a_large_group_of_differing_copies(spark, monkeypatch, holders):
     import random
 
+    monkeypatch.setattr(neardup, "HOLDERS", holders)
     rng = random.Random(8)
     rows = []
     for group in range(3):
