@@ -44,6 +44,8 @@ _SAMPLE = mix(np.arange(1001, 1001 + BANDS * ROWS, dtype=U64))
 BLOCK = 512
 #: Holders of a shingle outside their bucket's component that are compared with all its holders under one key.
 HOLDERS = 1024
+#: A shingle with more than one in HOT_TOKENS of all rows is looked up by a broadcast: there are fewer of them.
+HOT_TOKENS = 5_000
 #: Ids up to this number (8 bytes each) may be broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 300_000
 #: XOR population count above which a pair is taken to be below the threshold without looking at its sets.
@@ -254,8 +256,13 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rare = materialise(rarest(docs.join(few.select("doc_id"), "doc_id").select("doc_id", "text"), threshold).join(few, "doc_id"), "near-rare")
     # The outside holders of a token are dealt over blocks, and all its holders repeated for each, so a token of many is many keys.
     dealt = F.ceil(F.count_if("outside") / HOLDERS).cast("int").alias("blocks")
-    shared = rare.groupBy("token").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), dealt).where("lo < hi AND blocks > 0").select("token", "blocks")
-    alive = materialise(rare.join(shared, "token").distinct(), "near-alive")
+    shared = rare.groupBy("token").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.count("*").alias("held"), dealt)
+    shared = materialise(shared.where("lo < hi AND blocks > 0").select("token", "blocks", "held"), "near-shared")
+    # Tokens of the most rows, fewer than HOT_TOKENS of them, are looked up without a shuffle of their rows.
+    hot = F.col("held") > rare.count() // HOT_TOKENS
+    often, seldom = (shared.where(which).drop("held") for which in (hot, ~hot))
+    slim = rare.join(F.broadcast(often), "token").unionByName(rare.join(F.broadcast(often.select("token")), "token", "left_anti").join(seldom, "token"))
+    alive = materialise(slim.distinct(), "near-alive")
     whole = ["doc_id", "own", "outside", "n", "at"]
 
     def side(k: str, block: Column) -> DataFrame:
