@@ -24,40 +24,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbitweave.llm.textblocks import U64, map_batches, mix, row_blocks, shingles, words
+from orbitweave.llm.textblocks import U64, group_shingles, map_batches, mix, row_blocks, words
 from orbitweave.operators.ordinal import MAX_RANGES, quantile_cuts, range_of
 
 EQ_LANES, LIKE_LANES, GRAM = 64, 256, 3
 _LANE = np.arange(1, EQ_LANES // 4 + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)
 
 
-def paragraph_vectors(paragraphs: list[str]) -> np.ndarray:
-    """One row of EQ_LANES + LIKE_LANES lanes modulo 2**16 for each paragraph."""
-    out = np.zeros((len(paragraphs), EQ_LANES + LIKE_LANES), dtype=np.uint16)
-    column = pa.array(paragraphs, type=pa.large_string())
+def paragraph_sum(paragraphs: list[str]) -> np.ndarray:
+    """The sum of the paragraphs' vectors: EQ_LANES + LIKE_LANES lanes modulo 2**16."""
+    said = [p for p in paragraphs if p.strip()]
+    equal, like = np.zeros(EQ_LANES, dtype=np.uint16), np.zeros(LIKE_LANES, dtype=np.int64)
+    seeds = np.frombuffer(b"".join(hashlib.blake2b(p.encode(), digest_size=8).digest() for p in said), dtype=U64)
+    for lo in range(0, len(seeds), 4096):
+        equal += mix(seeds[lo : lo + 4096, None] + _LANE).view(np.uint16).sum(axis=0, dtype=np.uint16)
+    column = pa.array(said, type=pa.large_string())
     for lo, hi in row_blocks(column):
         w = words(column.slice(lo, hi - lo))
-        for k in range(hi - lo):
-            own = w.hashes[w.first[k] : w.first[k + 1]]
-            if not paragraphs[lo + k].strip():
-                continue
-            seed = np.frombuffer(hashlib.blake2b(paragraphs[lo + k].encode(), digest_size=8).digest(), dtype=U64)
-            out[lo + k, :EQ_LANES] = mix(seed + _LANE).view(np.uint16)
-            grams = shingles(own, GRAM)
-            sign = np.where(grams >> U64(63), 1.0, -1.0)
-            lanes = np.bincount((grams & U64(LIKE_LANES - 1)).astype(np.int64), weights=sign, minlength=LIKE_LANES)
-            out[lo + k, EQ_LANES:] = lanes.astype(np.int64).astype(np.uint16)
-    return out
+        grams = group_shingles(w.hashes, np.asarray(w.first), GRAM)
+        lanes = (grams & U64(LIKE_LANES - 1)).astype(np.int64)
+        # Each trigram counts +1 or -1: twice the positive ones less all.
+        like += 2 * np.bincount(lanes[grams >> U64(63) == 1], minlength=LIKE_LANES) - np.bincount(lanes, minlength=LIKE_LANES)
+    return np.concatenate([equal, like.astype(np.uint16)])
 
 
 def insert(fingerprint: np.ndarray, paragraphs: list[str]) -> np.ndarray:
     """Fingerprint after adding paragraphs."""
-    return fingerprint + paragraph_vectors(paragraphs).sum(axis=0, dtype=np.uint16)
+    return fingerprint + paragraph_sum(paragraphs)
 
 
 def delete(fingerprint: np.ndarray, paragraphs: list[str]) -> np.ndarray:
     """Fingerprint after taking paragraphs away."""
-    return fingerprint - paragraph_vectors(paragraphs).sum(axis=0, dtype=np.uint16)
+    return fingerprint - paragraph_sum(paragraphs)
 
 
 def fingerprint(text: str | None) -> np.ndarray:

@@ -171,6 +171,24 @@ def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
     return mix(out)
 
 
+def group_shingles(hashes: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
+    """The shingles of each of several word sequences, ``hashes[first[k]:first[k + 1]]``, in no stated order."""
+    lengths = np.diff(first)
+    left = np.repeat(first[1:], lengths) - np.arange(first[0], first[-1])  # words from each one on in its sequence
+    at = np.arange(first[0], first[-1])
+    out = [_runs(hashes, at[left >= size], size)]
+    out += [_runs(hashes, first[:-1][lengths == n], n) for n in range(1, size)]
+    return np.concatenate(out)
+
+
+def _runs(hashes: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    out = np.full(len(starts), size, dtype=U64)
+    for k in range(size):
+        out = out * U64(_P) + hashes[starts + k]
+        out ^= out >> U64(29)
+    return mix(out)
+
+
 def crc_mod(ids: list, modulus: int) -> np.ndarray:
     """crc32 of the ids' decimal text modulo ``modulus``; -1 for a null id."""
     import zlib
