@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators: each applies its operator to the whole table it is meant for."""
+"""The registered queries of the operators: each applies its operator to the whole table it is meant for."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbitweave.llm import decontam, fingerprint, interpolation, langid, licenses, linededup, neardup, perspectives, pieces, sharding
+from orbitweave.llm import decontam, fim, fingerprint, interpolation, langid, licenses, linededup, neardup, perspectives, pieces, quality, sharding, spelling
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,18 @@ def op10_minhash_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_components(_table(spark, sf_dir, "documents"))
 
 
+def op11_subword_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digest(fim.arrange(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op13_anagram_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_forms(spelling.count_words(_table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_latent_semantic_decontamination": op1_latent_semantic_decontamination,
     "op2_deleted_interpolation_scores": op2_deleted_interpolation_scores,
@@ -70,10 +82,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_perspective_rotation": op9_perspective_rotation,
     "op10_minhash_odd_sketches": op10_minhash_odd_sketches,
+    "op11_subword_quality_scores": op11_subword_quality_scores,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_anagram_spelling_variants": op13_anagram_spelling_variants,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_deletion_neighbourhood_lines": linededup.SQL,
     "op9_perspective_rotation": perspectives.DIGEST_SQL,
     "op10_minhash_odd_sketches": neardup.SQL,
+    "op12_fill_in_middle": fim.SQL,
+    "op13_anagram_spelling_variants": spelling.SQL,
 }
