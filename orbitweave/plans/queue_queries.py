@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from orbitweave.operators import matching, queue
 from orbitweave.plans.tables import EVENTS_SQL, events, table
+from orbitweave.sources.scratch import fresh_path
+from orbitweave.streaming import queue as streams
 
 DAY_US, HOUR_US = 86_400_000_000, 3_600_000_000
 
@@ -37,6 +39,22 @@ def observation_queue_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _queue(spark, sf_dir, 86_400)
 
 
+#: Slices of time in which the stream lands, and files of one micro-batch.
+SLICES, FILES_PER_BATCH = 6, 4
+
+
+def streamed_queue_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queue of a day as a stream: events land in slices of time and go through keyed state to files, which are read."""
+    landed, seen, marks = (fresh_path(spark, x) for x in ("landed", "streamed", "stream-marks"))
+    kind = F.when(F.col("event_type") == "view", "detection").otherwise("opportunity")
+    rows = events(spark, sf_dir).where(F.col("event_type").isin("view", "click")).select(F.col("user_id").cast("string").alias("key"), F.col("t").alias("t_us"), "event_id", kind.alias("kind"), F.timestamp_micros("t").alias("at"))
+    late = streams.write_slices(rows, "at", "t_us", landed, SLICES)
+    stream = streams.read_slices(spark, landed, rows.schema, FILES_PER_BATCH)
+    streams.write_queue(streams.stream_queue(stream, "at", 300, 86_400, f"{late} seconds"), seen, marks)
+    views = spark.read.schema(streams.VIEWS).parquet(seen)
+    return views.select(F.col("key").cast("long").alias("user_id"), "event_id", "detected_us", "seen_us", (F.col("seen_us") - F.col("detected_us")).alias("wait_us"))
+
+
 def pending_backlog_by_tick(spark: SparkSession, sf_dir: str) -> DataFrame:
     views = _queue(spark, sf_dir, 86_400).withColumnRenamed("seen_us", "t")
     detections = events(spark, sf_dir).where("event_type = 'view'").select("user_id", "t")
@@ -116,6 +134,7 @@ QUERIES = {
     "tick_report": (tick_report, REPORT_SQL),
     "observation_queue": (observation_queue, _queue_sql(1200)),
     "observation_queue_day": (observation_queue_day, _queue_sql(86_400)),
+    "streamed_queue_day": (streamed_queue_day, _queue_sql(86_400)),
     "pending_backlog_by_tick": (pending_backlog_by_tick, PENDING_SQL),
     "detections_per_tick": (detections_per_tick, ZEROS_SQL),
     "last_log_row_per_tick": (last_log_row_per_tick, LAST_ROW_SQL),

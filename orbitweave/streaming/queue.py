@@ -1,60 +1,139 @@
 """The observation queue as a stream: the same views as the batch operator, from keyed state.
 
-Events are ``key, t_us, event_id, kind`` (``detection`` or ``opportunity``) with an event-time column. Per key
-the state holds the events that the watermark has not yet passed and the detection that waits. When the
-watermark passes an event it is final: it is taken in order of time, detections first.
+Events are ``key, t_us, event_id, kind`` (``detection`` or ``opportunity``) with an event-time column. They are
+keyed by target and time bucket of the time to live, and each stands in its own bucket and, as what came
+before, in the next one: a view's detection is never further back. So however many events a target has, a
+state holds two buckets of it, and a hot target is many states.
+
+A state has a list of the events that the watermark has not passed, to which batches only append, and the
+detection that waits. An event-time timer at the earliest of them makes events final: they are taken in order
+of time, detections first. The last timer, when the bucket has ended, clears the state.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.query import StreamingQuery
 
 VIEWS = "key string, event_id long, seen_us long, detected_us long"
-_STATE = "pending string, detected long, viewed long"
+#: Ids are texts on the way: a null id would make the numbers of a whole batch floating.
+_EVENT = "t_us long, event_id string, detection boolean"
+_SEEN = "key string, event_id string, seen_us long, detected_us long"
+_WAITING = "detected_us long, viewed_us long"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def advance(pending: list, detected: int | None, viewed: int | None, until_us: int, delay_us: int, ttl_us: int) -> tuple[list, int | None, int | None, list]:
-    """Takes the final events (up to ``until_us``) in order; returns what is left, the state and the views."""
-    final = sorted((e for e in pending if e[0] <= until_us), key=lambda e: (e[0], e[1] != "detection", e[2]))
+def advance(final: list[tuple[int, str | None, bool]], detected: int | None, viewed: int | None, delay_us: int, ttl_us: int) -> tuple[int | None, int | None, list[tuple[str | None, int, int]]]:
+    """Takes final events in order; returns the detection that waits, when it was viewed, and the views."""
     views = []
-    for t, kind, event_id in final:
-        if kind == "detection":
+    for t, event_id, detection in sorted(final, key=lambda e: (e[0], not e[2])):
+        if detection:
             if t != detected:
                 detected, viewed = t, None
         elif detected is not None and delay_us < t - detected <= ttl_us and viewed in (None, t):
             viewed = t
             views.append((event_id, t, detected))
-    return [e for e in pending if e[0] > until_us], detected, viewed, views
+    return detected, viewed, views
+
+
+class TargetQueue(StatefulProcessor):
+    """One target in one time bucket: the events of the bucket before it are only what came before."""
+
+    def __init__(self, delay_us: int, ttl_us: int):
+        self.delay_us, self.ttl_us = delay_us, ttl_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.pending = handle.getListState("pending", _EVENT)
+        self.waiting = handle.getValueState("waiting", _WAITING)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        events = [e for frame in rows for e in zip(frame.t_us.tolist(), frame.event_id.tolist(), frame.detection.tolist(), strict=True)]
+        if not self.pending.exists():
+            self.handle.registerTimer(self._after(max(min(e[0] for e in events), key[1] * self.ttl_us)))
+        self.pending.appendList(events)
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        until_us = timerValues.getCurrentWatermarkInMs() * 1000
+        events = [tuple(e) for e in self.pending.get()]
+        final, later = [e for e in events if e[0] < until_us], [e for e in events if e[0] >= until_us]
+        detected, viewed = self.waiting.get() if self.waiting.exists() else (None, None)
+        detected, viewed, views = advance(final, detected, viewed, self.delay_us, self.ttl_us)
+        end = (key[1] + 1) * self.ttl_us
+        if until_us >= end:
+            self.pending.clear()
+            self.waiting.clear()
+        else:
+            if detected is not None:
+                self.waiting.update((detected, viewed))
+            if later:
+                self.pending.put(later)
+            else:
+                self.pending.clear()
+            self.handle.registerTimer(self._after(min((e[0] for e in later), default=end)))
+        start = key[1] * self.ttl_us
+        yield pd.DataFrame([(key[0], *v) for v in views if v[1] >= start], columns=["key", "event_id", "seen_us", "detected_us"]).astype({"seen_us": "int64", "detected_us": "int64"})
+
+    def close(self) -> None:
+        pass
+
+    @staticmethod
+    def _after(t_us: int) -> int:
+        """The first millisecond at which the watermark has passed a time."""
+        return t_us // 1000 + 1
 
 
 def stream_queue(events: DataFrame, ts: str, delay_s: int, ttl_s: int, late: str = "20 minutes") -> DataFrame:
-    """Views of a stream with columns ``key, event_id, kind, t_us`` and the event time ``ts``."""
+    """Views of a stream with columns ``key, event_id, kind, t_us`` and the event time ``ts``; rows come at most ``late``.
+
+    A row without a time is no event; an event of another kind than ``detection`` is an opportunity."""
     delay_us, ttl_us = delay_s * 1_000_000, ttl_s * 1_000_000
+    own = F.floor(F.col("t_us") / ttl_us)
+    rows = events.withWatermark(ts, late).select(F.col("key").cast("string").alias("key"), F.col("t_us").cast("long"), F.col("event_id").cast("string"), F.col("kind").eqNullSafe("detection").alias("detection"), ts, F.explode(F.array(own, own + 1)).alias("bucket"))
+    grouped = rows.where("t_us IS NOT NULL").groupBy("key", "bucket")
+    seen = grouped.transformWithStateInPandas(statefulProcessor=TargetQueue(delay_us, ttl_us), outputStructType=_SEEN, outputMode="Append", timeMode="EventTime")
+    return seen.select("key", F.col("event_id").cast("long").alias("event_id"), "seen_us", "detected_us")
+
+
+def write_queue(views: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Run through all that has come so far, from where ``checkpoint`` stands, with state in RocksDB; views go to Parquet files, once each."""
+    spark = views.sparkSession
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, ROCKSDB)
+    try:
+        query = views.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    return query
+
+
+def write_slices(events: DataFrame, ts: str, t_us: str, path: str, slices: int) -> int:
+    """Land a table in a folder that a stream reads, one slice of time after another, so that files are as old as their rows.
+
+    The last file is a row without a key, a slice and a day after the others: it lets the watermark pass all of
+    them. Returns the slices' length in seconds; rows of one slice come in any order, so they are at most so late."""
+    first, last = events.agg(F.min(t_us), F.max(t_us)).first()
+    if first is None:
+        events.write.mode("append").parquet(path)
+        return 1
+    step = (last - first) // slices + 1
+    for k in range(slices):
+        events.where(F.col(t_us).between(first + k * step, first + (k + 1) * step - 1)).write.mode("append").parquet(path)
+    seconds = step // 1_000_000 + 1
+    far = last + (seconds + 2 * 86_400) * 1_000_000
+    close = events.sparkSession.range(1).select(*(F.timestamp_micros(F.lit(far)).cast(f.dataType).alias(f.name) if f.name == ts else F.lit(far).cast(f.dataType).alias(f.name) if f.name == t_us else F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema))
+    close.write.mode("append").parquet(path)
+    return seconds
+
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pending, detected, viewed = ([], None, None) if not state.exists else state.get
-        pending = json.loads(pending) if pending else []
-        for frame in frames:
-            pending += [[int(t), k, int(e)] for t, k, e in zip(frame.t_us, frame.kind, frame.event_id, strict=True)]
-        until = state.getCurrentWatermarkMs() * 1000
-        pending, detected, viewed, views = advance(pending, detected, viewed, until, delay_us, ttl_us)
-        if pending or (detected is not None and detected + ttl_us >= until):
-            state.update((json.dumps(pending), detected, viewed))
-            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, (min(e[0] for e in pending) if pending else detected + ttl_us) // 1000 + 1))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame([(key[0], *v) for v in views], columns=["key", "event_id", "seen_us", "detected_us"])
-
-    rows = events.withWatermark(ts, late).select(F.col("key").cast("string").alias("key"), "event_id", "kind", "t_us", ts)
-    return rows.groupBy("key").applyInPandasWithState(step, VIEWS, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def tick_counts(events: DataFrame, ts: str, tick: str = "50 seconds", late: str = "20 minutes") -> DataFrame:
-    """Detections by tumbling window, as a stream or a batch."""
-    return events.withWatermark(ts, late).groupBy(F.window(ts, tick)).agg(F.count("*").alias("n")).select(F.col("window.start").alias("tick"), "n")
+def read_slices(spark: SparkSession, path: str, schema, files_per_batch: int) -> DataFrame:
+    """The folder as a stream."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)

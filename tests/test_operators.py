@@ -55,27 +55,48 @@ def test_queue_of_nothing(spark):
     assert queue.observation_queue(det, opp, ["k"], "t", "t", 300, 1200).collect() == []
 
 
-def test_streaming_queue_equals_batch(spark, tmp_path):
-    from orbitweave.streaming.queue import stream_queue
+def _landed(spark, rows, folder):
+    """Rows (key, event_id, kind, seconds) as a stream's files, one for each list of them."""
+    for part in rows:
+        df = spark.createDataFrame([(k, n, kind, t * 1_000_000) for k, n, kind, t in part], "key string, event_id long, kind string, t_us long")
+        df.withColumn("ts", F.timestamp_micros("t_us")).coalesce(1).write.mode("append").parquet(folder)
+    return df.withColumn("ts", F.timestamp_micros("t_us")).schema
+
+
+def test_streaming_queue_survives_a_restart_and_equals_batch(spark, tmp_path):
+    from orbitweave.streaming import queue as streams
 
     rng = random.Random(9)
-    rows = sorted({(rng.randrange(3), 50 * rng.randrange(73), rng.choice(["detection", "opportunity"])) for _ in range(120)}, key=lambda r: r[1])
-    rows = [(str(k), n, kind, t * 1_000_000) for n, (k, t, kind) in enumerate(rows)] + [("flush", 10_000, "opportunity", 90_000_000_000)]
-    df = spark.createDataFrame(rows, "key string, event_id long, kind string, t_us long").withColumn("ts", F.timestamp_micros("t_us"))
-    cut = [r for r in (0, 60, len(rows))]
-    for n, (a, b) in enumerate(zip(cut, cut[1:])):
-        df.where(F.col("event_id").isin([r[1] for r in rows[a:b]])).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = stream_queue(stream, "ts", 300, 1200).writeStream.outputMode("append").format("memory").queryName("views").option("checkpointLocation", str(tmp_path / "c")).start()
-    try:
-        q.processAllAvailable()
-        got = sorted((r.key, r.event_id, r.detected_us, r.seen_us) for r in spark.table("views").collect())
-    finally:
-        q.stop()
-    kind = lambda k: df.where(F.col("kind") == k).where("key <> 'flush'").select("key", "event_id", F.col("t_us").alias("t"))
+    rows = sorted({(rng.choice(["a", "a", "a", "b", "c"]), 50 * rng.randrange(200), rng.choice(["detection", "opportunity"])) for _ in range(500)}, key=lambda r: r[1])
+    rows = [(k, n, kind, t) for n, (k, t, kind) in enumerate(rows)]
+    for k in range(0, len(rows) - 8, 9):  # some come late, but not too late
+        rows[k], rows[k + 8] = rows[k + 8], rows[k]
+    folder, seen, marks = (str(tmp_path / x) for x in ("in", "seen", "marks"))
+    views = lambda schema: streams.stream_queue(streams.read_slices(spark, folder, schema, 1), "ts", 300, 1200)
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    schema = _landed(spark, [rows[:100], rows[100:200]], folder)
+    streams.write_queue(views(schema), seen, marks)
+    early = spark.read.schema(streams.VIEWS).parquet(seen).count()
+    # A second query goes on from the marks of the first: with new files, then with nothing new.
+    _landed(spark, [rows[200:350], rows[350:], [(None, None, "opportunity", 90_000)]], folder)
+    streams.write_queue(views(schema), seen, marks)
+    streams.write_queue(views(schema), seen, marks)
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+    got = sorted((r.key, r.event_id, r.detected_us, r.seen_us) for r in spark.read.schema(streams.VIEWS).parquet(seen).collect())
+    df = spark.createDataFrame([(k, n, kind, t * 1_000_000) for k, n, kind, t in rows], "key string, event_id long, kind string, t long")
+    kind = lambda k: df.where(F.col("kind") == k)
     batch = queue.observation_queue(kind("detection"), kind("opportunity"), ["key"], "t", "t", 300, 1200)
     assert got == sorted((r.key, r.event_id, r.detected_us, r.t) for r in batch.collect())
-    assert got
+    assert 0 < early < len(got)
+
+
+def test_stream_of_nothing(spark, tmp_path):
+    from orbitweave.streaming import queue as streams
+
+    none = spark.createDataFrame([], "key string, event_id long, kind string, t_us long, ts timestamp")
+    late = streams.write_slices(none, "ts", "t_us", str(tmp_path / "in"), 4)
+    streams.write_queue(streams.stream_queue(streams.read_slices(spark, str(tmp_path / "in"), none.schema, 2), "ts", 300, 1200, f"{late} seconds"), str(tmp_path / "seen"), str(tmp_path / "marks"))
+    assert spark.read.schema(streams.VIEWS).parquet(str(tmp_path / "seen")).count() == 0
 
 
 # Geometry.
