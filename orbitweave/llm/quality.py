@@ -159,12 +159,15 @@ def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 def train(learn: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
     """Fit on the rows of ``learn`` that have a label in ``labels``; of these at most ``sample``, by the least hashes."""
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("label")).where("id IS NOT NULL AND label IS NOT NULL").groupBy("id").agg(F.avg("label").alias("label"))
-    rows = learn.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(marked, "id").select(F.xxhash64("id", "text").alias("draw"), (F.col("label") >= 0.5).cast("int").alias("label"), "text")
-    least = [r.draw for r in rows.select("draw").distinct().orderBy("draw").limit(sample).collect()]
+    draw = F.xxhash64(F.col(id_col), F.col(text_col)).alias("draw")
+    # Texts stay where they are: only ids and hashes meet the labels, and the few hashes that are chosen the texts.
+    drawn = learn.select(F.col(id_col).alias("id"), draw).join(marked, "id").select("draw", (F.col("label") >= 0.5).cast("int").alias("label"))
+    least = drawn.groupBy("draw").agg(F.max("label").alias("label")).orderBy("draw").limit(sample).collect()
     if not least:
         return Model(np.zeros((BUCKETS, DIM), dtype=np.float32), np.zeros((DIM, 2), dtype=np.float32), np.zeros(2, dtype=np.float32))
-    chosen = map_batches(rows.where(F.col("draw") <= least[-1]), _sample_features, "draw long, label int, at binary, counts binary")
-    found = sorted(chosen.dropDuplicates(["draw"]).collect(), key=lambda r: r.draw)
+    picked = learn.sparkSession.createDataFrame([(r.draw, r.label) for r in least], "draw long, label int")
+    texts = learn.select(draw, F.col(text_col).alias("text")).where(F.col("draw") <= least[-1].draw).join(F.broadcast(picked), "draw").select("draw", "label", "text")
+    found = sorted(map_batches(texts, _sample_features, "draw long, label int, at binary, counts binary").dropDuplicates(["draw"]).collect(), key=lambda r: r.draw)
     data = [(np.frombuffer(r["at"], dtype=np.int32), np.frombuffer(r["counts"], dtype=np.int32)) for r in found]
     return train_sgd(data, [r.label for r in found])
 
