@@ -62,6 +62,29 @@ COCO_SQL = """SELECT CAST(s_suppkey AS INTEGER) AS id, n_name || '.png' AS file_
 FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = 0"""
 
 
+def coco_lineitem_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as images and line items as annotations of one document, with keys that the schema doesn't know."""
+    path = fresh_path(spark, "coco-large")
+    k, n = F.col("l_orderkey"), F.col("l_linenumber")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("int").alias("id"), F.concat(F.col("o_orderkey").cast("string"), F.lit(".png")).alias("file_name"), F.lit(64).alias("height"))
+    ship = F.parse_json(F.to_json(F.struct(F.col("l_linestatus").alias("mode"), F.array("l_discount", "l_tax").alias("rates"), F.concat(F.lit('}{"\\'), "l_returnflag").alias("odd"))))
+    items = table(spark, sf_dir, "lineitem").select(
+        (k * 8 + n).cast("int").alias("id"), k.cast("int").alias("image_id"), F.lit(0).alias("category_id"), F.array("l_quantity", "l_extendedprice").cast("array<double>").alias("bbox"),
+        F.col("l_extendedprice").cast("double").alias("area"), F.create_map(F.lit("ship"), ship).alias("extra"),
+    )
+    categories = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("int").alias("id"), F.col("r_name").alias("name"))
+    licenses = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("id"), F.col("n_name").alias("name"))
+    sinks.write_coco(orders, items, categories, path, licenses)
+    back = files.read_coco(spark, path)
+    got = lambda field, kind: F.variant_get(F.col("extra")["ship"], field, kind)
+    named = back["annotations"].join(back["images"].select(F.col("id").alias("image_id"), "file_name", F.col("ordinal").alias("image_nr")), "image_id").join(F.broadcast(back["licenses"].select(F.col("id").alias("category_id"), F.col("name").alias("license"))), "category_id")
+    return named.select("id", "file_name", "license", "bbox", "area", got("$.mode", "string").alias("mode"), got("$.rates[1]", "double").alias("tax"), got("$.odd", "string").alias("odd"))
+
+
+COCO_LINEITEM_SQL = """SELECT CAST(l_orderkey * 8 + l_linenumber AS INTEGER) AS id, l_orderkey || '.png' AS file_name, n_name AS license, [CAST(l_quantity AS DOUBLE), CAST(l_extendedprice AS DOUBLE)] AS bbox,
+ CAST(l_extendedprice AS DOUBLE) AS area, l_linestatus AS mode, CAST(l_tax AS DOUBLE) AS tax, '}{"\\' || l_returnflag AS odd FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN nation ON n_nationkey = 0"""
+
+
 def spectrum_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part sizes by frequency as a spectrum."""
     path = fresh_path(spark, "spectrum")
@@ -200,6 +223,7 @@ QUERIES = {
     "chip_lookup_files": (chip_lookup_files, LOOKUP_SQL),
     "image_metadata_files": (image_metadata_files, IMAGE_METADATA_SQL),
     "coco_files": (coco_files, COCO_SQL),
+    "coco_lineitem_files": (coco_lineitem_files, COCO_LINEITEM_SQL),
     "spectrum_files": (spectrum_files, SPECTRUM_SQL),
     "mesh_files": (mesh_files, MESH_SQL),
     "land_mask_files": (land_mask_files, LAND_FILES_SQL),

@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orbitweave.functions import textual
+from orbitweave.sources import documents
 
 METADATA = T.StructType([T.StructField(c, T.StringType()) for c in ("BoxID/ImageChip", "NumWhale", "Certainty2", "SpatialRes", "Satellite")])
-COCO = """
-images ARRAY<STRUCT<id: INT, license: INT, file_name: STRING, height: INT, width: INT, date_captured: STRING>>,
-annotations ARRAY<STRUCT<id: INT, image_id: INT, category_id: INT, bbox: ARRAY<DOUBLE>, area: DOUBLE, segmentation: ARRAY<ARRAY<DOUBLE>>, iscrowd: INT>>,
-categories ARRAY<STRUCT<id: INT, name: STRING, supercategory: STRING>>
-"""
+COCO = {
+    "images": "id INT, license INT, file_name STRING, height INT, width INT, date_captured STRING",
+    "annotations": "id INT, image_id INT, category_id INT, bbox ARRAY<DOUBLE>, area DOUBLE, segmentation ARRAY<ARRAY<DOUBLE>>, iscrowd INT",
+    "categories": "id INT, name STRING, supercategory STRING",
+    "licenses": "id INT, name STRING, url STRING",
+}
 IMAGE_SUFFIXES = (".png", ".jpg", ".jpeg", ".tif", ".tiff")
 
 
@@ -46,10 +48,14 @@ def chip_lookup(metadata: DataFrame) -> DataFrame:
     )
 
 
-def read_coco(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """``images``, ``annotations`` and ``categories`` tables of COCO documents."""
-    doc = spark.read.schema(COCO).option("multiLine", True).json(path)
-    return {k: doc.select(F.explode(k).alias("r")).select("r.*") for k in ("images", "annotations", "categories")}
+def read_coco(spark: SparkSession, path: str, one_document: bool = True) -> dict[str, DataFrame]:
+    """``images``, ``annotations``, ``categories`` and ``licenses`` of COCO documents of any size, read in byte ranges.
+
+    Keys that the schema doesn't know are in ``extra``; ``ordinal`` is a row's place in its document. ``document``
+    is what a document has besides arrays, as VARIANT. The files of a folder are one document, or one each."""
+    objects = documents.read_objects(spark, path, one_document)
+    tables = {name: documents.parse_objects(objects, name, schema) for name, schema in COCO.items()}
+    return tables | {"document": objects.where("section IS NULL").select(F.parse_json("json").alias("document"))}
 
 
 def read_spectrum(spark: SparkSession, path: str) -> DataFrame:

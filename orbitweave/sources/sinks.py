@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orbitweave.functions import textual
+from orbitweave.sources import documents
 
 LOG_FORMATS = {"target_lat": "%.4f", "target_lon": "%.4f", "target_alt": "%.1f", "x": "%.3f", "y": "%.3f", "z": "%.3f", "vx": "%.6f", "vy": "%.6f", "vz": "%.6f", "offnadir_angle_deg": "%.4f", "yaw": "%.2f", "pitch": "%.2f", "roll": "%.2f"}
 
@@ -20,19 +21,12 @@ def write_log(observations: DataFrame, path: str) -> None:
     log_rows(observations).write.mode("overwrite").option("header", True).csv(path)
 
 
-def coco_document(images: DataFrame, annotations: DataFrame, categories: DataFrame) -> DataFrame:
-    """One row ``json``, for a split that one reader takes whole; rows are ordered by id."""
-    nest = lambda df, name: df.agg(F.sort_array(F.collect_list(F.struct("id", *(c for c in df.columns if c != "id")))).alias(name))
-    return nest(images, "images").join(nest(annotations, "annotations")).join(nest(categories, "categories")).select(F.to_json(F.struct("images", "annotations", "categories")).alias("json"))
+def write_coco(images: DataFrame, annotations: DataFrame, categories: DataFrame, path: str, licenses: DataFrame | None = None, partitions: int | None = None) -> None:
+    """One document of any size, over part files in the order of their names; rows are ordered by ``id``.
 
-
-def write_coco(images: DataFrame, annotations: DataFrame, categories: DataFrame, path: str) -> None:
-    coco_document(images, annotations, categories).coalesce(1).write.mode("overwrite").text(path)
-
-
-def write_coco_lines(rows: DataFrame, path: str) -> None:
-    """For datasets of any size: images with nested annotations, one JSON object a line."""
-    rows.write.mode("overwrite").json(path)
+    A column ``extra`` (``MAP<STRING, VARIANT>``) holds keys that stand beside the columns."""
+    tables = {"images": images, "annotations": annotations, "categories": categories} | ({"licenses": licenses} if licenses is not None else {})
+    documents.write_document(tables, "id", path, partitions or int(images.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def copy_manifest(files: DataFrame, target: str, action: str = "copy") -> DataFrame:
