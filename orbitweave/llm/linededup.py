@@ -8,7 +8,7 @@ characters are never dropped as one edit away, and as equal ones only from ``exa
 Variants of a line, with one character deleted, are emitted as hashed keys and equal keys are joined:
 a line equal to another's variant is one insertion away, and two lines with the same variant at the same
 place one exchange. Within a key the earliest line decides, by aggregation, so no pairs are made inside a
-group. The edit distance of each line and the one that beats it is then verified.
+group. That each line and the one that beats it are equal without the letters in question is then verified.
 
 Variants are emitted only where cheaper keys allow a match. Two lines one edit apart share their first or
 their last half, so lines that share neither with another line are set aside. The others are cut into
@@ -61,26 +61,40 @@ def _halves(line: Column) -> Column:
     return F.when(h == less, F.array(*both(h))).otherwise(F.array(*both(h), *both(less)))
 
 
-def _blocks(line: Column, rest: Column, taken: int) -> Column:
-    """For a variant of ``rest`` characters: its blocks with the hashes of what is before and after each.
+def _chain(pieces: Column) -> Column:
+    """Hashes of the first 0, 1, 2, ... pieces, each made of the one before."""
+    return F.aggregate(pieces, F.array(F.lit(0).cast("long")), lambda done, p: F.concat(done, F.array(F.xxhash64(F.element_at(done, -1), p))))
 
-    ``taken`` is 1 if the line has one character more than the variant, in the block; else 0."""
-    count = F.greatest(F.lit(2), F.ceil((rest + 1) / F.lit(BLOCK_CHARS))).cast("int")
-    size = F.ceil((rest + 1) / count).cast("int")
 
-    def block(j: Column) -> Column:
-        start, stop = j * size, (j + 1) * size - (1 - taken)
-        return F.struct(
-            F.lit(taken).alias("taken"),
-            j.alias("j"),
-            start.alias("start"),
-            rest.alias("rest"),
-            F.xxhash64(F.substr(line, F.lit(1), start)).alias("before"),
-            F.substr(line, start + 1, stop - start).alias("inside"),
-            F.xxhash64(F.substr(line, stop + 1)).alias("after"),
-        )
+def _blocks(line: Column, rest: Column, taken: int) -> Column:
+    """For a variant of ``rest`` characters: its blocks with the hashes of what is before and after each.
 
-    return F.filter(F.transform(F.sequence(F.lit(0), count - 1), block), lambda b: (b["start"] <= b["rest"]))
+    ``taken`` is 1 if the line has one character more than the variant, in the block; else 0. A block and what
+    follows it begin at the same places of the variant either way, so both sides are hashed piece by piece,
+    once for all blocks. Blocks are as many as ``BLOCK_CHARS`` ask for, but no more than the square root of the
+    characters: a long line is neither cut into very many blocks nor has very many variants in one."""
+    size = F.greatest(F.ceil((rest + 1) / F.greatest(F.lit(2), F.least(F.ceil((rest + 1) / F.lit(BLOCK_CHARS)), F.ceil(F.sqrt(rest + 1))))), F.lit(1)).cast("int")
+    parts = lambda text: F.regexp_extract_all(text, F.concat(F.lit("(?s).{1,"), size.cast("string"), F.lit("}")), F.lit(0))
+    made = F.struct(size.alias("size"), parts(line).alias("pieces"), _chain(parts(line)).alias("before"), _chain(F.reverse(parts(F.substr(line, size + taken)))).alias("after"))
+
+    def cut(m: Column) -> Column:
+        def block(piece: Column, j: Column) -> Column:
+            inside = piece if taken else F.substr(piece, F.lit(1), m["size"] - 1)
+            return F.struct(
+                F.lit(taken).alias("taken"),
+                j.alias("j"),
+                (j * m["size"]).alias("start"),
+                rest.alias("rest"),
+                F.get(m["before"], j).alias("before"),
+                inside.alias("inside"),
+                F.get(m["after"], F.greatest(F.size(m["after"]) - 1 - j, F.lit(0))).alias("after"),
+            )
+
+        # A line that ends where a block begins goes on into an empty block.
+        whole = F.when(F.char_length(line) % m["size"] == 0, F.concat(m["pieces"], F.array(F.lit("")))).otherwise(m["pieces"])
+        return F.filter(F.transform(whole, block), lambda b: b["start"] <= b["rest"])
+
+    return F.flatten(F.transform(F.array(made), cut))
 
 
 def _key(b: Column) -> Column:
@@ -120,14 +134,22 @@ def near_lines(lines: DataFrame, texts: DataFrame, firsts: DataFrame) -> DataFra
     whole = variants.where("at = -1")
     deleted = variants.where("at >= 0")
     key = ["key", "variant"]
-    beaten = lambda rows, best, on: rows.join(best, on).where(F.col("best.first") < F.col("me.first")).select("me", "best")
-    inserted = beaten(deleted, whole.groupBy(key).agg(F.min("me").alias("best")), key)
-    shortened = beaten(whole, deleted.groupBy(key).agg(F.min("me").alias("best")), key)
-    exchanged = beaten(deleted, deleted.groupBy(*key, "at").agg(F.min("me").alias("best")), [*key, "at"])
-    pairs = inserted.unionByName(shortened).unionByName(exchanged).select(F.col("me.h1").alias("h1"), F.col("me.h2").alias("h2"), F.col("best.h1").alias("g1"), F.col("best.h2").alias("g2")).distinct()
+    nothing = F.lit(None).cast("int")
+    best = lambda rows, *on: rows.groupBy(*on).agg(F.min(F.struct("me", "at")).alias("best"))
+
+    def beaten(rows: DataFrame, others: DataFrame, on: list[str], mine: Column, other: Column) -> DataFrame:
+        met = rows.join(others, on).where(F.col("best.me.first") < F.col("me.first"))
+        return met.select(F.col("me.h1").alias("h1"), F.col("me.h2").alias("h2"), F.col("best.me.h1").alias("g1"), F.col("best.me.h2").alias("g2"), mine.alias("cut"), other.alias("other_cut"))
+
+    inserted = beaten(deleted, best(whole, *key), key, F.col("at"), nothing)
+    shortened = beaten(whole, best(deleted, *key), key, nothing, F.col("best.at"))
+    exchanged = beaten(deleted, best(deleted, *key, "at"), [*key, "at"], F.col("at"), F.col("at"))
+    pairs = inserted.unionByName(shortened).unionByName(exchanged).distinct()
     later = found.select("h1", "h2", F.col("line").alias("mine"))
     earlier = found.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("line").alias("other"))
-    return pairs.join(later, ["h1", "h2"]).join(earlier, ["g1", "g2"]).where(F.levenshtein("mine", "other", 1) >= 0).select("h1", "h2").distinct()
+    # Verified by taking out the letters that the hashes name: linear in the line, as an edit distance is not.
+    without = lambda line, at: F.when(F.col(at).isNull(), F.col(line)).otherwise(F.concat(F.substr(line, F.lit(1), F.col(at) - 1), F.substr(line, F.col(at) + 1)))
+    return pairs.join(later, ["h1", "h2"]).join(earlier, ["g1", "g2"]).where(without("mine", "cut") == without("other", "other_cut")).select("h1", "h2").distinct()
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
@@ -161,11 +183,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     dropped = materialise(dropped, "lines-dropped")
     positions = dropped.agg(F.sum(F.size("__dropped"))).first()[0] or 0
     kept = [c for c in docs.columns if c not in ("n_lines", "n_exact", "n_near")]
-    text = F.col(text_col)
-    parts = F.split(text, "\n")
+    text, parts = F.col(text_col), F.col("__parts")
     joined = docs.select(*kept).join(_side(dropped, positions), F.col(id_col).cast("long").eqNullSafe(F.col("__doc")) & (F.xxhash64(text_col) == F.col("__th")), "left")
+    joined = joined.withColumn("__parts", F.split(text, "\n"))  # a column: in the lambda below each line would split the text again
     left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__dropped"))
-    new = F.when(F.col("__dropped").isNull(), text).otherwise(F.array_join(F.transform(left, lambda i: parts[i]), "\n"))
+    new = F.when(F.col("__dropped").isNull(), text).otherwise(F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n"))
     return joined.select(
         *(new.alias(c) if c == text_col else F.col(c) for c in kept),
         F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"),

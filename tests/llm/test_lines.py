@@ -110,3 +110,30 @@ def test_blocks_cover_the_line(spark, n):
     df = spark.createDataFrame([("".join(chr(97 + k % 26) for k in range(n)),)], "line string")
     blocks = df.select(F.explode(linededup._blocks(F.col("line"), F.char_length("line") - 1, 1)).alias("b")).select("b.*").collect()
     assert "".join(b.inside for b in sorted(blocks, key=lambda b: b.j)) == df.first().line
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 40, 255, 256, 257, 300, 511, 512, 513, 1000])
+def test_sides_of_a_variant_hash_alike_with_and_without_the_letter(spark, n):
+    """Of a line and the line with one letter more, the block that has the letter has the same sides in both."""
+    line = "".join(chr(97 + k * k % 26) for k in range(n))
+    places = sorted({0, 1, n // 2, n - 1, n})
+    blocks = lambda text, taken: {b.j: b for b in spark.createDataFrame([(text,)], "line string").select(F.explode(linededup._blocks(F.col("line"), F.char_length("line") - taken, taken)).alias("b")).select("b.*").collect()}
+    short = blocks(line, 0)
+    for at in places:
+        long = blocks(line[:at] + "X" + line[at:], 1)
+        assert short.keys() == long.keys()
+        (j,) = [j for j, b in long.items() if "X" in b.inside]
+        assert (short[j].before, short[j].after) == (long[j].before, long[j].after) and long[j].inside.replace("X", "") == short[j].inside
+
+
+def test_documents_of_many_lines_and_lines_of_many_characters_take_seconds(spark):
+    import time
+
+    rng = np.random.default_rng(1)
+    many = [f"{x:032x}" for x in rng.integers(0, 1 << 62, 100_000).astype(object) ** 2]
+    base = "".join(rng.choice(np.array(list("abcdefgh ")), 200_000))
+    rows = [(1, "\n".join(many) + "\n" + many[7]), (2, base), (3, base[:140_000] + "Z" + base[140_000:]), (4, base[:-1]), (5, "Y" + base[1:])]
+    began = time.time()
+    out = {r.doc_id: r for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert time.time() - began < 120
+    assert out[1].text == "\n".join(many) and [out[k].text for k in (2, 3, 4, 5)] == [base, "", "", ""] and out[1].n_exact == 1
