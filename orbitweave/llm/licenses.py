@@ -5,8 +5,8 @@ are anchors; the longest increasing subsequence of their places is kept, and the
 aligned the same way. Coverage is the share of the template's words that are matched in order.
 
 A document that lacks too many of a template's words is not looked at further. Of the others only the words
-that the template has are looked at, in runs with at most ``GAP`` foreign words between neighbours: that is
-the limit of a match. A window of a run is aligned where it holds enough of the template's words, as a
+that the template has are looked at, in runs with at most half a template's foreign words between neighbours
+(``GAP`` or more): that is the limit of a match. A window of a run is aligned where it holds enough of the template's words, as a
 multiset, to reach the coverage at all, at its widest (``SPREAD`` times the template) and at its narrowest.
 
 A template's naming words (``NAMING``: mit, nc, 3 ...) must be among the matched ones, and none of the words
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from orbitweave.llm.textblocks import map_batches
 
-COVERAGE, GAP, SPREAD = 0.8, 2, 2.25
+COVERAGE, GAP, SPREAD = 0.8, 3, 2.25
 # Short notices of public licenses.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
@@ -157,6 +157,8 @@ class Template:
         self.name, self.words = name, word_list(text)
         self.need = max(1, -int(-coverage * len(self.words) // 1))
         self.count = Counter(self.words)
+        #: Foreign words that may stand between two matched ones.
+        self.gap = max(GAP, len(self.words) // 2)
         #: Long words first: they are the likeliest to be missing.
         self.tests = sorted(self.count, key=lambda w: (-len(w), w))
         self.otherwise = frozenset().union(*(OTHERWISE[w] for w in OTHERWISE if w in self.count))
@@ -180,7 +182,7 @@ class Template:
         at = [k for k, w in enumerate(words) if w in self.count or w in self.otherwise]
         lo = 0
         for hi in range(1, len(at) + 1):
-            if hi == len(at) or at[hi] - at[hi - 1] > GAP + 1:
+            if hi == len(at) or at[hi] - at[hi - 1] > self.gap + 1:
                 if hi - lo >= self.need:
                     run = at[lo:hi]
                     for a, b, n in self._find_in_run([words[k] for k in run]):

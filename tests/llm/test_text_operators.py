@@ -498,3 +498,31 @@ def test_words_of_a_long_text_hash_as_in_a_short_one():
     whole, parts = textblocks.words(pa.array([text, "x"])), text.split(" ")
     some = textblocks.words(pa.array([" ".join(parts[60_000:60_100])]))
     assert len(whole.hashes) == 90_001 and np.array_equal(whole.hashes[60_000:60_100], some.hashes)
+
+
+def test_edited_whole_licenses_and_three_foreign_words():
+    """Whole texts with 10 to 18 per cent of words exchanged or dropped, half of them with words put in, are found wherever
+    patience covers enough; so is every notice with three foreign words anywhere in it."""
+    import random
+
+    from orbitweave.llm import licenses
+
+    rng = random.Random(1)
+    filler = "river stone wooden carries slowly bright morning paper harbour winter".split()
+    templates = licenses._templates(tuple(licenses.TEMPLATES.items()), licenses.COVERAGE)
+    found = covered = 0
+    for t in (t for t in templates if t.name.endswith("-text")):
+        for k in range(4):
+            p, words = rng.uniform(0.1, 0.18), []
+            for w in t.words:
+                r = rng.random()
+                words += [rng.choice(filler)] if r < p / 2 else [] if r < p else [w]
+                words += [rng.choice(filler)] if k % 2 and rng.random() < 0.05 else []
+            if len(licenses.patience(words, t.words)) >= licenses.COVERAGE * len(t.words):
+                covered += 1
+                found += t.name in {m[0] for m in licenses.scan_text("intro words here. " + " ".join(words) + " and more text")}
+    assert covered >= 40 and found == covered
+    for t in templates:
+        for at in {1, len(t.words) // 2, len(t.words) - 1}:
+            text = " ".join(t.words[:at] + rng.sample(filler, 3) + t.words[at:])
+            assert t.name in {m[0] for m in licenses.scan_text(text)}, (t.name, at)
