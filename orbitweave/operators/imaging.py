@@ -113,3 +113,95 @@ def band_radiance(spectrum: DataFrame, response: DataFrame) -> DataFrame:
     along = Window.partitionBy("band").orderBy("at")
     area = (F.col("p") + F.lag("p").over(along)) / 2.0 * (F.col("at") - F.lag("at").over(along))
     return curve.withColumn("area", area).groupBy("band").agg(F.sum("area").alias("radiance"))
+
+
+def summed_area(values: Column, side: int) -> Column:
+    """The summed-area table of a flat square image, as an array of side + 1 rows: each row is the one before plus the row's own sums."""
+    zero = F.lit(0.0)
+    rows = F.transform(F.sequence(F.lit(0), F.lit(side - 1)), lambda y: F.slice(values, y * side + 1, F.lit(side)))
+    along = lambda row: F.aggregate(row, F.array(zero), lambda done, v: F.concat(done, F.array(F.element_at(done, -1) + v.cast("double"))))
+    first = F.array(F.array_repeat(zero, side + 1))
+    return F.aggregate(rows, first, lambda done, row: F.concat(done, F.array(F.zip_with(F.element_at(done, -1), along(row), lambda p, q: p + q))))
+
+
+def window_sums(values: Column, side: int, window: int) -> Column:
+    """The sums of all windows of a flat square image, row by row, from its summed-area table."""
+    last = side - window
+
+    def sums(s: Column) -> Column:
+        at = lambda y, x: F.get(F.get(s, y), x)
+        each = F.sequence(F.lit(0), F.lit(last))
+        return F.flatten(F.transform(each, lambda y: F.transform(each, lambda x: at(y + window, x + window) - at(y, x + window) - at(y + window, x) + at(y, x))))
+
+    # One element, so that the table is made once and not for each of its cells.
+    return F.flatten(F.transform(F.array(summed_area(values, side)), sums))
+
+
+def window_moments(values: Column, side: int, window: int) -> Column:
+    """``mean`` and ``spread`` (standard deviation, of samples) of each window."""
+    n = float(window * window)
+    squares = F.transform(values, lambda v: v.cast("double") * v.cast("double"))
+    mean = F.transform(window_sums(values, side, window), lambda v: v / n)
+    return F.zip_with(mean, window_sums(squares, side, window), lambda m, q: F.struct(m.alias("mean"), F.sqrt(F.greatest(F.lit(0.0), (q / n - m * m) * (n / (n - 1.0)))).alias("spread")))
+
+
+def windowed_similarity(a: Column, b: Column, ma: Column, mb: Column, side: int, window: int, span: float) -> Column:
+    """Mean structural similarity of two images with their ``window_moments``."""
+    n, c1, c2 = float(window * window), (0.01 * span) ** 2, (0.03 * span) ** 2
+    products = window_sums(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), side, window)
+
+    def one(pair: Column, product: Column) -> Column:
+        p, q = pair["p"], pair["q"]
+        cov = (product / n - p["mean"] * q["mean"]) * (n / (n - 1.0))
+        return (2.0 * p["mean"] * q["mean"] + c1) * (2.0 * cov + c2) / ((p["mean"] * p["mean"] + q["mean"] * q["mean"] + c1) * (p["spread"] * p["spread"] + q["spread"] * q["spread"] + c2))
+
+    both = F.zip_with(ma, mb, lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+    return F.aggregate(F.zip_with(both, products, one), F.lit(0.0), lambda s, v: s + v) / float((side - window + 1) ** 2)
+
+
+def similarity_bound(ma: Column, mb: Column, span: float) -> Column:
+    """What the similarity can be at most, by means and spreads alone: a covariance is at most the product of the spreads.
+
+    Of images whose values aren't negative, so that the means' part isn't."""
+    c1, c2 = (0.01 * span) ** 2, (0.03 * span) ** 2
+
+    def one(p: Column, q: Column) -> Column:
+        light = (2.0 * p["mean"] * q["mean"] + c1) / (p["mean"] * p["mean"] + q["mean"] * q["mean"] + c1)
+        return light * (2.0 * p["spread"] * q["spread"] + c2) / (p["spread"] * p["spread"] + q["spread"] * q["spread"] + c2)
+
+    return F.aggregate(F.zip_with(ma, mb, one), F.lit(0.0), lambda s, v: s + v) / F.size(ma)
+
+
+#: What rounding may take off a bound.
+SLACK = 1e-9
+
+
+def best_windowed_match(queries: DataFrame, candidates: DataFrame, key: str, values: str, side: int, window: int = 7, span: float = 255.0, block_rows: int = 50_000) -> DataFrame:
+    """``query, match, angle, score``: the candidate and quarter turn that are most similar to each query; ties go to the least key, then angle.
+
+    Candidates are dealt over blocks, and the queries, a stated set, meet each block. Moments of windows are made
+    once an image; those of a turned image are the same, in turned order. They bound the similarity of every
+    pair and turn: the pair of the highest bound gives each query a score to beat, and only pairs whose bound
+    reaches it are compared in full. Rows without an image or with another number of values are left out."""
+    turns = [np.rot90(np.arange(side * side).reshape(side, side), k).ravel().tolist() for k in range(4)]
+    grid = side - window + 1
+    grids = [np.rot90(np.arange(grid * grid).reshape(grid, grid), k).ravel().tolist() for k in range(4)]
+    turned = lambda column, order: F.array(*(F.get(column, k) for k in order))
+    image = lambda df, name: df.where(F.size(values) == side * side).select(F.col(key).alias(name), F.col(values).alias(f"__{name}"), window_moments(F.col(values), side, window).alias(f"__{name}_m"))
+    blocks = max(1, candidates.count() // block_rows)
+    asked = image(queries, "query").withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = image(candidates, "match").withColumn("__b", F.pmod(F.hash("match"), F.lit(blocks)))
+    turn = F.explode(F.array(*(F.struct(F.lit(90 * k).alias("angle"), turned(F.col("__match_m"), grids[k]).alias("moments")) for k in range(4)))).alias("__t")
+    # Turned before the join, so once a candidate.
+    posed = dealt.select("match", "__b", "__match", turn).select("match", "__b", "__match", F.col("__t.angle").alias("angle"), F.col("__t.moments").alias("__moments"))
+    pairs = posed.join(asked, "__b")
+    bounded = pairs.withColumn("__most", similarity_bound(F.col("__query_m"), F.col("__moments"), span))
+    pose = F.when(F.col("angle") == 0, F.col("__match"))
+    for k in (1, 2, 3):
+        pose = pose.when(F.col("angle") == 90 * k, turned(F.col("__match"), turns[k]))
+    score = lambda df: df.withColumn("score", windowed_similarity(F.col("__query"), pose, F.col("__query_m"), F.col("__moments"), side, window, span))
+    whole = F.struct("match", "angle", "__match", "__moments", "__query", "__query_m")
+    likely = bounded.groupBy("query").agg(F.max_by(whole, F.struct("__most", -F.col("match"), -F.col("angle"))).alias("__p")).select("query", "__p.*")
+    beat = score(likely).select(F.col("query"), F.col("score").alias("__beat"))
+    left = bounded.join(F.broadcast(beat) if blocks == 1 else beat, "query").where(F.col("__most") >= F.col("__beat") - SLACK)
+    return best_by(score(left).select("query", "match", "angle", "score"), ["query"], F.round("score", 9), F.struct("match", "angle"), ["match", "angle"])

@@ -355,6 +355,36 @@ v AS (SELECT *, 49.0::DOUBLE / 48 * (pp - mp * mp) AS vp, 49.0::DOUBLE / 48 * (q
 SELECT vec_id, round(avg((2 * mp * mq + {_C1}) * (2 * cov + {_C2}) / ((mp * mp + mq * mq + {_C1}) * (vp + vq + {_C2}))), 6) AS ssim FROM v GROUP BY vec_id"""
 
 
+def best_ssim_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images whose id is divisible by 20, turned by quarters and with other grey values in every third pixel, against all images in four turns."""
+    img = _images(spark, sf_dir)
+    noisy = F.transform("grey", lambda v, k: F.when((k + F.col("vec_id")) % 3 == 0, (v * 7 + k * 31) % 256).otherwise(v))
+    asked = img.where("vec_id % 20 = 0").withColumn("grey", noisy)
+    turned = F.when((F.col("vec_id") / 20) % 4 == 0, F.col("grey"))
+    for k in (1, 2, 3):
+        turned = turned.when((F.col("vec_id") / 20) % 4 == k, imaging.rotated(F.col("grey"), 8, k))
+    found = imaging.best_windowed_match(asked.withColumn("grey", turned), img, "vec_id", "grey", 8)
+    return found.select("query", "match", "angle", r6(F.col("score"), "score"))
+
+
+# A quarter turn takes the value at (y, x) to (7 - x, y).
+_QUARTERS = "CASE {k} WHEN 0 THEN {y} WHEN 1 THEN 7 - {x} WHEN 2 THEN 7 - {y} ELSE {x} END", "CASE {k} WHEN 0 THEN {x} WHEN 1 THEN {y} WHEN 2 THEN 7 - {x} ELSE 7 - {y} END"
+SSIM_MATCH_SQL = f"""WITH {_PIX},
+n AS (SELECT vec_id, y, x, CASE WHEN (y * 8 + x + vec_id) % 3 = 0 THEN (v * 7 + (y * 8 + x) * 31) % 256 ELSE v END AS v FROM px WHERE vec_id % 20 = 0),
+q AS (SELECT vec_id AS query, {_QUARTERS[0].format(k="vec_id // 20 % 4", y="y", x="x")} AS y, {_QUARTERS[1].format(k="vec_id // 20 % 4", y="y", x="x")} AS x, CAST(v AS DOUBLE) AS p FROM n),
+c AS (SELECT vec_id AS match, t AS turn, {_QUARTERS[0].format(k="t", y="y", x="x")} AS y, {_QUARTERS[1].format(k="t", y="y", x="x")} AS x, CAST(v AS DOUBLE) AS q FROM px, (SELECT unnest([0, 1, 2, 3]) AS t)),
+w AS (SELECT unnest([0, 1]) AS oy), u AS (SELECT unnest([0, 1]) AS ox),
+mq AS (SELECT query, oy, ox, sum(p) / 49 AS mp, sum(p * p) / 49 AS pp FROM q, w, u WHERE y BETWEEN oy AND oy + 6 AND x BETWEEN ox AND ox + 6 GROUP BY ALL),
+mc AS (SELECT match, turn, oy, ox, sum(q) / 49 AS mq, sum(q * q) / 49 AS qq FROM c, w, u WHERE y BETWEEN oy AND oy + 6 AND x BETWEEN ox AND ox + 6 GROUP BY ALL),
+lq AS (SELECT query, oy, ox, list(p ORDER BY y, x) AS ps FROM q, w, u WHERE y BETWEEN oy AND oy + 6 AND x BETWEEN ox AND ox + 6 GROUP BY ALL),
+lc AS (SELECT match, turn, oy, ox, list(q ORDER BY y, x) AS qs FROM c, w, u WHERE y BETWEEN oy AND oy + 6 AND x BETWEEN ox AND ox + 6 GROUP BY ALL),
+s AS (SELECT query, match, turn, mp, mq, 49.0::DOUBLE / 48 * (pp - mp * mp) AS vp, 49.0::DOUBLE / 48 * (qq - mq * mq) AS vq, 49.0::DOUBLE / 48 * (list_dot_product(ps, qs) / 49 - mp * mq) AS cov
+ FROM lq JOIN mq USING (query, oy, ox) JOIN lc USING (oy, ox) JOIN mc USING (match, turn, oy, ox)),
+r AS (SELECT query, match, turn, avg((2 * mp * mq + {_C1}) * (2 * cov + {_C2}) / ((mp * mp + mq * mq + {_C1}) * (vp + vq + {_C2}))) AS score FROM s GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, match, turn) AS n FROM r)
+SELECT query, match, CAST(turn * 90 AS INTEGER) AS angle, round(score, 6) AS score FROM k WHERE n = 1"""
+
+
 # Spectra.
 def _response(spark: SparkSession) -> DataFrame:
     """Triangular responses around three wavelengths, every 5 nm."""
@@ -515,6 +545,7 @@ QUERIES = {
     "dn_roundtrip": (dn_roundtrip, DN_SQL),
     "combined_dn": (combined_dn, COMBINED_SQL),
     "image_ssim": (image_ssim, SSIM_SQL),
+    "best_ssim_match": (best_ssim_match, SSIM_MATCH_SQL),
     "spectrum_parse": (spectrum_parse, PARSE_SQL),
     "spectrum_range": (spectrum_range, RANGE_SQL),
     "spectral_overlap": (spectral_overlap, OVERLAP_SQL),
