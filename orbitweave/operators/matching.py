@@ -2,31 +2,110 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bytes of names up to which they are compared with every file name by a broadcast.
-BROADCAST_BYTES = 8 << 20
+#: Bytes of the runs by which names are looked up, at most; bits of the filter of these runs, at least and at most (8 MB).
+RUN_BYTES, LEAST_BITS, MOST_BITS = 8, 1 << 13, 1 << 26
+#: Classes of runs whose frequency is estimated, and about how many files it is estimated from.
+CLASSES, SAMPLE_FILES = 1 << 16, 10_000
+_CHUNK = 1 << 20
+_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+def _runs(text: bytes, size: int) -> Iterator[np.ndarray]:
+    """All runs of ``size`` bytes as numbers, in chunks."""
+    for lo in range(0, len(text) - size + 1, _CHUNK):
+        b = np.frombuffer(text, dtype=np.uint8)[lo : lo + _CHUNK + size - 1].astype(np.uint64)
+        out = b[: len(b) - size + 1]
+        for k in range(1, size):
+            out = (out << np.uint64(8)) | b[k : len(b) - size + 1 + k]
+        yield out
+
+
+def _places(runs: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of the filter for each run."""
+    return tuple((((runs ^ (runs >> np.uint64(31))) * m) >> np.uint64(20)) & np.uint64(bits - 1) for m in _MIX)
+
+
+def _texts(batch: pa.RecordBatch, column: int = 0) -> Iterator[bytes]:
+    return (v.as_buffer().to_pybytes() for v in batch.column(column).cast(pa.large_binary()))
 
 
 def name_contains(files: DataFrame, names: DataFrame, file_col: str, name_col: str, found: bool = True) -> DataFrame:
     """Files whose name holds any of the names (``found``) or none of them.
 
-    Names of a bounded size are broadcast. More go by their first characters: as many as the shortest name
-    has are looked up among all substrings of that length of a file name, and the hits compared whole. An
-    empty name is in every file name that is not null."""
+    Each name is looked up by its rarest run of bytes, as long as the shortest name or ``RUN_BYTES``. A Bloom filter
+    of these runs, of bounded size, is probed at every place of a file's name; only what passes is listed, joined
+    with the names by the run and compared whole. How rare a run is, is estimated from a sample of the files: it
+    changes the work, not the result. An empty name is in every file name that is not null."""
     wanted = names.select(F.col(name_col).alias("__name")).where("__name IS NOT NULL").distinct()
-    n, size, shortest = wanted.agg(F.count("*"), F.sum(F.octet_length("__name")), F.min(F.char_length("__name"))).first()
-    how = "left_semi" if found else "left_anti"
+    n, shortest = wanted.agg(F.count("*"), F.min(F.octet_length("__name"))).first()
+    if not n:
+        return files.limit(0) if found else files
     if shortest == 0:
         return files.where(F.col(file_col).isNotNull() if found else F.col(file_col).isNull())
-    if not n or (size or 0) <= BROADCAST_BYTES:
-        return files.join(F.broadcast(wanted), F.contains(F.col(file_col), F.col("__name")), how)
-    keyed = files.select(F.col(file_col).alias("__file")).distinct()
-    places = F.sequence(F.lit(1), F.char_length("__file") - shortest + 1)
-    grams = keyed.where(F.char_length("__file") >= shortest).select("__file", F.explode(F.array_distinct(F.transform(places, lambda k: F.substr(F.col("__file"), k, F.lit(shortest))))).alias("__gram"))
-    hits = grams.join(wanted.withColumn("__gram", F.substr(F.col("__name"), F.lit(1), F.lit(shortest))), "__gram").where(F.contains("__file", "__name")).select("__file").distinct()
-    return files.join(hits, F.col(file_col) == F.col("__file"), how)
+    size = min(RUN_BYTES, shortest)
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * n).bit_length()))
+    texts = files.select(F.col(file_col).alias("__file")).where(F.octet_length("__file") >= shortest)
+
+    def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(CLASSES, dtype=np.int64)
+        for batch in batches:
+            for text in _texts(batch):
+                for runs in _runs(text, size):
+                    seen += np.bincount(_places(runs, CLASSES)[0].astype(np.int64), minlength=CLASSES)
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["class", "n"])
+
+    share = max(1, texts.count() // SAMPLE_FILES)
+    sample = texts.where(F.pmod(F.xxhash64("__file"), F.lit(share)) == 0)
+    common = np.zeros(CLASSES, dtype=np.int64)
+    for r in sample.mapInArrow(classes, "class long, n long").groupBy("class").agg(F.sum("n").alias("n")).collect():  # CLASSES rows at most
+        common[r["class"]] = r["n"]
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            picked = []
+            for text in _texts(batch):
+                runs = np.unique(np.concatenate(list(_runs(text, size))))
+                picked.append(runs[np.argmin(common[_places(runs, CLASSES)[0].astype(np.int64)])])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(picked, dtype=np.uint64).view(np.int64))], ["__name", "__run"])
+
+    keyed = wanted.mapInArrow(rarest, "__name string, __run long")
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = np.unique(np.concatenate(_places(batch.column(0).to_numpy().view(np.uint64), bits)))
+            yield pa.RecordBatch.from_arrays([pa.array((places >> np.uint64(3)).astype(np.int64)), pa.array((1 << (places & np.uint64(7)).astype(np.int64)))], ["byte", "bits"])
+
+    filled = np.zeros(bits >> 3, dtype=np.uint8)
+    for r in keyed.select("__run").mapInArrow(marks, "byte long, bits long").groupBy("byte").agg(F.bit_or("bits").alias("bits")).toArrow().to_pylist():  # MOST_BITS / 8 rows at most
+        filled[r["byte"]] = r["bits"]
+    shared = files.sparkSession.sparkContext.broadcast(filled)
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = shared.value
+        for batch in batches:
+            rows, hits = [], []
+            for k, text in enumerate(_texts(batch)):
+                for runs in _runs(text, size):
+                    one, two = _places(runs, bits)
+                    passed = runs[(held[one >> np.uint64(3)] >> (one & np.uint64(7)).astype(np.uint8) & 1).astype(bool)]
+                    two = _places(passed, bits)[1]
+                    passed = np.unique(passed[(held[two >> np.uint64(3)] >> (two & np.uint64(7)).astype(np.uint8) & 1).astype(bool)])
+                    rows += [k] * len(passed)
+                    hits.append(passed)
+            found_runs = np.concatenate(hits) if hits else np.empty(0, dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(found_runs.view(np.int64))], ["__file", "__run"])
+
+    met = texts.mapInArrow(probe, "__file string, __run long").join(keyed, "__run").where(F.contains("__file", "__name"))
+    held = met.select(F.xxhash64("__file").alias("__hash"), "__file").distinct()
+    return files.join(held, (F.xxhash64(file_col) == F.col("__hash")) & (F.col(file_col) == F.col("__file")), "left_semi" if found else "left_anti")
 
 
 def prefix_candidates(files: DataFrame, bases: DataFrame, stem: str, base: str, separator: str = "_") -> DataFrame:

@@ -211,9 +211,25 @@ def test_long_name_lists_go_by_equi_join(spark, monkeypatch):
     names = spark.createDataFrame([("0003",), ("0017_chip",), ("nothing",), (None,)], "name string")
     want = {3, 17}
     assert {r.id for r in matching.name_contains(files_, names, "name", "name").collect()} == want
-    monkeypatch.setattr(matching, "BROADCAST_BYTES", 0)
-    assert {r.id for r in matching.name_contains(files_, names, "name", "name").collect()} == want
     assert {r.id for r in matching.name_contains(files_, names, "name", "name", found=False).collect()} == {k for k in range(50)} - want | {98, 99}
+    # A filter that lets nearly everything pass, and chunks that cut names, change nothing.
+    monkeypatch.setattr(matching, "LEAST_BITS", 8)
+    monkeypatch.setattr(matching, "MOST_BITS", 8)
+    monkeypatch.setattr(matching, "_CHUNK", 5)
+    assert {r.id for r in matching.name_contains(files_, names, "name", "name").collect()} == want
+
+
+def test_contains_equals_brute_force(spark):
+    rng = random.Random(4)
+    texts = [(k, "".join(rng.choices("abé漢_", k=rng.randint(0, 60))) if k % 17 else None) for k in range(400)] + [(900, "ab" * 300_000 + "aé漢a")]
+    names = ["".join(rng.choices("abé漢_", k=rng.randint(3, 6))) for _ in range(40)] + ["aé漢a", "very long name that is nowhere"]
+    df = spark.createDataFrame(texts, "id long, name string")
+    want = {k for k, t in texts if t is not None and any(n in t for n in names)}
+    for some in (names, [*names, ""], []):
+        hit = want if some is names else {k for k, t in texts if t is not None} if some else set()
+        ns = spark.createDataFrame([(n,) for n in some], "name string")
+        assert {r.id for r in matching.name_contains(df, ns, "name", "name").collect()} == hit
+        assert {r.id for r in matching.name_contains(df, ns, "name", "name", found=False).collect()} == {k for k, _ in texts} - hit
 
 
 def test_dataset_tables_round_trip(spark, tmp_path):

@@ -39,7 +39,7 @@ def test_query_runs(name, spark, sf_dir):
     assert plans.QUERIES[name](spark, sf_dir).schema
 
 
-@pytest.mark.parametrize("name", ["observation_queue_day", "tip_footprint_join_grid", "elevation_visibility", "footprint_polygon_join", "prefix_candidates", "image_annotations_outer", "water_targets_topn"])
+@pytest.mark.parametrize("name", ["observation_queue_day", "tip_footprint_join_grid", "elevation_visibility", "footprint_polygon_join", "prefix_candidates", "image_annotations_outer", "water_targets_topn", "chip_semi_join", "chip_anti_join"])
 def test_no_cross_product(name, spark, sf_dir):
     plan = plans.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
