@@ -452,7 +452,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     blocks = max(1, -(-int(total) // BLOCK_BYTES))
     leaks = spark.createDataFrame([], MATCHES)
     for block in range(blocks):
-        index = _index(item_passages(benchmark.where(F.pmod(F.xxhash64(item_col), F.lit(blocks)) == block), item_col, item_text_col), texts)
+        index = _index(item_passages(benchmark.where(F.pmod(F.xxhash64(item_col, item_text_col), F.lit(blocks)) == block), item_col, item_text_col), texts)
         if index:
             leaks = leaks.unionByName(map_batches(rows, _search(index), MATCHES))
     best = F.max(F.struct("coverage", "answer", "cosine")).alias("best")

@@ -7,7 +7,7 @@ labelled documents: at most about ``PER_LANG`` of each language, chosen by a has
 that sample is kept back to fit the softmax temperature.
 
 Cases: a null text or one without a letter is ``und`` with score 0; so is every text if nothing is
-labelled; a null lang is never learned from; equal texts get equal predictions; repeated rows are
+labelled; a null lang is never learned from, nor is one that isn't among the ``MAX_LANGS`` with the most rows; equal texts get equal predictions; repeated rows are
 predicted alike; an empty table gives an empty result; columns ``lang_pred`` and ``score`` are replaced.
 """
 
@@ -29,13 +29,15 @@ DIM_BITS = 14
 DIM = 1 << DIM_BITS
 #: Bound of the training sample: documents of each language (the hash may bring a few per cent more).
 PER_LANG = 500
+#: Languages that are learned at most: those with the most rows, and of equal ones the first by name.
+MAX_LANGS = 100
 UNKNOWN = "und"
 
 
 @lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
-    """True for the code points of letters; those beyond the table are treated as letters."""
-    return np.array([chr(c).isalpha() for c in range(0x20000)] + [True])
+    """True for the code points of letters."""
+    return np.fromiter(map(str.isalpha, map(chr, range(0x110000))), dtype=bool, count=0x110000)
 
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -45,7 +47,7 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         return none, none
     table = _letters()
     code = np.frombuffer(text.lower().encode("utf-32-le", "replace"), dtype=np.uint32)
-    letter = table[np.minimum(code, len(table) - 1)]
+    letter = table[code]
     if not letter.any():
         return none, none
     c = np.full(len(code) + 2, 32, dtype=np.uint32)
@@ -150,7 +152,7 @@ def train(learn: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     for r in frequencies:
         df[r.feature] = r.df
     idf = np.log((1.0 + df[DIM]) / (1.0 + df[:DIM])) + 1.0
-    sizes = learn.groupBy("lang").count().collect()
+    sizes = learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
     if not sizes:
         return Model([], idf, np.zeros((DIM, 0)), np.zeros(0), 1.0)
     scale = 1 << 30

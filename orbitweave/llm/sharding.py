@@ -103,7 +103,7 @@ def assign_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", tex
     placed = (
         groups.join(starts, ["cls", "salt"])
         .withColumn("place", F.col("rank") + F.col("start"))
-        .join(quota, "cls")
+        .join(F.broadcast(quota), "cls")  # some rows for each size class, of which there are a bounded number
         .where((F.col("place") >= F.col("lo")) & (F.col("place") < F.col("hi")))
         .select("key", "rows", "shard")
     )

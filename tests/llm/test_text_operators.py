@@ -526,3 +526,29 @@ def test_edited_whole_licenses_and_three_foreign_words():
         for at in {1, len(t.words) // 2, len(t.words) - 1}:
             text = " ".join(t.words[:at] + rng.sample(filler, 3) + t.words[at:])
             assert t.name in {m[0] for m in licenses.scan_text(text)}, (t.name, at)
+
+
+def test_letters_beyond_the_second_plane_and_many_labels(spark, monkeypatch):
+    from orbitweave.llm import langid
+
+    flag = "\U0001f3f4\U000e0067\U000e0062\U000e0065\U000e006e\U000e0067\U000e007f"  # tags, no letters
+    assert not len(langid.features(flag)[0]) and len(langid.features("\U00020000\U00030000")[0])
+    rows = [(k, f"text of label {k % 40} words{k % 40}", f"l{k % 40:02d}") for k in range(200)] + [(1000 + k, "the common words of all", "aa") for k in range(30)]
+    monkeypatch.setattr(langid, "MAX_LANGS", 3)
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == ["aa", "l00", "l01"] and model.weights.shape[1] == 3
+    assert model.predict(flag) == (langid.UNKNOWN, 0.0)
+
+
+def test_items_without_an_id_are_dealt_over_blocks(spark, monkeypatch):
+    from orbitweave.llm import decontam
+
+    texts = [f"item number {k} " + " ".join(f"w{k}x{j}" for j in range(40)) for k in range(60)]
+    docs = spark.createDataFrame([(k, f"before {t} after") for k, t in enumerate(texts)], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(None, t) for t in texts], "item_id long, text string")
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 4000)
+    sizes = []
+    real = decontam._index
+    monkeypatch.setattr(decontam, "_index", lambda own, t: sizes.append(own.select("item_id", "hashes").distinct().count()) or real(own, t))
+    got = decontam.find_leaks(docs, benchmark).collect()
+    assert {r.doc_id for r in got} == set(range(60)) and len(sizes) > 2
