@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbitweave.functions import geo, orbit
@@ -324,7 +324,42 @@ LAND_POLYGON_SQL = f"""WITH {SATELLITES_SQL}, g AS (SELECT CAST(range // 360 AS
 o AS (SELECT "row", col, sat_lat, abs(col + 0.5 - 180 - sat_lon) AS apart FROM g, sats)
 SELECT DISTINCT "row", col FROM o WHERE abs(90 - ("row" + 0.5) - sat_lat) < 2.5 AND least(apart, 360 - apart) < 2.5"""
 
+
+#: Vertices of a ring, degrees of a cell, and degrees of a ring's mean radius; the hole has two fifths of it.
+VERTICES, FINE_DEG, RADIUS_DEG, HOLE = 10_000, 0.05, 2.0, 0.4
+
+
+def polygon_fill_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wavy rings of 10,000 vertices with a hole around suppliers, filled at a twentieth of a degree: cells by row."""
+
+    def ring(scale: float, order: Column) -> Column:
+        angle = lambda i: i * (2 * math.pi / VERTICES)
+        size = lambda i: scale * RADIUS_DEG * (1.0 + 0.25 * F.sin(5.0 * angle(i)))
+        return F.transform(order, lambda i: F.struct((F.col("sat_lat") + size(i) * F.sin(angle(i))).alias("lat"), (F.col("sat_lon") + size(i) * F.cos(angle(i))).alias("lon")))
+
+    outer, hole = ring(1.0, F.sequence(F.lit(0), F.lit(VERTICES - 1))), ring(HOLE, F.sequence(F.lit(VERTICES - 1), F.lit(0)))
+    runs = spatial.polygon_runs(satellites(spark, sf_dir).select("sat", F.array(outer, hole).alias("rings")), ["sat"], "rings", FINE_DEG)
+    return runs.groupBy("sat", "row").agg(F.sum(F.col("last_col") - F.col("first_col") + 1).alias("cells"), F.min("first_col").alias("west"), F.max("last_col").alias("east"))
+
+
+def _wedge(scale: float) -> str:
+    """Whether a cell lies in a ring seen from its centre: on the inner side of the edge in its direction."""
+    step = f"(2 * pi() / {VERTICES})"
+    size = lambda k: f"({scale * RADIUS_DEG}::DOUBLE * (1 + 0.25::DOUBLE * sin(5 * ({k}) * {step})))"
+    x = lambda k: f"({size(k)} * cos(({k}) * {step}))"
+    y = lambda k: f"({size(k)} * sin(({k}) * {step}))"
+    return f"(({x('w + 1')} - {x('w')}) * (dy - {y('w')}) - ({y('w + 1')} - {y('w')}) * (dx - {x('w')}) > 0)"
+
+
+FILL_SQL = f"""WITH {SATELLITES_SQL},
+r AS (SELECT sat, sat_lat, sat_lon, unnest(range(CAST(floor((90 - sat_lat - {1.3 * RADIUS_DEG}) / {FINE_DEG}) AS BIGINT), CAST(ceil((90 - sat_lat + {1.3 * RADIUS_DEG}) / {FINE_DEG}) AS BIGINT))) AS r FROM sats),
+c AS (SELECT *, unnest(range(CAST(floor((sat_lon + 180 - {1.3 * RADIUS_DEG}) / {FINE_DEG}) AS BIGINT), CAST(ceil((sat_lon + 180 + {1.3 * RADIUS_DEG}) / {FINE_DEG}) AS BIGINT))) AS c FROM r WHERE r BETWEEN 0 AND {round(180 / FINE_DEG) - 1}),
+d AS (SELECT *, 90 - (r + 0.5::DOUBLE) * {FINE_DEG}::DOUBLE - sat_lat AS dy, (c + 0.5::DOUBLE) * {FINE_DEG}::DOUBLE - 180 - sat_lon AS dx FROM c),
+e AS (SELECT *, floor((CASE WHEN dy < 0 THEN atan2(dy, dx) + 2 * pi() ELSE atan2(dy, dx) END) / (2 * pi() / {VERTICES})) AS w FROM d)
+SELECT sat, CAST(r AS INTEGER) AS "row", CAST(count(*) AS BIGINT) AS cells, CAST(min(c) AS INTEGER) AS west, CAST(max(c) AS INTEGER) AS east FROM e WHERE {_wedge(1.0)} AND NOT {_wedge(HOLE)} GROUP BY sat, r"""
+
 QUERIES = {
+    "polygon_fill_rows": (polygon_fill_rows, FILL_SQL),
     "target_positions": (target_positions, TARGET_SQL),
     "target_step_geodesic": (target_step_geodesic, STEP_SQL),
     "water_targets_topn": (water_targets_topn, WATER_SQL),

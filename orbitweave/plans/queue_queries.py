@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbitweave.operators import matching, queue
+from orbitweave.functions import vectors as V
+from orbitweave.operators import attitude, matching, queue
 from orbitweave.plans.tables import EVENTS_SQL, events, table
 from orbitweave.sources.scratch import fresh_path
 from orbitweave.streaming import queue as streams
@@ -114,6 +115,26 @@ p AS (SELECT *, coalesce(lag(value) OVER (PARTITION BY day, user_id ORDER BY t,
 SELECT event_id, user_id, CAST(day AS BIGINT) AS day, round(before, 6) AS before, round(value - before, 6) AS turned FROM p"""
 
 
+#: Rows of a range, few so that the groups of small tables are cut as well.
+TURNS_PER_RANGE = 1_000
+
+
+def carried_attitudes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The attitude after each event, where each kind of event turns one instrument on from its last attitude: about the axis that the user tells, by the value."""
+    axis = F.when(F.col("user_id") % 3 == 0, V.vec(1.0, 0.0, 0.0)).when(F.col("user_id") % 3 == 1, V.vec(0.0, 1.0, 0.0)).otherwise(V.vec(0.0, 0.0, 1.0))
+    rows = events(spark, sf_dir).select("event_id", "event_type", "t", attitude.turn(axis, F.coalesce("value", F.lit(0.0))).alias("turn"))
+    turned = attitude.carried(rows, ["event_type"], ["t", "event_id"], "turn", rows_per_range=TURNS_PER_RANGE)
+    return turned.select("event_id", *((F.round(f"after.{c}", 6) + 0.0).alias(c) for c in "wxyz"), (F.round("before.w", 6) + 0.0).alias("before_w"))
+
+
+CARRIED_SQL = f"""WITH RECURSIVE {EVENTS_SQL},
+r AS MATERIALIZED (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY t, event_id) AS k, cos(radians(coalesce(value, 0)) / 2) AS a, CASE WHEN user_id % 3 = 0 THEN sin(radians(coalesce(value, 0)) / 2) ELSE 0 END AS b,
+ CASE WHEN user_id % 3 = 1 THEN sin(radians(coalesce(value, 0)) / 2) ELSE 0 END AS c, CASE WHEN user_id % 3 = 2 THEN sin(radians(coalesce(value, 0)) / 2) ELSE 0 END AS d FROM ev),
+f AS (SELECT event_type, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS event_id, 1.0::DOUBLE AS w, 0.0::DOUBLE AS x, 0.0::DOUBLE AS y, 0.0::DOUBLE AS z, 1.0::DOUBLE AS before_w FROM (SELECT DISTINCT event_type FROM r)
+ UNION ALL SELECT f.event_type, r.k, r.event_id, w * a - x * b - y * c - z * d, w * b + x * a + y * d - z * c, w * c - x * d + y * a + z * b, w * d + x * c - y * b + z * a, w FROM f JOIN r ON r.event_type = f.event_type AND r.k = f.k + 1)
+SELECT event_id, round(w, 6) + 0 AS w, round(x, 6) + 0 AS x, round(y, 6) + 0 AS y, round(z, 6) + 0 AS z, round(before_w, 6) + 0 AS before_w FROM f WHERE k > 0"""
+
+
 def detections_by_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tumbling windows of 50 seconds."""
     ev = table(spark, sf_dir, "events").where("event_type = 'view'")
@@ -138,6 +159,7 @@ QUERIES = {
     "pending_backlog_by_tick": (pending_backlog_by_tick, PENDING_SQL),
     "detections_per_tick": (detections_per_tick, ZEROS_SQL),
     "last_log_row_per_tick": (last_log_row_per_tick, LAST_ROW_SQL),
+    "carried_attitudes": (carried_attitudes, CARRIED_SQL),
     "attitude_carryover": (attitude_carryover, CARRY_SQL),
     "detections_by_window": (detections_by_window, WINDOW_SQL),
 }
