@@ -58,6 +58,15 @@ def faces(spark: SparkSession, height: int, width: int) -> DataFrame:
     return spark.range(cells).select(F.explode(F.array(tri(0, p, r, q), tri(1, q, r, s))).alias("t")).select("t.*")
 
 
+def faces_of(vertices: DataFrame, width: int) -> DataFrame:
+    """``face, a, b, c``: two triangles for each cell that begins at a vertex ``id, i, j`` of a grid with rows of ``width``.
+
+    Ids rise by one along a row and by ``width`` from row to row; whether the other corners are there isn't asked."""
+    at = lambda k: F.col("id") + k
+    tri = lambda n, a, b, c: F.struct((F.col("id") * 2 + n).alias("face"), at(a).alias("a"), at(b).alias("b"), at(c).alias("c"))
+    return vertices.where(F.col("j") < width - 1).select(F.explode(F.array(tri(0, 0, width, 1), tri(1, 1, width, width + 1))).alias("t")).select("t.*")
+
+
 def texture(i: Column, j: Column, height: int, width: int) -> Column:
     """``STRUCT<u, v>`` in [0, 1], v upwards."""
     return F.struct((j / float(max(1, width - 1))).alias("u"), (1.0 - i / float(max(1, height - 1))).alias("v"))
