@@ -154,6 +154,21 @@ a AS (SELECT *, atan2(e, n) AS az FROM l)
 SELECT whale_id, round(acos(u / sqrt(e * e + n * n + u * u)), 6) AS off_nadir_rad, round(CASE WHEN az < 0 THEN az + 2 * pi() ELSE az END, 6) AS azimuth_rad FROM a"""
 
 
+def scene_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole view of a target: field of view of 124 pixels of half a metre, zenith angle, azimuth, height above the horizon's plane, light."""
+    p = _sun(spark, sf_dir).withColumn("v", geo.scene(F.col("sr"), F.col("tr"), F.col("sun"), 124, 0.5))
+    local = F.col("v.satellite")
+    return p.select("whale_id", F.round(F.col("v.fov_deg") * 1000.0, 6).alias("fov_mdeg"), r6(F.col("v.off_nadir_rad"), "off_nadir_rad"), r6(F.col("v.azimuth_rad"), "azimuth_rad"), F.round(local["z"], 1).alias("up_m"), F.round(V.norm(F.col("v.sun_direction")), 6).alias("light"))
+
+
+SCENE_SQL = f"""WITH {TARGETS_SQL}, {_PAIR}, d AS (SELECT *, sx - tx AS dx, sy - ty AS dy, sz - tz AS dz FROM p),
+l AS (SELECT whale_id, -sin(radians(lon)) * dx + cos(radians(lon)) * dy AS e, -sin(radians(lat)) * cos(radians(lon)) * dx - sin(radians(lat)) * sin(radians(lon)) * dy + cos(radians(lat)) * dz AS n,
+ cos(radians(lat)) * cos(radians(lon)) * dx + cos(radians(lat)) * sin(radians(lon)) * dy + sin(radians(lat)) * dz AS u FROM d),
+a AS (SELECT *, atan2(e, n) AS az FROM l)
+SELECT whale_id, round(2000 * degrees(atan2(31.0::DOUBLE, 786000.0::DOUBLE)), 6) AS fov_mdeg, round(acos(u / sqrt(e * e + n * n + u * u)), 6) AS off_nadir_rad, round(CASE WHEN az < 0 THEN az + 2 * pi() ELSE az END, 6) AS azimuth_rad,
+ round(u, 1) AS up_m, round(1.0::DOUBLE, 6) AS light FROM a"""
+
+
 def geodetic_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = _paired(spark, sf_dir).withColumn("g", geo.geodetic(F.col("sr")))
     return g.select("whale_id", r6(F.col("g.lat"), "lat"), r6(geo.wrap_lon(F.col("g.lon")), "lon"), F.round("g.alt", 1).alias("alt"))
@@ -218,10 +233,10 @@ def satellite_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _A, _E = "7157000.0::DOUBLE", "0.0003907::DOUBLE"
-_NEWTON = ", ".join(f"x{k + 1} AS (SELECT *, u{k} - (u{k} - {_E} * sin(u{k}) - mean) / (1 - {_E} * cos(u{k})) AS u{k + 1} FROM x{k})" for k in range(orbit.NEWTON_STEPS))
+_NEWTON = ", ".join(f"x{k + 1} AS (SELECT *, u{k} - (u{k} - {_E} * sin(u{k}) - mean) / (1 - {_E} * cos(u{k})) AS u{k + 1} FROM x{k})" for k in range(8))
 #: 73 steps of 50 s of the satellites ``actor, role, m`` of a table ``crew``, inertial.
-_ORBITS = f"""o AS (SELECT sqrt({orbit.MU}::DOUBLE / ({_A} * {_A} * {_A})) AS n, radians(97.8748::DOUBLE) AS inc),
-r AS (SELECT *, 1.5::DOUBLE * {orbit.J2}::DOUBLE * pow({orbit.R_EQUATOR}::DOUBLE / ({_A} * (1 - {_E} * {_E})), 2) * n AS rate FROM o),
+_ORBITS = f"""o AS (SELECT sqrt(398600441800000.0::DOUBLE / ({_A} * {_A} * {_A})) AS n, radians(97.8748::DOUBLE) AS inc),
+r AS (SELECT *, 1.5::DOUBLE * 0.00108262668::DOUBLE * pow(6378137.0::DOUBLE / ({_A} * (1 - {_E} * {_E})), 2) * n AS rate FROM o),
 k AS (SELECT CAST(i.range AS INTEGER) AS step, i.range * 50.0::DOUBLE AS t, crew.*, r.* FROM range(73) i, crew, r),
 d AS (SELECT *, radians(297.6688::DOUBLE) - rate * cos(inc) * t AS node, radians(231.9817::DOUBLE) + rate * (2 - 2.5::DOUBLE * pow(sin(inc), 2)) * t AS perigee,
  radians(m - 360 * floor(m / 360)) + (n + rate * sqrt(1 - {_E} * {_E}) * (1 - 1.5::DOUBLE * pow(sin(inc), 2))) * t AS total FROM k),
@@ -295,7 +310,7 @@ def detect_then_task(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.select("whale_id", "actor", (F.col("detected_us") / 1_000_000).cast("long").alias("detected_s"), (F.col("t") / 1_000_000).cast("long").alias("seen_s"))
 
 
-_CUES = [f"('Cue_plane0_sat{k}', 'cue', {218.1045 + 180 * k - orbit.anomaly_lag_deg(300.0, 786_000.0 + R_M)!r}::DOUBLE)" for k in range(2)]
+_CUES = [f"('Cue_plane0_sat{k}', 'cue', {218.1045 + 180 * k}::DOUBLE - 17.923228813816724::DOUBLE)" for k in range(2)]
 _THETA = "(2 * pi() * (0.7790572732640::DOUBLE + 1.00273781191135448::DOUBLE * days))"
 _BOWRING = lambda beta: f"atan2(ez + {(geo.WGS84_A**2 - geo.WGS84_B**2) / geo.WGS84_B!r}::DOUBLE * pow(sin({beta}), 3), ep - {geo.WGS84_E2 * geo.WGS84_A!r}::DOUBLE * pow(cos({beta}), 3))"
 _UP = f"(tx / {geo.WGS84_A**2!r}::DOUBLE), (ty / {geo.WGS84_A**2!r}::DOUBLE), (tz / {geo.WGS84_B**2!r}::DOUBLE)".split(", ")
@@ -369,6 +384,7 @@ QUERIES = {
     "footprint_polygon_join": (footprint_polygon_join, POLYGON_SQL),
     "elevation_visibility": (elevation_visibility, VISIBLE_SQL),
     "off_nadir_azimuth": (off_nadir_azimuth, AZIMUTH_SQL),
+    "scene_views": (scene_views, SCENE_SQL),
     "geodetic_round_trip": (geodetic_round_trip, ROUND_SQL),
     "pitch_roll_tilt": (pitch_roll_tilt, TILT_SQL),
     "glint_geometry": (glint_geometry, GLINT_SQL),
