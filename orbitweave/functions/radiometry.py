@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 # WorldView-3 calibration, and its band responses by wavelength in nm.
 ABS_CAL_FACTOR = 9.295654e-3
 BANDS = [("WV3", "red", 0.945, -1.350, 5.85e-2), ("WV3", "green", 0.907, -3.287, 6.18e-2), ("WV3", "blue", 0.905, -4.189, 5.40e-2)]
-PLANCK, LIGHT, BOLTZMANN = 6.62607015e-34, 299_792_458.0, 1.380649e-23
+PLANCK, LIGHT = 6.62607015e-34, 299_792_458.0
 GAMMA = 2.2
 WATER_INDEX, AIR_INDEX = 1.3330, 1.000277
 
@@ -107,9 +107,3 @@ def glint_reflectance(sun_zenith: Column, view_zenith: Column, relative_azimuth:
     tan2 = 1.0 / (cos_tilt * cos_tilt) - 1.0
     density = F.exp(-tan2 / variance) / (math.pi * variance)
     return math.pi * density * fresnel_water(cos_w) / (4.0 * F.cos(view_zenith) * F.pow(cos_tilt, 4.0))
-
-
-def black_body(wl_nm: Column, kelvin: float = 5772.0) -> Column:
-    """Planck spectral radiance per nm, a stand-in where no measured spectrum is given."""
-    metres = wl_nm * 1e-9
-    return 2.0 * PLANCK * LIGHT**2 / F.pow(metres, 5.0) / (F.exp(PLANCK * LIGHT / (BOLTZMANN * kelvin) / metres) - 1.0) * 1e-9

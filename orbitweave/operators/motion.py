@@ -61,10 +61,6 @@ def next_speed(speed: Column, dt: float, gauss: Column, walk: Walk = Walk()) ->
     return F.greatest(F.lit(walk.low), F.least(F.lit(walk.high), moved))
 
 
-def next_heading(heading: Column, dt: float, gauss: Column, walk: Walk = Walk()) -> Column:
-    return F.pmod(heading + gauss * walk.turn * math.sqrt(dt), F.lit(360.0))
-
-
 def bounced_step(lat: Column, lon: Column, heading: Column, distance: Column, max_lat: float) -> Column:
     """``STRUCT<heading, lat, lon>``: a step, turned round once if it would leave the latitude band (not tested again)."""
     ahead, back = geo.geodesic_step(lat, lon, heading, distance), F.pmod(heading + 180.0, F.lit(360.0))

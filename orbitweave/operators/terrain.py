@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbitweave.functions import noise
-
 
 def centred(index: Column, n: int, extent: float) -> Column:
     """The n points of a line from -extent/2 to extent/2."""
@@ -21,13 +17,6 @@ def grid(spark: SparkSession, height: int, width: int, gsd: float) -> DataFrame:
     return spark.range(height * width).select(i.alias("i"), j.alias("j"), centred(j, width, width * gsd).alias("x"), centred(i, height, height * gsd).alias("y"))
 
 
-def waves(spark: SparkSession, n: int, seed: int, amplitude: tuple[float, float] = (0.05, 0.5), length: tuple[float, float] = (5.0, 50.0)) -> DataFrame:
-    """``wave, amplitude, kx, ky, phase`` of n random sinusoids."""
-    u = lambda what, lo, hi: lo + (hi - lo) * noise.uniform(seed, F.col("id"), what)
-    direction, k = u("direction", 0.0, 2.0 * math.pi), 2.0 * math.pi / u("length", *length)
-    return spark.range(n).select(F.col("id").alias("wave"), u("amplitude", *amplitude).alias("amplitude"), (k * F.cos(direction)).alias("kx"), (k * F.sin(direction)).alias("ky"), u("phase", 0.0, 2.0 * math.pi).alias("phase"))
-
-
 def wave_field(points: DataFrame, sinusoids: DataFrame, low: float, high: float) -> DataFrame:
     """Adds ``z``: the sum of the sinusoids, stretched from its least and greatest value to [low, high].
 

@@ -125,9 +125,21 @@ def parse_polygons(rows: DataFrame, wkt: str, out: str = "ring") -> DataFrame:
     return rows.withColumn(out, F.when(inner != "", F.transform(F.split(inner, ","), point)))
 
 
+def parse_rings(rows: DataFrame, wkt: str, out: str = "rings") -> DataFrame:
+    """Adds all rings of a WKT polygon or multipolygon, holes too, as ``ARRAY<ARRAY<STRUCT<lat, lon>>>``; null for other text.
+
+    By the even-odd rule holes need no mark; a ring's last point, which repeats its first, is dropped."""
+    number = lambda p, k: F.get(F.split(F.trim(p), r"\s+"), k).try_cast("double")
+    point = lambda p: F.struct(number(p, 1).alias("lat"), number(p, 0).alias("lon"))
+    ring = lambda text: F.transform(F.split(text, ","), point)
+    open_ = lambda r: F.when(F.get(r, F.lit(0)).eqNullSafe(F.element_at(r, -1)) & (F.size(r) > 1), F.slice(r, F.lit(1), F.size(r) - 1)).otherwise(r)
+    texts = F.regexp_extract_all(F.col(wkt), F.lit(r"\(([^()]+)\)"), F.lit(1))
+    return rows.withColumn(out, F.when(F.rlike(wkt, F.lit(r"(?i)^\s*(MULTI)?POLYGON\s*\(")), F.transform(texts, lambda t: open_(ring(t)))))
+
+
 def read_polygons(spark: SparkSession, path: str) -> DataFrame:
-    """Polygons of a table with a ``wkt`` column (for layers exported from shape files)."""
-    return parse_polygons(spark.read.parquet(path), "wkt")
+    """Polygons of a table with a ``wkt`` column (for layers exported from shape files), with their ``rings``."""
+    return parse_rings(spark.read.parquet(path), "wkt")
 
 
 def land_cells(spark: SparkSession, path: str) -> DataFrame:
@@ -136,14 +148,12 @@ def land_cells(spark: SparkSession, path: str) -> DataFrame:
 
 
 def cached_table(spark: SparkSession, path: str, build) -> DataFrame:
-    """The table at ``path``; built and written first if it isn't there."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
+    """The table at ``path``; built and written first if nothing has been written there to the end."""
+    jvm = spark.sparkContext._jvm
+    done = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
         build().write.mode("errorifexists").parquet(path)
-        return spark.read.parquet(path)
+    return spark.read.parquet(path)
 
 
 def read_cue_log(spark: SparkSession, path: str) -> DataFrame:
