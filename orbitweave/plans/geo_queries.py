@@ -12,6 +12,7 @@ from orbitweave.functions import vectors as V
 from orbitweave.functions.noise import lcg
 from orbitweave.operators import motion, spatial
 from orbitweave.plans.tables import LAND_RES, LAND_SQL, SATELLITES_SQL, TARGETS_SQL, land, lcg_sql, satellites, table, targets
+from orbitweave.sources.scratch import fresh_path
 
 R_M, SWATH_M, ALTITUDE_M, DT_S = 6371000.0, 2_000_000.0, 786_000.0, 3600.0
 WHEN = "2025-08-12 12:00:00"
@@ -301,7 +302,9 @@ def detect_then_task(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = steps.crossJoin(F.broadcast(sats)).withColumn("s", orbit.state(*(F.col(c) for c in ("a", "e", "i", "raan", "argp", "m")), F.col("seconds").cast("double")))
     s = s.withColumn("fixed", orbit.earth_fixed(F.col("s.r"), start + F.col("seconds") / 86_400.0)).withColumn("g", geo.geodetic(F.col("fixed")))
     s = s.select("step", "seconds", "actor", "role", "fixed", F.col("g.lat").alias("sat_lat"), F.col("g.lon").alias("sat_lon"))
-    moved = motion.walk_targets(_walkers(spark, sf_dir), land(spark), LAND_RES, 73, 50.0, 42).select("whale_id", "step", "lat", "lon")
+    walk = fresh_path(spark, "walk")  # written once: two joins read it
+    motion.walk_targets(_walkers(spark, sf_dir), land(spark), LAND_RES, 73, 50.0, 42).select("whale_id", "step", "lat", "lon").write.parquet(walk)
+    moved = spark.read.schema("whale_id long, step int, lat double, lon double").parquet(walk)
     tips = spatial.within_distance(moved, s.where("role = 'tip'"), ("lat", "lon"), ("sat_lat", "sat_lon"), 145_000.0, 4.0, ["step"])
     cues = spatial.within_distance(moved, s.where("role = 'cue'"), ("lat", "lon"), ("sat_lat", "sat_lon"), 2_200_000.0, 8.0, ["step"])
     cues = cues.where(geo.in_sight(geo.ecef(F.col("lat"), F.col("lon"), F.lit(0.0)), F.col("fixed")))

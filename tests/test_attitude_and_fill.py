@@ -104,3 +104,18 @@ def test_similarity_bound_is_never_below(spark):
     m = lambda c: imaging.window_moments(F.col(c), 5, 3)
     for r in df.select(imaging.similarity_bound(m("a"), m("b"), 255.0).alias("most"), imaging.windowed_similarity(F.col("a"), F.col("b"), m("a"), m("b"), 5, 3, 255.0).alias("s")).collect():
         assert r.most >= r.s - imaging.SLACK
+
+
+def test_points_of_a_dense_cell_are_dealt_over_parts(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = [(k, float(rng.uniform(10, 10.9)), float(rng.uniform(20, 20.9))) for k in range(3000)] + [(5000 + k, float(rng.uniform(-80, 80)), float(rng.uniform(-180, 180))) for k in range(300)]
+    points = spark.createDataFrame(rows, "id long, lat double, lon double")
+    centres = spark.createDataFrame([(k, float(rng.uniform(9, 12)), float(rng.uniform(19, 22))) for k in range(15)], "c long, clat double, clon double")
+    near = lambda: spatial.within_distance(points, centres, ("lat", "lon"), ("clat", "clon"), 60_000.0, 1.0)
+    want = sorted((r.id, r.c) for r in near().collect())
+    monkeypatch.setattr(spatial, "DENSE_POINTS", 100)
+    assert sorted((r.id, r.c) for r in near().collect()) == want and len(want) > 1000
+    cell = points.select("*", F.floor("lat").alias("r"), F.floor("lon").alias("q"))
+    placed, listed = spatial._dealt(cell, centres.select("c", F.lit(10).cast("long").alias("r"), F.lit(20).cast("long").alias("q")), ["r", "q"])
+    assert max(r["count"] for r in placed.groupBy("r", "q", "__part").count().collect()) < 160  # 30 parts of 100 on average
+    assert listed.count() == 15 * 30 and placed.count() == len(rows)
