@@ -67,15 +67,29 @@ def angle(a: Column, b: Column) -> Column:
 
 def rotate_about(v: Column, axis: Column, radians: Column) -> Column:
     """Rodrigues: v turned about a unit axis."""
-    c, s = F.cos(radians), F.sin(radians)
-    return add(add(scale(v, c), scale(cross(axis, v), s)), scale(axis, dot(axis, v) * (1.0 - c)))
+
+    def turned(q: Column) -> Column:
+        p, k, c, s = q["v"], q["k"], q["c"], q["s"]
+        along = dot(k, p) * (1.0 - c)
+        crossed = lambda i, j: k[i] * p[j] - k[j] * p[i]
+        return vec(*(p[x] * c + crossed(i, j) * s + k[x] * along for x, i, j in ("xyz", "yzx", "zxy")))
+
+    return let(F.struct(v.alias("v"), axis.alias("k"), F.cos(radians).alias("c"), F.sin(radians).alias("s")), turned)
 
 
 def align(v: Column, source: Column, target: Column) -> Column:
     """v under the least rotation that takes direction ``source`` to ``target``; v itself if they are aligned."""
-    axis = cross(normalize(source), normalize(target))
-    n = norm(axis)
-    return F.when(n < ALIGNED, v).otherwise(rotate_about(v, scale(axis, 1.0 / F.nullif(n, F.lit(0.0))), angle(source, target)))
+
+    def measured(q: Column) -> Column:
+        axis = cross(normalize(q["a"]), normalize(q["b"]))
+        return let(F.struct(q["v"].alias("v"), axis.alias("k"), angle(q["a"], q["b"]).alias("turn")), lambda w: F.struct(w.alias("w"), norm(w["k"]).alias("n")))
+
+    def turned(q: Column) -> Column:
+        w = q["w"]
+        return F.when(q["n"] < ALIGNED, w["v"]).otherwise(rotate_about(w["v"], scale(w["k"], 1.0 / F.nullif(q["n"], F.lit(0.0))), w["turn"]))
+
+    # Each part is bound once: written out, the axis would stand in the tree some thousand times.
+    return let(let(F.struct(v.alias("v"), source.alias("a"), target.alias("b")), measured), turned)
 
 
 def plane_normal(a: Column, b: Column) -> Column:
@@ -84,5 +98,5 @@ def plane_normal(a: Column, b: Column) -> Column:
 
 
 def rotate_z(v: Column, radians: Column) -> Column:
-    c, s = F.cos(radians), F.sin(radians)
-    return vec(c * v["x"] - s * v["y"], s * v["x"] + c * v["y"], v["z"])
+    parts = F.struct(v.alias("v"), F.cos(radians).alias("c"), F.sin(radians).alias("s"))
+    return let(parts, lambda q: vec(q["c"] * q["v"]["x"] - q["s"] * q["v"]["y"], q["s"] * q["v"]["x"] + q["c"] * q["v"]["y"], q["v"]["z"]))
