@@ -123,20 +123,23 @@ def ground_hit(r: Column, direction: Column) -> Column:
     return V.let(F.struct(r.alias("r"), direction.alias("d")), meet)
 
 
+def _on_ground(hit: Column, days: Column) -> Column:
+    """Geodetic place of a hit, or null; the ray is followed once."""
+    return V.let(hit, lambda h: F.when(h.isNotNull(), geo.geodetic(earth_fixed(h, days))))
+
+
 def footprint(r: Column, v: Column, days: Column, fov_deg: float, yaw=0.0, pitch=0.0, roll=0.0) -> Column:
     """Corners of the square field of view on the ground, ``ARRAY<STRUCT<lat, lon, alt>>``; a corner off the Earth is null."""
     yaw, pitch, roll = (c if isinstance(c, Column) else F.lit(float(c)) for c in (yaw, pitch, roll))
     t = math.tan(math.radians(fov_deg / 2.0))
     corners = [(t, -t), (t, t), (-t, t), (-t, -t)]
-    hits = [ground_hit(r, pointing(r, v, yaw, pitch, roll, f, s)) for f, s in corners]
-    return F.array(*(F.when(h.isNotNull(), geo.geodetic(earth_fixed(h, days))) for h in hits))
+    return F.array(*(_on_ground(ground_hit(r, pointing(r, v, yaw, pitch, roll, f, s)), days) for f, s in corners))
 
 
 def boresight(r: Column, v: Column, days: Column, yaw=0.0, pitch=0.0, roll=0.0) -> Column:
     """``STRUCT<lat, lon, alt>`` that the centre ray meets, or null."""
     yaw, pitch, roll = (c if isinstance(c, Column) else F.lit(float(c)) for c in (yaw, pitch, roll))
-    hit = ground_hit(r, pointing(r, v, yaw, pitch, roll))
-    return F.when(hit.isNotNull(), geo.geodetic(earth_fixed(hit, days)))
+    return _on_ground(ground_hit(r, pointing(r, v, yaw, pitch, roll)), days)
 
 
 def look_attitude(r: Column, v: Column, target: Column) -> Column:

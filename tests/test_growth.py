@@ -20,3 +20,10 @@ def test_a_rotation_holds_its_parts_once(spark):
 
 def test_targets_and_satellites_of_one_file_are_many_tasks(spark, sf_dir):
     assert tables.targets(spark, sf_dir).rdd.getNumPartitions() >= 4 and tables.satellites(spark, sf_dir).rdd.getNumPartitions() >= 4
+
+
+def test_a_ray_is_followed_once(spark):
+    from orbitweave.functions import orbit
+
+    r, v = (F.struct(*(F.col(f"{c}{k}").alias(k) for k in "xyz")) for c in "rv")
+    assert _size(orbit.boresight(r, v, F.col("days"))) < 1.5 * _size(orbit.ground_hit(r, orbit.pointing(r, v, F.lit(0.0), F.lit(0.0), F.lit(0.0)))) + 8_000
