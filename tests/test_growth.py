@@ -27,3 +27,33 @@ def test_a_ray_is_followed_once(spark):
 
     r, v = (F.struct(*(F.col(f"{c}{k}").alias(k) for k in "xyz")) for c in "rv")
     assert _size(orbit.boresight(r, v, F.col("days"))) < 1.5 * _size(orbit.ground_hit(r, orbit.pointing(r, v, F.lit(0.0), F.lit(0.0), F.lit(0.0)))) + 8_000
+
+
+def test_many_pairs_are_many_tasks_of_plain_tests(spark, monkeypatch):
+    """Footprints of four corners, across the date line and round the pole: no loop over the ring in the join, and its own number of tasks."""
+    from orbitweave.functions import geo
+    from orbitweave.operators import spatial
+
+    points = spark.range(4000).select("id", (F.col("id") * 0.618 % 178 - 89).alias("lat"), (F.col("id") * 7.31 % 360 - 180).alias("lon"))
+    corner = lambda d: geo.geodesic_step(F.col("clat"), F.col("clon"), F.lit(d), F.lit(1_500_000.0))
+    centres = spark.createDataFrame([(0, 85.0, 10.0), (1, -86.0, -179.0), (2, 5.0, 179.5), (3, 40.0, -100.0), (4, -30.0, -179.9)], "c int, clat double, clon double")
+    corners = [corner(d) for d in (0.0, 90.0, 180.0, 270.0)]
+    rings = centres.withColumn("ring", F.when(F.col("c") == 3, F.array(*corners[:3])).otherwise(F.array(*corners)))
+    rings = rings.unionByName(spark.sql("SELECT 9 AS c, 0D AS clat, 0D AS clon, CAST(array(named_struct('lat', 0D, 'lon', 0D)) AS ARRAY<STRUCT<lat: DOUBLE, lon: DOUBLE>>) AS ring"))
+    join = lambda: spatial.in_footprint(points, rings, ("lat", "lon"), "ring", 1_500_001.0, ("clat", "clon"), 5.0)
+    plain = points.crossJoin(rings).where(geo.point_in_polygon(F.col("lat"), F.col("lon"), F.col("ring"))).where(geo.central_angle(F.col("lat"), F.col("lon"), F.col("clat"), F.col("clon")) * geo.EARTH_RADIUS_M <= 1_500_001.0)
+    want = sorted((r.id, r.c) for r in plain.collect())
+    monkeypatch.setattr(spatial, "FEW_LISTED", 1)
+    monkeypatch.setattr(spatial, "DENSE_PAIRS", 50)
+    got = join()
+    assert sorted((r.id, r.c) for r in got.collect()) == want and len({c for _, c in want}) == 5
+    assert got.rdd.getNumPartitions() >= 4 * spatial.TASKS_PER_CORE
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in plan.split("Join")[0]
+
+
+def test_the_join_in_sql_tests_edges_and_not_rings(spark, sf_dir):
+    from orbitweave.plans import derived_queries
+
+    plan = derived_queries.fov_join_in_sql(spark, sf_dir)
+    assert "aggregate(" not in plan._jdf.queryExecution().optimizedPlan().toString() and "SortMergeJoin" in plan._jdf.queryExecution().executedPlan().toString()
