@@ -57,3 +57,23 @@ def test_the_join_in_sql_tests_edges_and_not_rings(spark, sf_dir):
 
     plan = derived_queries.fov_join_in_sql(spark, sf_dir)
     assert "aggregate(" not in plan._jdf.queryExecution().optimizedPlan().toString() and "SortMergeJoin" in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_best_matches_of_copies_and_blocks_are_the_least_keys(spark):
+    """Copies tie exactly, whatever block they are in; a null label meets nobody, a null vector is matched last."""
+    from orbitweave.operators import matching
+
+    rows = [(k, [float((k % 40 + 3) ** (j + 1) % 101 + 1) for j in range(8)], k % 2) for k in range(400)] + [(900, [1.0] * 8, None), (901, None, 1)]
+    df = spark.createDataFrame(rows, "id long, v array<float>, g int")
+    want = {q: min(k for k, c, h in rows if h == g and k != q and c is not None and k % 40 == q % 40) for q, v, g in rows if q % 20 == 0 and g is not None}
+    for block in (8192, 30):
+        got = matching.best_match(df.where("id % 20 = 0"), df, "id", "v", "g", block_rows=block, block_queries=block)
+        assert {r.query: r.match for r in got.collect()} == want
+        assert "aggregate(" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_edges_of_a_large_polygon_need_no_array(spark):
+    from orbitweave.operators import spatial
+
+    edges = spark.sql("SELECT 1 AS id, a_lat, a_lon, b_lat, b_lon FROM VALUES (0D, 0D, 3D, 0D), (3D, 0D, 3D, 4D), (3D, 4D, 0D, 4D), (0D, 4D, 0D, 0D) AS t(a_lat, a_lon, b_lat, b_lon)")
+    assert sorted(tuple(r) for r in spatial.edge_runs(edges, ["id"], 1.0).collect()) == [(1, r, 180, 183) for r in (87, 88, 89)]
