@@ -6,11 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from orbitweave.functions import radiometry as R
-from orbitweave.operators.matching import best_by
+from orbitweave.operators.matching import best_by, in_blocks, vectors_of
 
 
 def pixels(images: DataFrame, image: str, values: str, width: int) -> DataFrame:
@@ -176,32 +178,70 @@ def similarity_bound(ma: Column, mb: Column, span: float) -> Column:
 SLACK = 1e-9
 
 
-def best_windowed_match(queries: DataFrame, candidates: DataFrame, key: str, values: str, side: int, window: int = 7, span: float = 255.0, block_rows: int = 50_000) -> DataFrame:
+#: Pairs that are scored at once: some arrays of them stay in a core's cache.
+PAIRS_AT_ONCE = 1 << 16
+
+
+def _best_of_block(kind: pa.DataType, side: int, window: int, span: float):
+    """The candidate and quarter turn of a block that are most similar to each query: products of all pairs' windows are matrix products."""
+    n, c1, c2, grid = window * window, (0.01 * span) ** 2, (0.03 * span) ** 2, side - window + 1
+    flat = np.arange(side * side).reshape(side, side)
+    turns = [np.rot90(flat, k).ravel() for k in range(4)]
+    windows = [flat[y : y + window, x : x + window].ravel() for y in range(grid) for x in range(grid)]
+
+    def moments(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        mean = v.sum(axis=1) / n
+        return mean, np.maximum(0.0, ((v * v).sum(axis=1) / n - mean * mean) * (n / (n - 1.0)))
+
+    def run(asked: pa.Table, dealt: pa.Table) -> pa.Table:
+        names = ["query", "match", "angle", "score"]
+        if not asked.num_rows or not dealt.num_rows:
+            return pa.table([pa.array([], t) for t in (kind, kind, pa.int32(), pa.float64())], names)
+        ids, keys = asked["query"].to_numpy(), dealt["match"].to_numpy()
+        order = np.argsort(keys, kind="stable")
+        keys, q, c = keys[order], vectors_of(asked["__v"]), vectors_of(dealt["__v"])[order]
+        seen = [(q[:, w], *moments(q[:, w])) for w in windows]
+        best, at, turned = np.full(len(ids), -np.inf), np.zeros(len(ids), dtype=np.int64), np.zeros(len(ids), dtype=np.int32)
+        step = max(32, PAIRS_AT_ONCE // len(ids))
+        for lo in range(0, len(keys), step):
+            for k, turn in enumerate(turns):
+                pose = c[lo : lo + step][:, turn]
+                score = np.zeros((len(ids), len(pose)))
+                for w, (x, mx, vx) in zip(windows, seen, strict=True):
+                    y = pose[:, w]
+                    my, vy = moments(y)
+                    both = mx[:, None] * my[None, :]
+                    part = x @ y.T
+                    part /= n
+                    part -= both
+                    part *= 2.0 * n / (n - 1.0)
+                    part += c2
+                    both *= 2.0
+                    both += c1
+                    part *= both
+                    part /= (mx * mx)[:, None] + (my * my + c1)[None, :]
+                    part /= vx[:, None] + (vy + c2)[None, :]
+                    score += part
+                score /= len(windows)
+                top = score.max(axis=1)
+                # Scores are compared by nine digits; of equal ones the first stands.
+                first = (score >= np.minimum(np.round(top, 9) - 0.5e-9, top)[:, None]).argmax(axis=1)
+                rounded = np.round(top, 9)
+                better = (rounded > best) | ((rounded == best) & (lo + first < at))
+                best[better], at[better], turned[better] = rounded[better], lo + first[better], 90 * k
+        return pa.table([pa.array(ids, kind), pa.array(keys[at], kind), pa.array(turned, pa.int32()), pa.array(best)], names)
+
+    return run
+
+
+def best_windowed_match(queries: DataFrame, candidates: DataFrame, key: str, values: str, side: int, window: int = 7, span: float = 255.0, block_rows: int = 8_192, block_queries: int = 2_048) -> DataFrame:
     """``query, match, angle, score``: the candidate and quarter turn that are most similar to each query; ties go to the least key, then angle.
 
-    Candidates are dealt over blocks, and the queries, a stated set, meet each block. Moments of windows are made
-    once an image; those of a turned image are the same, in turned order. They bound the similarity of every
-    pair and turn: the pair of the highest bound gives each query a score to beat, and only pairs whose bound
-    reaches it are compared in full. Rows without an image or with another number of values are left out."""
-    turns = [np.rot90(np.arange(side * side).reshape(side, side), k).ravel().tolist() for k in range(4)]
-    grid = side - window + 1
-    grids = [np.rot90(np.arange(grid * grid).reshape(grid, grid), k).ravel().tolist() for k in range(4)]
-    turned = lambda column, order: F.array(*(F.get(column, k) for k in order))
-    image = lambda df, name: df.where(F.size(values) == side * side).select(F.col(key).alias(name), F.col(values).alias(f"__{name}"), window_moments(F.col(values), side, window).alias(f"__{name}_m"))
-    blocks = max(1, candidates.count() // block_rows)
-    asked = image(queries, "query").withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    dealt = image(candidates, "match").withColumn("__b", F.pmod(F.hash("match"), F.lit(blocks)))
-    turn = F.explode(F.array(*(F.struct(F.lit(90 * k).alias("angle"), turned(F.col("__match_m"), grids[k]).alias("moments")) for k in range(4)))).alias("__t")
-    # Turned before the join, so once a candidate.
-    posed = dealt.select("match", "__b", "__match", turn).select("match", "__b", "__match", F.col("__t.angle").alias("angle"), F.col("__t.moments").alias("__moments"))
-    pairs = posed.join(asked, "__b")
-    bounded = pairs.withColumn("__most", similarity_bound(F.col("__query_m"), F.col("__moments"), span))
-    pose = F.when(F.col("angle") == 0, F.col("__match"))
-    for k in (1, 2, 3):
-        pose = pose.when(F.col("angle") == 90 * k, turned(F.col("__match"), turns[k]))
-    score = lambda df: df.withColumn("score", windowed_similarity(F.col("__query"), pose, F.col("__query_m"), F.col("__moments"), side, window, span))
-    whole = F.struct("match", "angle", "__match", "__moments", "__query", "__query_m")
-    likely = bounded.groupBy("query").agg(F.max_by(whole, F.struct("__most", -F.col("match"), -F.col("angle"))).alias("__p")).select("query", "__p.*")
-    beat = score(likely).select(F.col("query"), F.col("score").alias("__beat"))
-    left = bounded.join(F.broadcast(beat) if blocks == 1 else beat, "query").where(F.col("__most") >= F.col("__beat") - SLACK)
-    return best_by(score(left).select("query", "match", "angle", "score"), ["query"], F.round("score", 9), F.struct("match", "angle"), ["match", "angle"])
+    Each block of candidates meets each block of the queries, a stated set, in one group of bounded size, where all pairs
+    are scored by matrix products; only the best of each goes on. Rows without an image, with a null in it or with
+    another number of values are left out."""
+    kind = candidates.schema[key].dataType
+    image = lambda df, name: df.where((F.size(values) == side * side) & ~F.exists(values, lambda v: v.isNull())).select(F.col(key).cast(kind).alias(name), F.col(values).alias("__v"))
+    one = kind.simpleString()
+    found = in_blocks(image(queries, "query"), image(candidates, "match"), "query", "match", [], block_rows, block_queries, _best_of_block(to_arrow_type(kind), side, window, span), f"query {one}, match {one}, angle int, score double")
+    return best_by(found, ["query"], F.round("score", 9), F.struct("match", "angle"), ["match", "angle"])
