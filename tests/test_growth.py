@@ -77,3 +77,14 @@ def test_edges_of_a_large_polygon_need_no_array(spark):
 
     edges = spark.sql("SELECT 1 AS id, a_lat, a_lon, b_lat, b_lon FROM VALUES (0D, 0D, 3D, 0D), (3D, 0D, 3D, 4D), (3D, 4D, 0D, 4D), (0D, 4D, 0D, 0D) AS t(a_lat, a_lon, b_lat, b_lon)")
     assert sorted(tuple(r) for r in spatial.edge_runs(edges, ["id"], 1.0).collect()) == [(1, r, 180, 183) for r in (87, 88, 89)]
+
+
+def test_texts_with_very_many_hits_go_out_in_bounded_batches(spark, monkeypatch):
+    from orbitweave.operators import matching
+
+    monkeypatch.setattr(matching, "OUT_BYTES", 1 << 12)
+    names = spark.range(2000).select(F.concat(F.lit("name"), F.format_string("%06d", "id")).alias("n"))
+    texts = spark.createDataFrame([(0, " ".join(f"name{k:06d}" for k in range(3000))), (1, "name00199"), (2, None), (3, "x" * 100_000 + "name001999")], "id int, t string")
+    assert {r.id for r in matching.name_contains(texts, names, "t", "n").collect()} == {0, 3}
+    assert {r.id for r in matching.name_contains(texts, names, "t", "n", found=False).collect()} == {1, 2}
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
