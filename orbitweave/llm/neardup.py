@@ -225,7 +225,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     same = lambda c: F.when(F.min(c) == F.max(c), F.min(c)).alias(c)
     traits = [*_SKETCH, *_SET, "n_shingles"]
-    sketches = full.select(F.col("doc_id").alias("id"), *traits).groupBy("id").agg(*(same(c) for c in traits))  # null for an id with several sets
+    # Null for an id with several sets. Written once: six joins read it, and its many aggregates in each of their plans took the driver's memory.
+    sketches = materialise(full.select(F.col("doc_id").alias("id"), *traits).groupBy("id").agg(*(same(c) for c in traits)), "near-sketches")
 
     def sketched(df: DataFrame, column: str, prefix: str, columns: list[str] = traits) -> DataFrame:
         return df.join(sketches.select(F.col("id").alias(column), *(F.col(c).alias(prefix + c) for c in columns)), column)
