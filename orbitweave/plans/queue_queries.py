@@ -42,6 +42,8 @@ def observation_queue_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Slices of time in which the stream lands, and files of one micro-batch.
 SLICES, FILES_PER_BATCH = 6, 4
+#: Events of a share of the targets: states grow in number with the table, not in size.
+EVENTS_PER_SHARE = 50_000
 
 
 def streamed_queue_day(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +53,8 @@ def streamed_queue_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events(spark, sf_dir).where(F.col("event_type").isin("view", "click")).select(F.col("user_id").cast("string").alias("key"), F.col("t").alias("t_us"), "event_id", kind.alias("kind"), F.timestamp_micros("t").alias("at"))
     late = streams.write_slices(rows, "at", "t_us", landed, SLICES)
     stream = streams.read_slices(spark, landed, rows.schema, FILES_PER_BATCH)
-    streams.write_queue(streams.stream_queue(stream, "at", 300, 86_400, f"{late} seconds"), seen, marks)
+    shares = rows.count() // EVENTS_PER_SHARE + 1
+    streams.write_queue(streams.stream_queue(stream, "at", 300, 86_400, f"{late} seconds", shares), seen, marks)
     views = spark.read.schema(streams.VIEWS).parquet(seen)
     return views.select(F.col("key").cast("long").alias("user_id"), "event_id", "detected_us", "seen_us", (F.col("seen_us") - F.col("detected_us")).alias("wait_us"))
 
