@@ -18,10 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orbitweave.operators.ordinal import with_ordinal
+from orbitweave.operators.ordinal import quantile_cuts, range_of
 
 _KEY = re.compile(rb'"((?:[^"\\]|\\.)*)"\s*:\s*$')
 _RANGES = "doc long, file string, block long, quotes int, bytes long, size long, " + ", ".join(f"depth{s} int, ends{s} map<int, long>, opened{s} map<int, struct<key: string, array: boolean>>" for s in (0, 1))
@@ -36,17 +37,24 @@ def _scan(spark: SparkSession, path: str, one_document: bool) -> DataFrame:
     return rows.select(doc.alias("doc"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("size"), "value")
 
 
+#: Quotes and brackets: the only bytes that are looked at one by one.
+_MARK = np.isin(np.arange(256), list(b'"{}[]'))
+
+
 def _structure(data: bytes, quotes: int) -> tuple[np.ndarray, np.ndarray, int]:
     """Places of the brackets, how many quotes (modulo 2) stand before each, and before what follows ``data``."""
     b = np.frombuffer(data, dtype=np.uint8)
-    quote = b == 0x22
+    at = np.flatnonzero(_MARK[b])
+    quote = b[at] == 0x22
+    bracket = ~quote
     if b"\\" in data:
-        at = np.arange(len(b))
-        plain = np.maximum.accumulate(np.where(b != 0x5C, at, -1))
-        quote[1:] &= (at[1:] - 1 - plain[:-1]) % 2 == 0  # an odd number of backslashes before it takes a quote's meaning
+        slash = np.flatnonzero(b == 0x5C)
+        nth = np.arange(len(slash))
+        length = nth - np.maximum.accumulate(np.where(np.diff(slash, prepend=-2) != 1, nth, 0)) + 1  # of the run of backslashes that ends here
+        k = np.minimum(np.searchsorted(slash, at - 1), len(slash) - 1)
+        quote &= (slash[k] != at - 1) | (length[k] % 2 == 0)  # an odd number of backslashes before it takes a quote's meaning
     before = quotes + np.cumsum(quote)
-    places = np.flatnonzero((b == 0x7B) | (b == 0x5B) | (b == 0x7D) | (b == 0x5D))
-    return places, before[places] % 2, int(before[-1]) % 2 if len(b) else quotes
+    return at[bracket], before[bracket] % 2, int(before[-1]) % 2 if len(at) else quotes
 
 
 def _opened(data: bytes, place: int) -> tuple[str | None, bool]:
@@ -55,15 +63,16 @@ def _opened(data: bytes, place: int) -> tuple[str | None, bool]:
     return (key[1].decode() if key else None), data[place : place + 1] == b"["
 
 
-def _by_range(batch: pa.RecordBatch) -> Iterator[tuple[tuple, list[bytes]]]:
-    """Consecutive rows of one range."""
-    keys = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
-    values = batch.column("value").cast(pa.binary()).to_pylist()
+def _by_range(batch: pa.RecordBatch) -> Iterator[tuple[tuple, int, bytes]]:
+    """Consecutive rows of one range: which, how many, and their text with the braces between them."""
+    file, block = batch.column(1).dictionary_encode().indices.to_numpy(), batch.column(2).to_numpy()
+    ends = [*(np.flatnonzero((file[1:] != file[:-1]) | (block[1:] != block[:-1])) + 1).tolist(), batch.num_rows]
+    values = batch.column("value").cast(pa.binary())
     lo = 0
-    for k in range(1, len(keys) + 1):
-        if k == len(keys) or keys[k] != keys[lo]:
-            yield keys[lo], values[lo:k]
-            lo = k
+    for hi in ends if batch.num_rows else []:
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), values.slice(lo, hi - lo)), b"}")
+        yield (batch.column(1)[lo].as_py(), int(block[lo])), hi - lo, text[0].as_py()
+        lo = hi
 
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,16 +86,16 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         first = 0
-        for key, rows in _by_range(batch):
+        for key, n, text in _by_range(batch):
             if key != now:
                 if now:
                     yield done()
                 now, state = key, {"doc": batch.column(0)[first].as_py(), "size": batch.column(3)[first].as_py(), "quotes": 0, "bytes": 0, "depth": [0, 0], "ends": [{}, {}], "opened": [{}, {}], "next": b""}
-            first += len(rows)
+            first += n
             # The brace after the last row may not be there: it is left to what follows.
-            data = state["next"] + b"}".join(rows)
+            data = state["next"] + text
             state["next"] = b"}"
-            state["bytes"] += sum(map(len, rows)) + len(rows)
+            state["bytes"] += len(text) + 1
             places, inside, state["quotes"] = _structure(data, state["quotes"])
             marks = np.frombuffer(data, dtype=np.uint8)[places]
             for s in (0, 1):
@@ -187,7 +196,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         first = 0
-        for key, values in _by_range(batch):
+        for key, n, text in _by_range(batch):
             if key != now:
                 if now:
                     yield done()
@@ -195,8 +204,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 array = bool(start["array"]) and start["depth"] >= 2
                 open_ = array and start["depth"] >= 3
                 now, st = key, start | {"array": array, "quotes": start["quoted"], "from": 0 if open_ else None, "parts": [], "whole": False, "rest": [], "next": b""}
-            first += len(values)
-            feed(st["next"] + b"}".join(values))
+            first += n
+            feed(st["next"] + text)
             st["next"] = b"}"
         if out:
             yield rows()
@@ -242,31 +251,48 @@ def parse_objects(objects: DataFrame, section: str, schema: str, extra: str = "e
     return rows.select("r.*", F.map_filter("all", lambda k, v: ~k.isin(*known)).alias(extra), "ordinal")
 
 
-def _object(table: DataFrame, extra: str) -> Column:
-    """A row as JSON, with the keys of the map ``extra`` beside the columns."""
+def _objects(table: DataFrame, extra: str, kept: list[Column]) -> DataFrame:
+    """``kept`` and ``json``: each row as JSON, with the keys of the map ``extra`` beside the columns.
+
+    Both texts are columns first, so that each is made once for a row and not once for each use."""
     plain = F.to_json(F.struct(*(F.col(c) for c in table.columns if c != extra)))
     if extra not in table.columns:
-        return plain
-    more = F.to_json(F.col(extra))
+        return table.select(*kept, plain.alias("json"))
     has = F.coalesce(F.size(F.col(extra)) > 0, F.lit(False))
-    gap = F.when(plain == "{}", "").otherwise(",")
-    return F.when(has, F.concat(F.substring(plain, F.lit(1), F.length(plain) - 1), gap, F.substring(more, F.lit(2), F.length(more)))).otherwise(plain)
-
-
-def document_lines(tables: dict[str, DataFrame], order: str, extra: str = "extra") -> DataFrame:
-    """``part, nr, value``: the lines of one JSON object with an array for each table, its rows in the order of a number."""
-    lines = None
-    for k, (name, table) in enumerate(tables.items()):
-        spark = table.sparkSession
-        numbered = with_ordinal(table.select(F.col(order).alias("__order"), _object(table, extra).alias("__json")), F.col("__order"), [F.col("__json")], "nr")
-        rows = numbered.select(F.lit(2 * k + 1).alias("part"), "nr", F.concat(F.when(F.col("nr") > 1, ", ").otherwise(""), "__json").alias("value"))
-        head = spark.range(1).select(F.lit(2 * k).alias("part"), F.lit(0).cast("long").alias("nr"), F.lit(("], " if k else "{") + f'"{name}": [').alias("value"))
-        lines = head.unionByName(rows) if lines is None else lines.unionByName(head).unionByName(rows)
-    end = spark.range(1).select(F.lit(2 * len(tables)).alias("part"), F.lit(0).cast("long").alias("nr"), F.lit("]}").alias("value"))
-    return lines.unionByName(end)
+    texts = table.select(*kept, plain.alias("__plain"), F.when(has, F.to_json(F.col(extra))).alias("__more"))
+    gap = F.when(F.col("__plain") == "{}", "").otherwise(",")
+    both = F.concat(F.expr("substring(__plain, 1, length(__plain) - 1)"), gap, F.expr("substring(__more, 2)"))
+    return texts.select(*(c for c in texts.columns if c not in ("__plain", "__more")), F.coalesce(both, "__plain").alias("json"))
+
+
+def document_lines(tables: dict[str, DataFrame], order: str, places: int, extra: str = "extra") -> DataFrame:
+    """``place, part, later, nr, value``: the lines of one JSON object with an array for each table, by the last four in the order of a number.
+
+    Rows aren't numbered, since only the first of a table must be told from the others, which a comma precedes. Quantiles of
+    the number deal them over ``places``, which rise with the order; they only balance the work."""
+    sizes = [table.agg(F.count("*"), F.count(order), F.min(order)).first() for table in tables.values()]
+    total, before, lines = max(1, sum(n for n, _, _ in sizes)), 0, None
+
+    def text(spark: SparkSession, place: int, part: int, value: str) -> DataFrame:
+        return spark.range(0, 1, 1, 1).select(F.lit(place).alias("place"), F.lit(part).alias("part"), F.lit(0).alias("later"), F.lit(None).cast("long").alias("nr"), F.lit(value).alias("value"))
+
+    for k, ((name, table), (n, numbered, least)) in enumerate(zip(tables.items(), sizes, strict=True)):
+        lo = min(places - 1, places * before // total)
+        before += n
+        hi = max(lo, -(-places * before // total) - 1)
+        cuts = quantile_cuts(table.select(F.col(order).cast("double").alias("nr")).where("nr IS NOT NULL"), "nr", hi - lo + 1)
+        own = _objects(table, extra, [(range_of(F.col(order), cuts) + lo).cast("int").alias("place"), F.lit(2 * k + 1).alias("part"), F.col(order).alias("nr")])
+        # The least number's rows are told apart by their texts, and equal ones by count.
+        least_one = F.col("nr").isNull() if numbered < n else F.col("nr").eqNullSafe(F.lit(least))
+        first = own.where(least_one).withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy("json")))
+        first = first.select("place", "part", F.when(F.col("k") > 1, 1).otherwise(0).alias("later"), "nr", F.concat(F.when(F.col("k") > 1, ", ").otherwise(""), "json").alias("value"))
+        rest = own.where(~least_one).select("place", "part", F.lit(1).alias("later"), "nr", F.concat(F.lit(", "), "json").alias("value"))
+        head = text(table.sparkSession, lo, 2 * k, ("], " if k else "{") + f'"{name}": [')
+        lines = (head if lines is None else lines.unionByName(head)).unionByName(first).unionByName(rest)
+    return lines.unionByName(text(lines.sparkSession, places - 1, 2 * len(tables), "]}"))
 
 
 def write_document(tables: dict[str, DataFrame], order: str, path: str, partitions: int, extra: str = "extra") -> None:
     """Part files in the order of their names are the document; each holds whole lines."""
-    lines = document_lines(tables, order, extra)
-    lines.repartitionByRange(partitions, "part", "nr").sortWithinPartitions("part", "nr").select("value").write.mode("overwrite").text(path)
+    lines = document_lines(tables, order, partitions, extra)
+    lines.repartitionById(partitions, F.col("place")).sortWithinPartitions("part", "later", "nr", "value").select("value").write.mode("overwrite").text(path)
