@@ -1,5 +1,6 @@
 """What keeps work in step with the input: expressions written once, small files dealt over tasks."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from orbitweave.functions import vectors as V
@@ -131,3 +132,47 @@ def test_a_document_is_written_without_numbering_its_rows(spark, tmp_path):
         assert [(r.get("id", 0), r["s"]) for r in doc["rows"]] == sorted((k or 0, s) for k, s in rows.collect())
         back = documents.read_objects(spark, path, True).where("section = 'rows'").orderBy("ordinal").collect()
         assert [json.loads(r.json) for r in back] == doc["rows"]
+
+
+def _shuffles(node):
+    """Columns of each shuffle that a query asks for, by name."""
+    own = [sorted(node.output().apply(k).name() for k in range(node.output().size()))] if node.nodeName() == "RepartitionByExpression" else []
+    return own + [s for k in range(node.children().size()) for s in _shuffles(node.children().apply(k))]
+
+
+@pytest.mark.parametrize("name", ["elevation_visibility"])
+def test_a_pair_query_shuffles_keys_and_cells_alone(name, spark, sf_dir, monkeypatch):
+    """Places, unit vectors and edges were carried for each cell that a satellite can reach and each part of it."""
+    from orbitweave import plans
+    from orbitweave.operators import spatial
+
+    plain = sorted(map(tuple, plans.QUERIES[name](spark, sf_dir).collect()))
+    monkeypatch.setattr(spatial, "FEW_LISTED", 1)
+    df = plans.QUERIES[name](spark, sf_dir)
+    wide = [s for s in _shuffles(df._jdf.queryExecution().optimizedPlan()) if len(s) > 1]
+    assert len(wide) == 2 and all(len(s) <= 4 and set(s) <= {"whale_id", "sat", "__cell", "__part", "cell_row", "cell_col"} for s in wide)
+    assert sorted(map(tuple, df.collect())) == plain and plain
+
+
+def test_copies_of_a_dense_cell_are_bounded(spark, monkeypatch):
+    """What is listed in a dense cell stood in one part for each so many pairs, so copies grew with the square of the rows."""
+    from orbitweave.operators import spatial
+
+    monkeypatch.setattr(spatial, "DENSE_PAIRS", 1)
+    rows = lambda key, n: spark.range(n).select(F.col("id").alias(key), F.when(F.col("id") % 100 == 7, 2).otherwise(1).alias("cell"))
+    other = spark.createDataFrame([(9000, 3), (9001, None)], "id long, cell int")
+    for n, m in ((4000, 4000), (6000, 300), (300, 6000)):
+        placed, listed = spatial.shuffled(rows("p", n).union(other), rows("c", m).union(other.where("cell IS NULL")), ["cell"])
+        joined = placed.join(listed, ["cell", "__part"])
+        assert joined.count() == joined.select("p", "c").distinct().count() == round(n * m * (0.99 * 0.99 + 0.01 * 0.01))
+        tasks = 4 * spatial.TASKS_PER_CORE
+        assert max(r["count"] for r in joined.groupBy("cell", "__part").count().collect()) < 3 * n * m / tasks
+        assert placed.count() + listed.count() < 3 * (tasks * n * m) ** 0.5 + n + m  # before, tasks * m + n and more
+        assert not {9000, 9001} & {r.p for r in placed.select("p").collect()}
+
+
+def test_rounding_by_whole_numbers_is_rounding(spark):
+    rows = [(k / 16 + 0.0005 * (k % 3),) for k in range(-400, 400)] + [(0.5,), (-0.5,), (0.0015,), (1.0005,), (2.675,), (1e15 / 7,), (-1e300,), (float("nan"),), (float("inf"),), (-0.00001,), (None,)]
+    df = spark.createDataFrame(rows, "x double")
+    for digits in (3, 6):
+        assert df.where(~F.round("x", digits).eqNullSafe(V.rounded(F.col("x"), digits))).count() == 0
