@@ -140,7 +140,7 @@ def _shuffles(node):
     return own + [s for k in range(node.children().size()) for s in _shuffles(node.children().apply(k))]
 
 
-@pytest.mark.parametrize("name", ["elevation_visibility", "tip_footprint_join_grid"])
+@pytest.mark.parametrize("name", ["elevation_visibility", "tip_footprint_join_grid", "footprint_polygon_join"])
 def test_a_pair_query_shuffles_keys_and_cells_alone(name, spark, sf_dir, monkeypatch):
     """Places, unit vectors and edges were carried for each cell that a satellite can reach and each part of it."""
     from orbitweave import plans
